@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, packing, tokenstore, topk, toxicity
+from . import decontam, html, langid, licenses, neardup, packing, tokenstore, topk, toxicity
 from .common import crc_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "linked")
+
+
 def op9_topk_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_language_id": op6_language_id,
+    "op8_weighted_near_duplicates": op8_weighted_near_duplicates,
     "op9_topk_sorted_lists": op9_topk_sorted_lists,
     "op10_main_text": op10_main_text,
 }
