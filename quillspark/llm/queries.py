@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, neardup, packing, tokenstore, topk, toxicity
+from . import decontam, html, langid, licenses, lm, neardup, packing, tokenstore, topk, toxicity
 from .common import crc_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 1
+    model = lm.train(docs.where(~held_out))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "linked")
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_language_id": op6_language_id,
+    "op7_trie_scores": op7_trie_scores,
     "op8_weighted_near_duplicates": op8_weighted_near_duplicates,
     "op9_topk_sorted_lists": op9_topk_sorted_lists,
     "op10_main_text": op10_main_text,
