@@ -31,6 +31,10 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens
+        words = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(words.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
+        self.begins[[i for w, i in words.items() if len(space) == 1 and w.startswith(space[0])]] = True
         self.inner: dict[str, bytes] = {}  # chunks that a space goes before
         self.first: dict[str, bytes] = {}  # chunks at the start of a text
 
@@ -38,13 +42,42 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, cache: dict[str, bytes], chunks: set[str], before: str) -> None:
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        new = [x for x in chunks if x not in cache]
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks with a space before each: many chunks in one text, cut at ids that begin with a space."""
+        joined = [" " + " ".join(chunks[i : i + 200]) for i in range(0, len(chunks), 200)]
+        ids = np.frombuffer(b"".join(self._library(joined)), dtype="<u4")
+        cuts = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        if len(cuts) != len(chunks) + 1:  # a tokenizer whose ids do not show the spaces
+            return self._library([" " + x for x in chunks])
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn_first(self, chunks: set[str]) -> None:
+        if len(self.first) > CACHE_CHUNKS // 4 and not chunks <= self.first.keys():
+            self.first.clear()
+        new = [x for x in chunks if x not in self.first]
+        self.first.update(zip(new, self._library(new), strict=True))
+
+    def _learn_inner(self, chunks: set[str]) -> dict[str, bytes]:
+        """A word with punctuation after it is the word's ids and the punctuation's."""
+        if len(self.inner) > CACHE_CHUNKS:
+            self.inner.clear()
+        cache, plain, ended = self.inner, set(), []
+        for x in chunks:
+            word = x.rstrip(".,;:!?")
+            if len(word) < len(x) and word.isalpha():
+                ended.append((x, word, x[len(word) :]))
+                if word not in cache:
+                    plain.add(word)
+            else:
+                plain.add(x)
+        new = list(plain)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            cache.update(zip(part, self._library([before + x for x in part]), strict=True))
+            cache.update(zip(part, self._spaced(part), strict=True))
+        self._learn_first({x[2] for x in ended})
+        cache.update((x, cache[word] + self.first[end]) for x, word, end in ended)
+        return cache
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; a null counts as the empty text."""
@@ -59,19 +92,21 @@ class ChunkEncoder:
                 split.append(text.split(" "))
         whole = [text for text, parts in zip(texts, split, strict=True) if parts is None]
         whole_ids = iter(self._library(whole) if whole else ())
-        inner: set[str] = set()
-        first: set[str] = set()
+        self._learn_first({parts[0] for parts in split if parts is not None})
+        first, get = self.first.__getitem__, self.inner.get
+        rows, gaps, unknown = [], [], set()
         for parts in split:
-            if parts is not None:
-                first.add(parts[0])
-                inner.update(parts[1:])
-        self._learn(self.inner, inner, " ")
-        self._learn(self.first, first, "")
-        get = self.inner.__getitem__
-        return [
-            next(whole_ids) if parts is None else self.first[parts[0]] + b"".join(map(get, parts[1:]))
-            for parts in split
-        ]
+            ids = [] if parts is None else [first(parts[0]), *map(get, parts[1:])]
+            gap = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            unknown.update(parts[i] for i in gap)
+            rows.append(ids)
+            gaps.append(gap)
+        if unknown:
+            known = self._learn_inner(unknown)
+            for parts, ids, gap in zip(split, rows, gaps, strict=True):
+                for i in gap:
+                    ids[i] = known[parts[i]]
+        return [next(whole_ids) if parts is None else b"".join(ids) for parts, ids in zip(split, rows, strict=True)]
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -203,9 +203,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", centres: int = 8) -> DataFrame:
-    """``doc_id, class_id`` for every row of ``docs``, and whether the class has other texts.
+    """``doc_id, class_id, linked, row, comp`` for every row of ``docs``.
 
-    ``linked`` is true if the row's text is linked to a different text.
+    ``linked`` is true if the row's text is linked to a different text; ``row`` is
+    ``monotonically_increasing_id()`` of the input and ``comp`` the class's smallest such
+    number among its nodes, which also tells classes without a doc_id apart.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequency = document_frequencies(own, width)
@@ -257,4 +259,4 @@ def classes(signed: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> Da
     by_key = signed.select("row", "doc_id", "k1", "k2").join(comp, ["k1", "k2"], "left").select("row", "doc_id", F.coalesce("comp", "row").alias("comp"), F.coalesce("linked", F.lit(False)).alias("linked"))
     by_key = materialize(by_key)
     names = by_key.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return by_key.join(names, "comp").select("doc_id", "class_id", "linked", "row")
+    return by_key.join(names, "comp").select("doc_id", "class_id", "linked", "row", "comp")
