@@ -24,8 +24,8 @@ STRING = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
 HAS = re.compile(rf"hasProperty\(\s*file\s*,\s*({STRING})\s*\)")
 HAS_VALUE = re.compile(rf"hasPropertyValue\(\s*file\s*,\s*({STRING})\s*,\s*({STRING}|-?[\d.]+|true|false)\s*\)")
 GET = re.compile(rf"getPropertyValue\(\s*file\s*,\s*({STRING})\s*(?:,\s*({STRING}|-?[\d.]+|true|false|nil)\s*)?\)|file:get\(\s*({STRING})\s*\)")
-FIXED = re.compile(r"toFixed\(([^(),]+),\s*\d+\s*\)")
-FORMAT = re.compile(rf"string\.format\(\s*({STRING})\s*,([^(),]+)\)")
+FIXED = re.compile(r"toFixed\(((?:[^(),]|\([^()]*\))+),\s*\d+\s*\)")
+FORMAT = re.compile(rf"string\.format\(\s*({STRING})\s*,((?:[^(),]|\([^()]*\))+)\)")
 #: The idiom that joins a list's elements with a text before and after each.
 JOINED = re.compile(r"table\.concat\(.*?getPropertyValue\(\s*file\s*,\s*\"(\w+)\".*?table\.insert\(\s*t\s*,\s*(.*?)\s*\)\s*end.*?,\s*(\"[^\"]*\")\s*\)\s*$", re.S)
 NUMBER = r"(?:\{\d+\}|\d+(?:\.\d+)?|\([^()]*\))"
