@@ -6,8 +6,8 @@ out-of-fold predictions, so that a later model learns from probabilities as good
 see on new texts. The labels table names the chain: low quality first, then toxic.
 
 Models are fitted on a bounded sample of labelled rows (``sample_rows``); each category's
-features are the words whose share of its documents differs most from the others', by a
-z-score of the two shares over the whole sample. Prediction reads whole texts where they lie.
+features are the words whose share of its documents exceeds their share of the others most,
+by a z-score of the two shares over the whole sample (at least 4). Prediction reads whole texts where they lie.
 
 Contract: null or empty texts have no features and get the models' base rates; a label that
 is null is not fitted on; labels for unknown documents are ignored, and a document with
@@ -61,12 +61,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 15)
     return w
 
 
-def fit_chain(x: np.ndarray, vocabulary: list[str], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int) -> list[Link]:
-    """Fit each category in turn; ``labels`` hold 0, 1 or -1 (unknown), ``folds`` a row's fold."""
+def fit_chain(x: np.ndarray, words: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int) -> list[Link]:
+    """Fit each category in turn, with its own ``words``; columns of ``x`` are all words in order.
+
+    ``labels`` hold 0, 1 or -1 (unknown), ``folds`` a row's fold.
+    """
     links, earlier = [], np.zeros((len(x), 0))
-    for category, y in labels.items():
+    place = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
+    for (category, y), vocabulary in zip(labels.items(), words, strict=True):
         known = y >= 0
-        full = np.hstack([x, earlier])
+        full = np.hstack([x[:, [place[w] for w in vocabulary]], earlier])
         out = np.zeros(len(x))
         w = fit_logistic(full[known], y[known]) if known.any() else np.zeros(full.shape[1] + 1)
         for f in range(n_folds):
@@ -97,16 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in own]).first()
     n = totals["n"] or 0
     counted = exploded.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in own]).where("n >= 5").persist()
-    chosen: dict[str, None] = {}
+    chosen: list[list[str]] = []
     for c in own:
+        best = []
         k = totals[c] or 0
         if 0 < k < n:
             rate = F.col("n") / F.lit(float(n))
             z = (F.col(c) / F.lit(float(k)) - (F.col("n") - F.col(c)) / F.lit(float(n - k))) / F.sqrt(rate * (1 - rate) * (1.0 / k + 1.0 / (n - k)) + 1e-12)
-            best = counted.select("word", z.alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(words).where(F.abs("z") > 3).collect()
-            chosen |= dict.fromkeys(r["word"] for r in best)
+            best = counted.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(words).where("z > 4").collect()
+        chosen.append(sorted(r["word"] for r in best))
     counted.unpersist()
-    vocabulary = sorted(chosen)
+    vocabulary = sorted({w for one in chosen for w in one})
     at = {w: i for i, w in enumerate(vocabulary)}
     held = docs.sparkSession.sparkContext.broadcast(at)  # at most words * categories entries
 
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     for i, r in enumerate(rows):
         x[i, list(r["at"])] = 1
     y = {name: np.array([-1 if r[c] is None else r[c] for r in rows]) for name, c in zip(categories, own, strict=True)}
-    return fit_chain(x, vocabulary, y, np.arange(len(rows)) % n_folds, n_folds)
+    return fit_chain(x, chosen, y, np.arange(len(rows)) % n_folds, n_folds)
 
 
 def chain_probabilities(links: list[Link], texts: list[str | None]) -> list[list[float]]:
