@@ -7,11 +7,14 @@
 2. Texts with equal word sequences are one node. Each node draws ``bands * rows`` consistent
    weighted samples; two nodes meet in a band if all its rows agree, which happens in some
    band with a probability of 99.8 % at a weighted Jaccard similarity of 0.8.
-3. In each band's bucket, some members are centres and are compared with all members of
-   other components (never all pairs of a bucket); links are verified by the exact weighted
-   Jaccard similarity of the whole shingle multisets. A centre that has met all of its bucket
-   leaves it. Rounds go on, with components renewed in between, until no bucket holds members
-   of two components: every pair of a bucket has then been compared or is already connected.
+3. In two rounds each band's bucket has one, then a few centres, which are compared with its
+   members outside their component; this joins nearly all there is to join. Then, in buckets
+   that still hold several components, members outside the largest one are held against all
+   others, block by block inside tasks: pairs of different components that agree in
+   ``SKETCH_AGREES`` of their samples (sketches of one byte each) are candidates, and only
+   links come out. All candidates are verified by the exact weighted Jaccard similarity of
+   the whole shingle multisets, so every pair of a bucket is tested, estimated as too far
+   apart, or connected.
 4. A class is a connected component of links.
 
 Contract: null texts and texts without words are each a class of their own; texts of one to
@@ -26,6 +29,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +41,12 @@ from .shingles import chunks, content_keys, mix, shingle_sets, word_hashes
 #: Slots of the document frequency table, and of the filter of documents to verify.
 DF_SLOTS = 1 << 18
 FILTER_SLOTS = 1 << 20
+#: Share of samples that a pair agrees in to be verified: 2.5 deviations below 0.8 for 80 samples.
+SKETCH_AGREES = 0.69
+#: Members of a bucket that meet in one task.
+BLOCK = 512
 _GRAIN = 1 << 16
-SIGNED = "row long, doc_id long, k1 long, k2 long, bands array<long>, elements binary"
+SIGNED = "row long, doc_id long, k1 long, k2 long, bands array<long>, sketch binary, elements binary"
 
 
 def lower_bytes(text: str | None) -> bytes:
@@ -126,6 +134,7 @@ def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) ->
                             seen.add(tuple(key))
                 chosen: list = [None] * n
                 elements: list = [None] * n
+                sketches: list = [None] * n
                 if fresh:
                     mask = np.zeros(n, dtype=bool)
                     mask[fresh] = True
@@ -141,14 +150,15 @@ def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) ->
                     small = ((element >> np.uint64(50) << np.uint64(18)) | (value & slot)).astype(np.uint32)
                     for i, s, e in zip(fresh, starts, [*starts[1:], len(value)], strict=True):
                         elements[i] = np.unique(small[s:e]).astype("<u4").tobytes()
-                    for i, g in zip(fresh, grouped, strict=True):
-                        chosen[i] = g
+                    short = (mix(samples) >> np.uint64(56)).astype(np.uint8)
+                    for i, g, x in zip(fresh, grouped, short, strict=True):
+                        chosen[i], sketches[i] = g, x.tobytes()
                 signed = keys.view(np.int64)
                 none = counts == 0
                 yield pa.RecordBatch.from_arrays(
                     [row_ids.slice(first, n), ids.slice(first, n), pa.array(signed[0], pa.int64(), mask=none), pa.array(signed[1], pa.int64(), mask=none),
-                     pa.array(chosen, pa.list_(pa.int64())), pa.array(elements, pa.binary())],
-                    names=["row", "doc_id", "k1", "k2", "bands", "elements"])
+                     pa.array(chosen, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(elements, pa.binary())],
+                    names=["row", "doc_id", "k1", "k2", "bands", "sketch", "elements"])
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, SIGNED)
 
@@ -160,31 +170,36 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     return float(both / (idf[a & slot].sum() + idf[b & slot].sum() - both))
 
 
-def verify(pairs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    spark = pairs.sparkSession
-    held = spark.sparkContext.broadcast(idf)
+def elements_of(rows: DataFrame, signed: DataFrame, columns: tuple[str, ...] = ("row", "elements")) -> DataFrame:
+    """The signed rows whose number is in any column of ``rows``, and a few that share a filter slot with one."""
 
     def mark(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> None:
         for x in batches:
             for c in x.columns:
                 slots[(mix(c.to_numpy().view(np.uint64)) & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)] = 1
 
-    wanted = spark.sparkContext.broadcast(vectors.total(pairs.select("a", "b"), FILTER_SLOTS, mark) > 0)  # fixed size
+    wanted = rows.sparkSession.sparkContext.broadcast(vectors.total(rows, FILTER_SLOTS, mark) > 0)  # fixed size
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             at = (mix(x.column(0).to_numpy().view(np.uint64)) & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)
             yield x.filter(pa.array(wanted.value[at]))
 
+    own = signed.where("bands is not null").select(*columns)
+    return own.mapInArrow(needed, own.schema)
+
+
+def verify(pairs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+    held = pairs.sparkSession.sparkContext.broadcast(idf)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             one, two = x.column(2).to_pylist(), x.column(3).to_pylist()
             good = [weighted_jaccard(np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4"), held.value) >= threshold - 1e-9 for p, q in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    # Only documents of this round's pairs (and a few that share a slot with one) are moved.
-    elements = signed.where("bands is not null").select("row", "elements").mapInArrow(needed, "row long, elements binary")
+    elements = elements_of(pairs.select("a", "b"), signed)
     first = pairs.join(elements.select(F.col("row").alias("a"), F.col("elements").alias("one")), "a")
     return first.join(elements.select(F.col("row").alias("b"), F.col("elements").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
 
@@ -202,7 +217,57 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", centres: int = 8) -> DataFrame:
+def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(band, row, comp) of buckets that hold more than one component."""
+    if labels is None:
+        return members.withColumn("comp", F.col("row"))
+    here = members.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    split = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    return materialize(here.join(split, "band"))
+
+
+def missing_links(here: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): verified links between a bucket's components, as many as connect them.
+
+    Members outside the bucket's largest component meet all members, in pairs of blocks.
+    """
+    held = here.sparkSession.sparkContext.broadcast(idf)
+    sizes = here.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("big"))
+    buckets = buckets.select("band", F.col("big.comp").alias("big"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("big.n")) / BLOCK).cast("int").alias("outer"))
+    rows = materialize(here.join(buckets, "band").join(elements_of(here.select("row"), signed, ("row", "sketch", "elements")), "row"))
+    block = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = rows.select("band", block("blocks").alias("i"), upto("outer").alias("j"), "row", "comp", "sketch", "elements", F.lit(False).alias("out"))
+    outer = rows.where("comp <> big").select("band", upto("blocks").alias("i"), block("outer").alias("j"), "row", "comp", "sketch", "elements", F.lit(True).alias("out"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        weights, slot = held.value, np.uint32(DF_SLOTS - 1)
+        out, row, comp = group["out"].to_numpy(), group["row"].to_numpy(), group["comp"].to_numpy().copy()
+        sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(group), -1)
+        sets = [np.frombuffer(x, dtype="<u4") for x in group["elements"]]
+        total = np.array([weights[x & slot].sum() for x in sets])
+        least = SKETCH_AGREES * sketch.shape[1]
+        every, found = np.flatnonzero(~out), []
+        for k in np.flatnonzero(out):
+            near = every[comp[every] != comp[k]]
+            near = near[(sketch[near] == sketch[k]).sum(axis=1) >= least]
+            if not len(near):
+                continue
+            both = np.concatenate([sets[c] for c in near])
+            owner = np.repeat(np.arange(len(near)), [len(sets[c]) for c in near])
+            at = np.minimum(np.searchsorted(sets[k], both), len(sets[k]) - 1)
+            shared = np.bincount(owner, weights=np.where(sets[k][at] == both, weights[both & slot], 0.0), minlength=len(near))
+            for c in near[shared / (total[near] + total[k] - shared) >= threshold - 1e-9]:
+                if comp[c] != comp[k]:
+                    found.append((min(row[c], row[k]), max(row[c], row[k])))
+                    comp[comp == comp[c]] = comp[k]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return inner.union(outer).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", centres: int = 3) -> DataFrame:
     """``doc_id, class_id, linked, row, comp`` for every row of ``docs``.
 
     ``linked`` is true if the row's text is linked to a different text; ``row`` is
@@ -222,33 +287,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     shared = values.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = materialize(values.join(shared, "band"))
 
-    links = labels = tested = None
-    for turn in range(1_000_000):
-        here = members
-        if labels is None:
-            here = here.withColumn("comp", F.col("row"))
+    links = labels = None
+    for turn in range(3):
+        here = with_components(members, labels)
+        if turn == 2:
+            found = missing_links(here, signed, idf, threshold)
         else:
-            here = here.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-            split = here.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-            sizes = here.groupBy("comp").agg(F.count("*").alias("size"))
-            here = materialize(here.join(split, "band").join(sizes, "comp"))
-            if here.isEmpty():
-                break
-        if turn == 0:  # one centre for each bucket, the same in as many bands as can be
-            chosen = here.groupBy("band").agg(F.min("row").alias("centre")).withColumn("own", F.col("centre"))
-        else:  # a few, in each band others, small components first
-            order = Window.partitionBy("band").orderBy(*(["size"] if turn > 1 else []), F.xxhash64("band", "row"))
-            chosen = here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= (centres if turn == 1 else 2 * centres)).select("band", F.col("row").alias("centre"), F.col("comp").alias("own"))
-        chosen = materialize(chosen)
-        pairs = here.join(chosen, "band").where("comp <> own").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = materialize(verify(pairs, signed, idf, threshold))
+            # First one centre, the same in as many bands as can be; then a few, in each band others.
+            if turn == 0:
+                chosen = here.groupBy("band").agg(F.min("row").alias("centre")).withColumn("own", F.col("centre"))
+            else:
+                order = Window.partitionBy("band").orderBy(F.xxhash64("band", "row"))
+                chosen = here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centres).select("band", F.col("row").alias("centre"), F.col("comp").alias("own"))
+            pairs = here.join(chosen, "band").where("comp <> own").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b"))
+            found = verify(materialize(pairs.distinct()), signed, idf, threshold)
+        found = materialize(found.distinct())
         links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
-        members = materialize(here.select("band", "row").join(chosen.select("band", F.col("centre").alias("row")), ["band", "row"], "left_anti"))
 
     return classes(signed, nodes, labels)
 
