@@ -199,6 +199,8 @@ class Trie:
         return self.sequences[level, part, prefix]
 
     def _by_part(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(of):
+            return
         order = np.argsort(of, kind="stable")
         values, starts = np.unique(of[order], return_index=True)
         for p, at in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
