@@ -1,36 +1,12 @@
-"""Helpers that several operators share: the shared folder and written intermediates."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is missing (local tests) is a temporary folder taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage at files that survive the loss of an executor, and fixes
-    columns that depend on how rows were dealt out (partition numbers, ranks).
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["crc_mod", "materialize", "shared_dir"]
 
 
 def crc_mod(id_column: str, mod: int):
