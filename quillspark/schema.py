@@ -40,6 +40,18 @@ def boolean(c: Column) -> Column:
     return _value("bool", c.isNotNull(), bool=c)
 
 
+def value_sql(kind: str, column: str, field: str) -> str:
+    """The SQL of a typed value, null where the column is."""
+    fields = ", ".join(f"'{name}', CAST({column if name == field or (name == 'num' and kind == 'int') else 'NULL'} AS {t})" for name, t in _FIELDS.items() if name != "kind")
+    return f"CASE WHEN {column} IS NOT NULL THEN named_struct('kind', '{kind}', {fields}) END"
+
+
+def bag_sql(**columns: tuple[str, str]) -> str:
+    """The SQL of ``bag`` for columns of a table: key -> (kind, column)."""
+    field = {"string": "str", "list": "list", "int": "int", "double": "num", "bool": "bool"}
+    return f"map({', '.join(f"'{key}', {value_sql(kind, column, field[kind])}" for key, (kind, column) in columns.items())})"
+
+
 def bag(**values: Column) -> Column:
     """A property map; a key whose value is null counts as absent.
 

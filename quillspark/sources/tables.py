@@ -8,44 +8,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import as_list, bag, boolean, double, integer, prop, string, strings
+from ..schema import as_list, bag_sql, prop
 
-COLUMNS = ("path", "title", "tags", "size", "price", "acctbal", "total", "keytext", "instock", "links")
+
+ROWS = """
+SELECT concat('region/', r_name, '.md') AS path, r_name AS title, array('region', r_name) AS tags, CAST(NULL AS INT) AS size, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS acctbal, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS STRING) AS keytext, CAST(NULL AS BOOLEAN) AS instock, CAST(NULL AS ARRAY<STRING>) AS links FROM {region}
+UNION ALL SELECT concat('nation/', n_name, '.md'), n_name, array('nation', r_name), NULL, NULL, NULL, NULL, NULL, NULL, array(concat('region/', r_name, '.md')) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT concat('supplier/', s_suppkey, '.md'), s_name, array('supplier', n_name), NULL, NULL, s_acctbal, NULL, NULL, NULL, array(concat('nation/', n_name, '.md')) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT concat('customer/', c_custkey, '.md'), c_name, array('customer', c_mktsegment), NULL, NULL, c_acctbal, NULL, NULL, NULL, array(concat('nation/', n_name, '.md')) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT concat('part/', p_partkey, '.md'), p_name, array('part', p_type, p_brand), p_size, p_retailprice, NULL, NULL, CAST(p_partkey AS STRING), p_size % 2 = 0, NULL FROM {part}
+UNION ALL SELECT concat('order/', o_orderkey, '.md'), NULL, array('order', o_orderpriority, o_orderstatus), NULL, NULL, NULL, o_totalprice, NULL, NULL, array(concat('customer/', o_custkey, '.md')) FROM {orders}
+"""
 
 
 def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes' properties as plain columns (null where absent)."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    region, nation = t("region"), t("nation")
-    key = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"), F.lit(".md"))
-    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    places = nation.select("n_nationkey", "n_name")
-
-    def rows(df: DataFrame, **columns) -> DataFrame:
-        kinds = {"tags": "array<string>", "links": "array<string>", "size": "int", "price": "double", "acctbal": "double", "total": "double", "instock": "boolean"}
-        return df.select(*[columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS])
-
-    col, array, lit = F.col, F.array, F.lit
-    parts = [
-        rows(region, path=key("region", "r_name"), title=col("r_name"), tags=array(lit("region"), "r_name")),
-        rows(nations, path=key("nation", "n_name"), title=col("n_name"), tags=array(lit("nation"), "r_name"), links=array(key("region", "r_name"))),
-        rows(t("supplier").join(places, col("s_nationkey") == col("n_nationkey")), path=key("supplier", "s_suppkey"), title=col("s_name"), tags=array(lit("supplier"), "n_name"), acctbal=col("s_acctbal"), links=array(key("nation", "n_name"))),
-        rows(t("customer").join(places, col("c_nationkey") == col("n_nationkey")), path=key("customer", "c_custkey"), title=col("c_name"), tags=array(lit("customer"), "c_mktsegment"), acctbal=col("c_acctbal"), links=array(key("nation", "n_name"))),
-        rows(t("part"), path=key("part", "p_partkey"), title=col("p_name"), tags=array(lit("part"), "p_type", "p_brand"), size=col("p_size"), price=col("p_retailprice"), keytext=col("p_partkey"), instock=col("p_size") % 2 == 0),
-        rows(t("orders"), path=key("order", "o_orderkey"), tags=array(lit("order"), "o_orderpriority", "o_orderstatus"), total=col("o_totalprice"), links=array(key("customer", "o_custkey"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier", "customer", "part", "orders")}
+    return spark.sql(ROWS, **tables)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes with their property maps (no text)."""
-    c = F.col
-    props = bag(filePath=string(c("path")), title=string(c("title")), tags=strings(c("tags")), size=integer(c("size")), price=double(c("price")), acctbal=double(c("acctbal")),
-                total=double(c("total")), keytext=string(c("keytext")), inStock=boolean(c("instock")), links=strings(c("links")))
-    return note_rows(spark, sf_dir).select("path", F.lit("md").alias("ext"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("string").alias("rendered"), props.alias("props"))
+    props = bag_sql(
+        filePath=("string", "path"), title=("string", "title"), tags=("list", "tags"), size=("int", "size"), price=("double", "price"), acctbal=("double", "acctbal"),
+        total=("double", "total"), keytext=("string", "keytext"), inStock=("bool", "instock"), links=("list", "links"),
+    )
+    return note_rows(spark, sf_dir).selectExpr("path", "'md' AS ext", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS rendered", f"{props} AS props")
 
 
 def as_markdown(structured: DataFrame) -> DataFrame:
