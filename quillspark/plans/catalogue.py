@@ -141,9 +141,9 @@ def _types(spark, sf_dir):
     return parsed(spark, sf_dir).select(F.explode("props").alias("key", "v")).groupBy("key", F.col("v.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("frontmatter_values", "SELECT path, title, array_to_string(tags, '|') AS tags, size, CAST(instock AS VARCHAR) AS instock FROM notes")
+@query("frontmatter_values", "SELECT path, title, array_to_string(tags, '|') AS tags, CAST(size AS VARCHAR) AS size, CAST(instock AS VARCHAR) AS instock FROM notes")
 def _values(spark, sf_dir):
-    return parsed(spark, sf_dir).select("path", prop("title")["str"].alias("title"), F.array_join(as_list("tags"), "|").alias("tags"), prop("size")["int"].alias("size"), prop("inStock")["bool"].cast("string").alias("instock"))
+    return parsed(spark, sf_dir).select("path", prop("title")["str"].alias("title"), F.array_join(as_list("tags"), "|").alias("tags"), prop("size")["int"].cast("string").alias("size"), prop("inStock")["bool"].cast("string").alias("instock"))
 
 
 @query("links_extract", "SELECT path AS src, generate_subscripts(links, 1) - 1 AS pos, unnest(links) AS dst FROM notes")
