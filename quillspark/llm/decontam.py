@@ -45,12 +45,15 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def myers(pattern_bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """The least edit distance of the pattern to any part of ``text``, and where that part ends."""
+def myers(pattern_bits: dict[str, int], m: int, text: str, anchored: bool = False) -> list[int]:
+    """By end (from 0): the pattern's least edit distance to a part of ``text`` that ends there.
+
+    Parts may begin anywhere, or only where the text does if ``anchored``.
+    """
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    best, end = m, 0
-    for i, ch in enumerate(text):
+    scores = [m]
+    for ch in text:
         eq = pattern_bits.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -60,13 +63,12 @@ def myers(pattern_bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | anchored) & full
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
-        if score < best:
-            best, end = score, i + 1
-    return best, end
+        scores.append(score)
+    return scores
 
 
 def bits(pattern: str) -> dict[str, int]:
@@ -97,42 +99,56 @@ class Matcher:
         if self.ready:
             self.automaton.make_automaton()
 
+    def whole_words(self, i: int, norm: str, low: int, high: int) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the closest run of whole words in ``norm[low:high]`` within item ``i``'s budget."""
+        _, item, errors, ahead, back = self.items[i]
+        m, best = len(item), None
+        scores = myers(ahead, m, norm[low:high])
+        ends = sorted((score, end + low) for end, score in enumerate(scores) if score <= errors and norm[end + low : end + low + 1] == " ")
+        for score, end in ends:
+            if best and score >= best[0]:
+                break
+            lengths = myers(back, m, norm[max(0, end - m - errors) : end][::-1], anchored=True)
+            for length, distance in enumerate(lengths):
+                if length and distance <= errors and norm[end - length - 1 : end - length] == " " and (not best or distance < best[0]):
+                    best = (distance, end - length - 1, end - 1)
+        return best
+
     def find(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item id, distance, start, end, matches) for each item that occurs in the text."""
         norm = f" {normalise(text)} "
         if not self.ready or len(norm) < 3:
             return []
-        tried: dict[int, list[tuple[int, int]]] = {}  # by item: where the item was looked for
+        tried: dict[int, list[int]] = {}  # by item: where the item was looked for
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
         for last, (size, at) in self.automaton.iter(norm):
             for i, offset in at:
                 begin = last - size + 1 - offset + 1  # where the item itself would begin
-                item_id, item, errors, ahead, back = self.items[i]
+                _, item, errors, _, _ = self.items[i]
                 # A window covers all begins within the budget of its first hit.
-                if any(abs(begin - b) <= errors for b, _ in tried.get(i, ())[-8:]):
+                if any(abs(begin - b) <= errors for b in tried.get(i, ())[-8:]):
                     continue
-                low = max(0, begin - 2 * errors)
-                window = norm[low : begin + len(item) + 2 * errors]
-                distance, end = myers(ahead, len(item), window)
-                tried.setdefault(i, []).append((begin, distance))
-                if distance <= errors:
-                    end += low
-                    _, length = myers(back, len(item), norm[max(0, end - len(item) - errors) : end][::-1])
-                    if norm[end : end + 1] in (" ", "") and norm[end - length - 1 : end - length] in (" ", ""):
-                        found.setdefault(i, {})[end] = (distance, end - length - 1, end - 1)
+                tried.setdefault(i, []).append(begin)
+                if best := self.whole_words(i, norm, max(0, begin - 2 * errors), begin + len(item) + 2 * errors):
+                    found.setdefault(i, {})[best[2]] = best
         return [(self.items[i][0], *min(spans.values()), len(spans)) for i, spans in found.items()]
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> list:
+    """Broadcasts of all items, each of about ``block_chars`` characters; one without items if there are none."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-chars // block_chars))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) for block in range(n)]
+    return [benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
     """One row for each document and item that it contains within ``error_rate`` edits a character.
 
     ``doc_id, item_id, distance, start, end, matches``: the closest match (the first of
     equals), its place in the normalised text, and the number of separate matches.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-chars // block_chars))
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
     def scan(held):
@@ -147,8 +163,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
         return read.mapInArrow(find, FOUND)
 
     found = None
-    for block in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])  # about block_chars characters
+    for held in item_blocks(benchmark, item_col, item_text_col, block_chars):
         found = scan(held) if found is None else found.unionByName(scan(held))
     return found
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
+    """``docs`` with all columns, less the rows that contain an item; nothing is shuffled or joined."""
+    where = docs.columns.index(text_col)
+
+    def clean(docs: DataFrame, held) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held.value, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(where).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    for held in item_blocks(benchmark, item_col, item_text_col, block_chars):
+        docs = clean(docs, held)
+    return docs

@@ -267,18 +267,19 @@ def missing_links(here: DataFrame, signed: DataFrame, idf: np.ndarray, threshold
     return inner.union(outer).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", centres: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 16, rows: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, centres: int = 3) -> DataFrame:
     """``doc_id, class_id, linked, row, comp`` for every row of ``docs``.
 
-    ``linked`` is true if the row's text is linked to a different text; ``row`` is
-    ``monotonically_increasing_id()`` of the input and ``comp`` the class's smallest such
-    number among its nodes, which also tells classes without a doc_id apart.
+    ``linked`` is true if the row's text is linked to a different text; ``row`` is a number
+    of each row (``row_col`` if given, which must be distinct) and ``comp`` the class's
+    smallest such number among its nodes, which also tells classes without a doc_id apart.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    own = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequency = document_frequencies(own, width)
     n = own.count()
     idf = 1 + np.log((n + 1) / (frequency + 1)).clip(0) / math.log(n + 2)
-    signed = materialize(sign(own.withColumn("row", F.monotonically_increasing_id()), idf, width, bands, rows))
+    signed = materialize(sign(own, idf, width, bands, rows))
 
     # One node for each word sequence: its first sampled row.
     nodes = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("node")))
