@@ -43,8 +43,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each near-duplicate class: the first of those with its smallest doc_id."""
     ship(spark)
     columns = docs.columns
-    docs = docs.withColumn(f"{OWN}row", F.monotonically_increasing_id())
-    classes = neardup.near_duplicates(docs)
+    # Written once: row numbers must not change between the two uses.
+    docs = materialize(docs.withColumn(f"{OWN}row", F.monotonically_increasing_id()))
+    classes = neardup.near_duplicates(docs, row_col=f"{OWN}row")
     first = classes.groupBy("class_id", "comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("m"))
     kept = materialize(first.select(F.col("m.row").alias(f"{OWN}row")))
     return docs.join(kept, f"{OWN}row", "left_semi").select(*columns)
@@ -53,10 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item within 5 % edits."""
     ship(spark)
-    numbered = docs.withColumn(f"{OWN}row", F.monotonically_increasing_id())
-    hits = decontam.contaminated(numbered, table(spark, sf_dir, "benchmark"), id_col=f"{OWN}row")
-    leaks = materialize(hits.select(F.col("doc_id").alias(f"{OWN}row")).distinct())
-    return numbered.join(leaks, f"{OWN}row", "left_anti").select(*docs.columns)
+    return decontam.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
