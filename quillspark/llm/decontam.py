@@ -134,6 +134,12 @@ class Matcher:
         return [(self.items[i][0], *min(spans.values()), len(spans)) for i, spans in found.items()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> list:
     """Broadcasts of all items, each of about ``block_chars`` characters; one without items if there are none."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -154,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
     def scan(held):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_rate)
-            for batch in batches:
+            for batch in small(batches):
                 rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matcher.find(text)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
@@ -175,7 +181,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0
     def clean(docs: DataFrame, held) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_rate)
-            for batch in batches:
+            for batch in small(batches):
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(keep, docs.schema)

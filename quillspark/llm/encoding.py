@@ -13,9 +13,11 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Distinct chunks that a worker keeps; beyond them it starts anew, which costs time only.
-CACHE_CHUNKS = 1_000_000
+#: Distinct chunks in each of two generations that a worker keeps: of the older, what is met again moves
+#: to the newer; a chunk that is forgotten costs time only.
+CACHE_CHUNKS = 250_000
 
 _SAFE_CUT = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -36,6 +38,7 @@ class ChunkEncoder:
         self.begins = np.zeros(max(words.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
         self.begins[[i for w, i in words.items() if len(space) == 1 and w.startswith(space[0])]] = True
         self.inner: dict[str, bytes] = {}  # chunks that a space goes before
+        self.older: dict[str, bytes] = {}  # of the inner chunks, the generation before
         self.first: dict[str, bytes] = {}  # chunks at the start of a text
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -53,7 +56,7 @@ class ChunkEncoder:
         return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def _learn_first(self, chunks: set[str]) -> None:
-        if len(self.first) > CACHE_CHUNKS // 4 and not chunks <= self.first.keys():
+        if len(self.first) > CACHE_CHUNKS and not chunks <= self.first.keys():
             self.first.clear()
         new = [x for x in chunks if x not in self.first]
         self.first.update(zip(new, self._library(new), strict=True))
@@ -61,13 +64,18 @@ class ChunkEncoder:
     def _learn_inner(self, chunks: set[str]) -> dict[str, bytes]:
         """A word with punctuation after it is the word's ids and the punctuation's."""
         if len(self.inner) > CACHE_CHUNKS:
-            self.inner.clear()
-        cache, plain, ended = self.inner, set(), []
+            self.older, self.inner = self.inner, {}
+        cache, older, plain, ended = self.inner, self.older, set(), []
         for x in chunks:
+            if x in older:
+                cache[x] = older[x]
+                continue
             word = x.rstrip(".,;:!?")
             if len(word) < len(x) and word.isalpha():
                 ended.append((x, word, x[len(word) :]))
-                if word not in cache:
+                if word in older:
+                    cache[word] = older[word]
+                elif word not in cache:
                     plain.add(word)
             else:
                 plain.add(x)
@@ -116,13 +124,15 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def encode_in_small_batches(path: str, texts: list[str | None], chars: int = 4_000_000):
-    """Yield (position, ids) with at most about ``chars`` characters in work at once."""
-    coder, start = encoder(path), 0
-    while start < len(texts):
-        end, size = start, 0
-        while end < len(texts) and (end == start or size + len(texts[end] or "") <= chars):
-            size += len(texts[end] or "")
-            end += 1
-        yield from enumerate(coder.encode(texts[start:end]), start)
-        start = end
+def encode_in_small_batches(path: str, column: pa.Array, chars: int = 1_000_000, rows: int = 1000):
+    """Yield (position, ids) with at most about ``chars`` characters, or one text, in work at once."""
+    coder = encoder(path)
+    for first in range(0, len(column), rows):
+        texts, start = column.slice(first, rows).to_pylist(), 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end] or "") <= chars):
+                size += len(texts[end] or "")
+                end += 1
+            yield from enumerate(coder.encode(texts[start:end]), first + start)
+            start = end

@@ -53,10 +53,10 @@ def lower_bytes(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
-def batches_of(texts: list[str | None], size: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def batches_of(texts: pa.Array, size: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, word counts) for about ``size`` bytes at a time."""
     for at in range(0, len(texts), 1000):
-        data = [lower_bytes(t) for t in texts[at : at + 1000]]
+        data = [lower_bytes(t) for t in texts.slice(at, 1000).to_pylist()]
         for start, end in chunks(data, size):
             yield at + start, *word_hashes(data[start:end])
 
@@ -66,7 +66,7 @@ def document_frequencies(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> None:
         for b in batches:
-            for _, hashes, counts in batches_of(b.column(0).to_pylist()):
+            for _, hashes, counts in batches_of(b.column(0)):
                 _, value, nth = shingle_sets(hashes, counts, width)
                 slots += np.bincount((value[nth == 0] & np.uint64(DF_SLOTS - 1)).astype(np.int64), minlength=DF_SLOTS)
 
@@ -123,7 +123,7 @@ def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) ->
         slot = np.uint64(DF_SLOTS - 1)
         for b in batches:
             row_ids, ids = b.column(0), b.column(1)
-            for first, hashes, counts in batches_of(b.column(2).to_pylist()):
+            for first, hashes, counts in batches_of(b.column(2)):
                 n = len(counts)
                 keys = content_keys(hashes, counts)
                 fresh = []
@@ -194,7 +194,7 @@ def verify(pairs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: floa
     held = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             one, two = x.column(2).to_pylist(), x.column(3).to_pylist()
             good = [weighted_jaccard(np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4"), held.value) >= threshold - 1e-9 for p, q in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -45,8 +45,8 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col
         worker, filled = TaskContext.get().partitionId(), {}
         out, size = [], 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, ids in encode_in_small_batches(tokenizer_path, texts):
+            keys = batch.column(0).to_pylist()
+            for i, ids in encode_in_small_batches(tokenizer_path, batch.column(1)):
                 ids += end
                 total, start = len(ids) // 4, 0
                 for length in piece_lengths(total, capacity):

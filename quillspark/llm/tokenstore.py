@@ -129,8 +129,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         shard, place, nth, final = task.partitionId(), 0, 0, ""
         out, fs, made = None, None, []
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, ids in encode_in_small_batches(tokenizer_path, texts):
+            keys = batch.column(0).to_pylist()
+            for i, ids in encode_in_small_batches(tokenizer_path, batch.column(1)):
                 if out is None:
                     fs, root = pafs.FileSystem.from_uri(path)
                     final = f"{root}/shard-{shard:06d}.bin"
