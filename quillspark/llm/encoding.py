@@ -17,7 +17,7 @@ import pyarrow as pa
 
 #: Distinct chunks in each of two generations that a worker keeps: of the older, what is met again moves
 #: to the newer; a chunk that is forgotten costs time only.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
 
 _SAFE_CUT = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
