@@ -1,7 +1,7 @@
 """Toxicity: a classifier chain of linear models.
 
-Categories are predicted one after the other by logistic regressions over word occurrences;
-each later model also gets the earlier categories' probabilities. While fitting, those are
+Categories are predicted one after the other by logistic regressions over word occurrences
+and a few measures of the whole text (``MEASURES``), in standard deviations of the sample; each later model also gets the earlier categories' probabilities. While fitting, those are
 out-of-fold predictions, so that a later model learns from probabilities as good as it will
 see on new texts. The labels table names the chain: low quality first, then toxic.
 
@@ -9,7 +9,8 @@ Models are fitted on a bounded sample of labelled rows (``sample_rows``); each c
 features are the words whose share of its documents exceeds their share of the others most,
 by a z-score of the two shares over the whole sample (at least 4). Prediction reads whole texts where they lie.
 
-Contract: null or empty texts have no features and get the models' base rates; a label that
+Contract: null or empty texts have no features (measures count as the sample's means) and get
+the models' base rates; a label that
 is null is not fitted on; labels for unknown documents are ignored, and a document with
 several labels counts with each; without labels, or with one class only, the category's
 probability is its (smoothed) base rate. Other columns are carried along unused.
@@ -17,6 +18,7 @@ probability is its (smoothed) base rate. Other columns are carried along unused.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,16 +32,38 @@ from .common import materialize
 from .sampling import bounded
 
 WORD = re.compile(r"[^\W_]+")
+#: Features of every link beside its words, see ``measures``.
+MEASURES = ("symbols", "distinct_words", "repeated_lines", "log_length")
 
 
 @dataclass(frozen=True)
 class Link:
-    """One category's linear model: weights of words, of earlier probabilities, and a bias."""
+    """One category's linear model: weights of words, of measures and of earlier probabilities.
+
+    ``bias`` goes with the measures as they are, ``blank`` stands for both in an empty text.
+    """
 
     category: str
     words: dict[str, float]
+    measures: tuple[float, ...]
     earlier: tuple[float, ...]
     bias: float
+    blank: float
+
+
+def measures(lower: str, words: list[str]) -> tuple[float, float, float, float]:
+    """Share of symbols, share of distinct words, share of repeated lines, log length.
+
+    Symbols are characters that are neither white space nor part of a word.
+    """
+    solid = sum(map(len, lower.split()))
+    lines = [x for line in lower.split("\n") if (x := line.strip())]
+    return (
+        (solid - sum(map(len, words))) / max(solid, 1),
+        len(set(words)) / len(words) if words else 1.0,
+        1 - len(set(lines)) / len(lines) if lines else 0.0,
+        math.log1p(len(lower)),
+    )
 
 
 def sigmoid(x):
@@ -61,16 +85,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 15)
     return w
 
 
-def fit_chain(x: np.ndarray, words: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int) -> list[Link]:
+def fit_chain(x: np.ndarray, dense: np.ndarray, words: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int) -> list[Link]:
     """Fit each category in turn, with its own ``words``; columns of ``x`` are all words in order.
 
-    ``labels`` hold 0, 1 or -1 (unknown), ``folds`` a row's fold.
+    ``dense`` holds the measures, ``labels`` 0, 1 or -1 (unknown), ``folds`` a row's fold.
     """
     links, earlier = [], np.zeros((len(x), 0))
+    mean, spread = (dense.mean(axis=0), dense.std(axis=0)) if len(dense) else (np.zeros(len(MEASURES)), np.ones(len(MEASURES)))
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    scaled = (dense - mean) / spread
     place = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
     for (category, y), vocabulary in zip(labels.items(), words, strict=True):
         known = y >= 0
-        full = np.hstack([x[:, [place[w] for w in vocabulary]], earlier])
+        full = np.hstack([x[:, [place[w] for w in vocabulary]], scaled, earlier])
         out = np.zeros(len(x))
         w = fit_logistic(full[known], y[known]) if known.any() else np.zeros(full.shape[1] + 1)
         for f in range(n_folds):
@@ -78,8 +105,9 @@ def fit_chain(x: np.ndarray, words: list[list[str]], labels: dict[str, np.ndarra
             fold_w = fit_logistic(full[own], y[own]) if own.any() else w
             at = folds == f
             out[at] = sigmoid(full[at] @ fold_w[:-1] + fold_w[-1])
-        n = len(vocabulary)
-        links.append(Link(category, {v: float(a) for v, a in zip(vocabulary, w[:n], strict=True) if abs(a) > 1e-9}, tuple(map(float, w[n:-1])), float(w[-1])))
+        n, m = len(vocabulary), len(vocabulary) + len(MEASURES)
+        raw = w[n:m] / spread
+        links.append(Link(category, {v: float(a) for v, a in zip(vocabulary, w[:n], strict=True) if abs(a) > 1e-9}, tuple(map(float, raw)), tuple(map(float, w[m:-1])), float(w[-1] - raw @ mean), float(w[-1])))
         earlier = np.hstack([earlier, out[:, None]])
     return links
 
@@ -117,17 +145,22 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [sorted(held.value[w] for w in set(WORD.findall(t.lower())) & held.value.keys()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *[b.column(c) for c in own]], names=["at", *own])
+            ids, dense = [], []
+            for lower in (t.lower() for t in b.column("text").to_pylist()):
+                found = WORD.findall(lower)
+                ids.append(sorted(held.value[w] for w in set(found) & held.value.keys()))
+                dense.append(measures(lower, found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), *[b.column(c) for c in own]], names=["at", "dense", *own])
 
     kinds = ", ".join(f"{c} int" for c in own)
-    rows = sample.select("text", *own).mapInArrow(featurise, f"at array<int>, {kinds}").collect()  # the bounded sample
-    rows.sort(key=lambda r: (list(r["at"]), [r[c] is None or r[c] for c in own]))
+    rows = sample.select("text", *own).mapInArrow(featurise, f"at array<int>, dense array<double>, {kinds}").collect()  # the bounded sample
+    rows.sort(key=lambda r: (list(r["at"]), list(r["dense"]), [r[c] is None or r[c] for c in own]))
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
         x[i, list(r["at"])] = 1
+    dense = np.array([r["dense"] for r in rows]).reshape(len(rows), len(MEASURES))
     y = {name: np.array([-1 if r[c] is None else r[c] for r in rows]) for name, c in zip(categories, own, strict=True)}
-    return fit_chain(x, chosen, y, np.arange(len(rows)) % n_folds, n_folds)
+    return fit_chain(x, dense, chosen, y, np.arange(len(rows)) % n_folds, n_folds)
 
 
 def chain_probabilities(links: list[Link], texts: list[str | None]) -> list[list[float]]:
@@ -135,10 +168,14 @@ def chain_probabilities(links: list[Link], texts: list[str | None]) -> list[list
     vocabulary = frozenset().union(*(link.words for link in links)) if links else frozenset()
     out = []
     for text in texts:
-        present = vocabulary.intersection(WORD.findall(text.lower())) if text else ()
+        lower = text.lower() if text else ""
+        found = WORD.findall(lower)
+        present = sorted(vocabulary.intersection(found))
+        dense = measures(lower, found)
         probs: list[float] = []
         for link in links:
-            s = link.bias + sum(link.words.get(w, 0.0) for w in sorted(present)) + sum(a * p for a, p in zip(link.earlier, probs, strict=True))
+            base = link.bias + sum(a * v for a, v in zip(link.measures, dense, strict=True)) if lower else link.blank
+            s = base + sum(link.words.get(w, 0.0) for w in present) + sum(a * p for a, p in zip(link.earlier, probs, strict=True))
             probs.append(float(sigmoid(s)))
         out.append(probs)
     return out

@@ -7,6 +7,7 @@ from quillspark.llm import decontam, html, langid, licenses, queries, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 def edit_distance_in(pattern, text):
@@ -125,6 +126,18 @@ def test_toxicity_query_finds_labelled_words(spark):
     assert sum(rows[i]["toxic"] for (i,) in clean) <= 0.01 * len(clean)
 
 
+def test_toxicity_chain_learns_both_categories_for_held_out_rows(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    links = toxicity.fit(docs, labels.where("doc_id % 4 <> 1"), toxicity.label_categories())
+    held = labels.where("doc_id % 4 = 1").selectExpr("doc_id", "quality = 0 as low", "toxic = 1 as bad")
+    rows = toxicity.score(docs.join(held, "doc_id"), links).collect()
+    for label, p in (("low", "p_low_quality"), ("bad", "p_toxic")):
+        hit = [r[p] >= 0.5 for r in rows if r[label]]
+        miss = [r[p] >= 0.5 for r in rows if r[label] is False]
+        assert sum(hit) >= 0.8 * len(hit) and sum(miss) <= 0.03 * len(miss)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     got = queries.op6_language_id(spark, SMALL).collect()
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM read_parquet('{SMALL}/documents.parquet')").fetchall())
