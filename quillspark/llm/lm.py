@@ -75,8 +75,11 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(deltas, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int) -> DataFrame:
-    """(key, n) for all keys that ``keys_of(hashes, counts)`` gives at least ``least`` times."""
+def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int, arrays: Callable = token_arrays) -> DataFrame:
+    """(key, n) for all keys that ``keys_of(hashes, counts)`` gives at least ``least`` times.
+
+    ``arrays`` yields the (first text, hashes, counts) of texts.
+    """
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +98,7 @@ def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
         for x in batches:
             rows = x.column(0).to_pylist()
             for at in range(0, len(rows), 1000):
-                for _, hashes, counts in token_arrays(rows[at : at + 1000]):
+                for _, hashes, counts in arrays(rows[at : at + 1000]):
                     keys = keys_of(hashes, counts)
                     held.append(keys)
                     n += len(keys)

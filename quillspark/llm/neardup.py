@@ -1,9 +1,9 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. A shingle is five words. Its weight in a document is its count times its inverse document
-   frequency, ``1 + ln((N + 1) / (df + 1)) / ln(N + 1)``, where df is counted over all
-   documents in a hashed table of fixed size (shingles that share a slot share its df, in all
-   documents alike).
+   frequency, ``1 + ln((N + 1) / (df + 1)) / ln(N + 2)`` in steps of 1 / 65535, where df is
+   counted exactly over all documents; those of 2 and more lie in sorted files in the shared
+   folder, which workers map, so that no size of input is held in memory.
 2. Texts with equal word sequences are one node. Each node draws ``bands * rows`` consistent
    weighted samples; two nodes meet in a band if all its rows agree, which happens in some
    band with a probability of 99.8 % at a weighted Jaccard similarity of 0.8.
@@ -31,15 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import vectors
-from .common import materialize
+from . import lm, vectors
+from .common import materialize, shared_dir
 from .shingles import chunks, content_keys, mix, shingle_sets, word_hashes
 
-#: Slots of the document frequency table, and of the filter of documents to verify.
-DF_SLOTS = 1 << 18
+#: Keys in one file of document frequencies.
+DF_PART = 4_000_000
+#: An element's low bits hold its weight above 1, in these steps.
+STEPS = (1 << 16) - 1
+#: Slots of the filter of documents to verify.
 FILTER_SLOTS = 1 << 20
 #: Share of samples that a pair agrees in to be verified: 2.5 deviations below 0.8 for 80 samples.
 SKETCH_AGREES = 0.69
@@ -61,16 +65,57 @@ def batches_of(texts: pa.Array, size: int = 400_000) -> Iterator[tuple[int, np.n
             yield at + start, *word_hashes(data[start:end])
 
 
-def document_frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    """Number of documents with a shingle in each slot, over all documents."""
+def words_of(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    return batches_of(pa.array(texts, pa.string()))
 
-    def count(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> None:
-        for b in batches:
-            for _, hashes, counts in batches_of(b.column(0)):
-                _, value, nth = shingle_sets(hashes, counts, width)
-                slots += np.bincount((value[nth == 0] & np.uint64(DF_SLOTS - 1)).astype(np.int64), minlength=DF_SLOTS)
 
-    return vectors.total(docs.select("text"), DF_SLOTS, count)
+class Frequencies:
+    """Exact document frequencies of shingles, in mapped files; those not stored are 1."""
+
+    def __init__(self, path: str, level: lm.Level):
+        self.path, self.firsts, self.parts = path, np.array(level.firsts, dtype=np.int64), {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "parts": {}}
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        unique, back = np.unique(values.view(np.int64), return_inverse=True)
+        found = np.ones(len(unique), dtype=np.int64)
+        part = np.searchsorted(self.firsts, unique, side="right") - 1
+        for p in np.unique(part[part >= 0]).tolist():
+            if p not in self.parts:
+                self.parts[p] = lm.map_arrays(self.path, f"df-{p:06d}")
+            stored, at = self.parts[p], np.flatnonzero(part == p)
+            place = np.minimum(np.searchsorted(stored["key"], unique[at]), len(stored["key"]) - 1)
+            found[at] = np.where(stored["key"][place] == unique[at], stored["n"][place], 1)
+        return found[back]
+
+
+def document_frequencies(docs: DataFrame, width: int) -> Frequencies:
+    """Number of documents with a shingle, over all documents."""
+
+    def distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        _, value, nth = shingle_sets(hashes, counts, width)
+        return value[nth == 0]
+
+    path = shared_dir(docs.sparkSession)
+    fs, root = pafs.FileSystem.from_uri(path)
+    fs.create_dir(root)
+
+    def write(part: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        lm.write_arrays(path, f"df-{part:06d}", {"key": keys.astype("<i8"), "n": counts.astype("<i8")})
+
+    common = lm.counted(docs.select("text"), distinct, 2, words_of)
+    return Frequencies(path, lm.write_parts(common, max(1, -(-common.count() // DF_PART)), write))
+
+
+def weight_steps(df: np.ndarray, n: int) -> np.ndarray:
+    """The inverse document frequency above 1, in ``STEPS``."""
+    return np.rint(np.log((n + 1) / (df + 1)).clip(0) / math.log(n + 2) * STEPS).astype(np.uint64)
+
+
+def weights_of(elements: np.ndarray) -> np.ndarray:
+    return 1 + (elements & np.uint64(STEPS)) / STEPS
 
 
 class Sampler:
@@ -108,19 +153,16 @@ class Sampler:
         return out
 
 
-def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) -> DataFrame:
+def sign(docs: DataFrame, frequencies: Frequencies, n_docs: int, width: int, bands: int, rows: int) -> DataFrame:
     """Content keys, band values and shingle elements of all documents.
 
-    ``elements`` are sorted 32-bit values, one per shingle occurrence: 18 bits of the
-    document frequency slot, which gives the weight, and 14 more of the hash. Only the first
+    ``elements`` are sorted 64-bit values, one per shingle occurrence: 48 bits of its hash
+    and 16 of its weight. Only the first
     of equal texts in a partition is sampled; the others' ``bands`` are null.
     """
-    held = docs.sparkSession.sparkContext.broadcast(np.log(idf))  # DF_SLOTS numbers
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, seen = Sampler(bands * rows), set()
         band_seeds = mix(np.arange(1, bands + 1, dtype=np.uint64))
-        slot = np.uint64(DF_SLOTS - 1)
         for b in batches:
             row_ids, ids = b.column(0), b.column(1)
             for first, hashes, counts in batches_of(b.column(2)):
@@ -139,17 +181,17 @@ def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) ->
                     mask = np.zeros(n, dtype=bool)
                     mask[fresh] = True
                     owner, value, nth = shingle_sets(hashes[np.repeat(mask, counts)], np.where(mask, counts, 0), width)
-                    at = (value & slot).astype(np.int64)
+                    steps = weight_steps(frequencies.of(value), n_docs)
                     element = np.where(nth > 0, mix(value + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), value)
                     starts = np.searchsorted(owner, fresh)
-                    samples = sampler.sample(element, held.value[at], starts).view(np.uint64)
+                    samples = sampler.sample(element, np.log(weights_of(steps)), starts).view(np.uint64)
                     grouped = np.zeros((len(fresh), bands), dtype=np.uint64)
                     for j in range(rows):
                         grouped = mix(grouped + samples[:, j::rows])
                     grouped = mix(grouped ^ band_seeds).view(np.int64)
-                    small = ((element >> np.uint64(50) << np.uint64(18)) | (value & slot)).astype(np.uint32)
+                    weighted = (element & ~np.uint64(STEPS)) | steps
                     for i, s, e in zip(fresh, starts, [*starts[1:], len(value)], strict=True):
-                        elements[i] = np.unique(small[s:e]).astype("<u4").tobytes()
+                        elements[i] = np.unique(weighted[s:e]).astype("<u8").tobytes()
                     short = (mix(samples) >> np.uint64(56)).astype(np.uint8)
                     for i, g, x in zip(fresh, grouped, short, strict=True):
                         chosen[i], sketches[i] = g, x.tobytes()
@@ -163,11 +205,10 @@ def sign(docs: DataFrame, idf: np.ndarray, width: int, bands: int, rows: int) ->
     return docs.select("row", "doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Of two sorted element sets; an element's weight is its slot's idf."""
-    slot = np.uint32(DF_SLOTS - 1)
-    both = idf[np.intersect1d(a, b, assume_unique=True) & slot].sum()
-    return float(both / (idf[a & slot].sum() + idf[b & slot].sum() - both))
+def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted element sets."""
+    both = weights_of(np.intersect1d(a, b, assume_unique=True)).sum()
+    return float(both / (weights_of(a).sum() + weights_of(b).sum() - both))
 
 
 def elements_of(rows: DataFrame, signed: DataFrame, columns: tuple[str, ...] = ("row", "elements")) -> DataFrame:
@@ -189,14 +230,13 @@ def elements_of(rows: DataFrame, signed: DataFrame, columns: tuple[str, ...] = (
     return own.mapInArrow(needed, own.schema)
 
 
-def verify(pairs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
-    held = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             one, two = x.column(2).to_pylist(), x.column(3).to_pylist()
-            good = [weighted_jaccard(np.frombuffer(p, dtype="<u4"), np.frombuffer(q, dtype="<u4"), held.value) >= threshold - 1e-9 for p, q in zip(one, two, strict=True)]
+            good = [weighted_jaccard(np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8")) >= threshold - 1e-9 for p, q in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     elements = elements_of(pairs.select("a", "b"), signed)
@@ -226,12 +266,11 @@ def with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialize(here.join(split, "band"))
 
 
-def missing_links(here: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def missing_links(here: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """(a, b): verified links between a bucket's components, as many as connect them.
 
     Members outside the bucket's largest component meet all members, in pairs of blocks.
     """
-    held = here.sparkSession.sparkContext.broadcast(idf)
     sizes = here.groupBy("band", "comp").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("big"))
     buckets = buckets.select("band", F.col("big.comp").alias("big"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("big.n")) / BLOCK).cast("int").alias("outer"))
@@ -242,11 +281,10 @@ def missing_links(here: DataFrame, signed: DataFrame, idf: np.ndarray, threshold
     outer = rows.where("comp <> big").select("band", upto("blocks").alias("i"), block("outer").alias("j"), "row", "comp", "sketch", "elements", F.lit(True).alias("out"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        weights, slot = held.value, np.uint32(DF_SLOTS - 1)
         out, row, comp = group["out"].to_numpy(), group["row"].to_numpy(), group["comp"].to_numpy().copy()
         sketch = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(len(group), -1)
-        sets = [np.frombuffer(x, dtype="<u4") for x in group["elements"]]
-        total = np.array([weights[x & slot].sum() for x in sets])
+        sets = [np.frombuffer(x, dtype="<u8") for x in group["elements"]]
+        total = np.array([weights_of(x).sum() for x in sets])
         least = SKETCH_AGREES * sketch.shape[1]
         every, found = np.flatnonzero(~out), []
         for k in np.flatnonzero(out):
@@ -257,7 +295,7 @@ def missing_links(here: DataFrame, signed: DataFrame, idf: np.ndarray, threshold
             both = np.concatenate([sets[c] for c in near])
             owner = np.repeat(np.arange(len(near)), [len(sets[c]) for c in near])
             at = np.minimum(np.searchsorted(sets[k], both), len(sets[k]) - 1)
-            shared = np.bincount(owner, weights=np.where(sets[k][at] == both, weights[both & slot], 0.0), minlength=len(near))
+            shared = np.bincount(owner, weights=np.where(sets[k][at] == both, weights_of(both), 0.0), minlength=len(near))
             for c in near[shared / (total[near] + total[k] - shared) >= threshold - 1e-9]:
                 if comp[c] != comp[k]:
                     found.append((min(row[c], row[k]), max(row[c], row[k])))
@@ -276,10 +314,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     """
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     own = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequency = document_frequencies(own, width)
-    n = own.count()
-    idf = 1 + np.log((n + 1) / (frequency + 1)).clip(0) / math.log(n + 2)
-    signed = materialize(sign(own, idf, width, bands, rows))
+    signed = materialize(sign(own, document_frequencies(own, width), own.count(), width, bands, rows))
 
     # One node for each word sequence: its first sampled row.
     nodes = materialize(signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("row"))).alias("node")))
@@ -292,7 +327,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     for turn in range(3):
         here = with_components(members, labels)
         if turn == 2:
-            found = missing_links(here, signed, idf, threshold)
+            found = missing_links(here, signed, threshold)
         else:
             # First one centre, the same in as many bands as can be; then a few, in each band others.
             if turn == 0:
@@ -301,7 +336,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
                 order = Window.partitionBy("band").orderBy(F.xxhash64("band", "row"))
                 chosen = here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= centres).select("band", F.col("row").alias("centre"), F.col("comp").alias("own"))
             pairs = here.join(chosen, "band").where("comp <> own").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b"))
-            found = verify(materialize(pairs.distinct()), signed, idf, threshold)
+            found = verify(materialize(pairs.distinct()), signed, threshold)
         found = materialize(found.distinct())
         links = found if links is None else links.union(found)
         labels = components(links)
