@@ -7,9 +7,10 @@ tag's weight is the log ratio of its rates inside and outside the content (at mo
 ``-LEAST``), and a word's weight that of words (at least ``LEAST``). They are fitted on a
 bounded sample of labelled pages (``sample_pages``).
 
-Words inside elements that are never content (scripts, menus, forms, footers, elements whose
-class or id says sidebar, advert, notice, comments and the like) score nothing and are left
-out of the region's text.
+Elements that are never content (scripts, menus, forms, footers, elements with a class, id or
+role like sidebar, advert, notice or comments) score nothing, neither words nor tags, and are
+left out of the region's text. A region that meets an ``article`` element (without one, a
+``main`` element) is extended to all of it, so that lists of short items do not cut it.
 
 Contract: null or empty html gives an empty text; a page without words gives an empty text;
 repeated rows are extracted each; an empty table gives no rows. Character references are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .sampling import bounded
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the value is closed by the start of the key's.
@@ -42,6 +43,11 @@ NEVER = frozenset("head script style nav aside form footer menu button select di
 NEVER_NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu topbar toolbar breadcrumb breadcrumbs pagination pager footer foot masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended trending widget comment comments reply replies discussion disqus respond contentinfo complementary form".split()
 )
+#: Words that may stand beside those in a compound name, as in ``top-menu``.
+PLACES = frozenset("top bottom left right main site page global header list box bar block container wrapper inner outer content area section panel primary secondary mobile desktop links buttons button icons item items group unit slot post posts article story entry form wrap row col column sticky floating fixed policy email thread".split())
+#: Ids that headings' slugs have, too: an id of a ``section``, or of ``class="section"``, says nothing by them.
+SLUGS = frozenset("ad ads advertising sponsor sponsored promo promotion banner side navigation menu foot cookie cookies consent gdpr notice notices alert overlay subscription signup login search share sharing social related recommended trending reply replies discussion respond complementary form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST = 0.05
 SPACE = re.compile(r"\s+")
 
@@ -62,17 +68,38 @@ class Node:
     content: bool
 
 
-def named(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def parts(token: str) -> list[str]:
+    """The words of a class or id: ``topMenu`` and ``top-menu`` are two."""
+    return [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+
+
+def says(token: str, names: frozenset[str]) -> bool:
+    """Whether the whole name is one of the names, alone or in a compound with ``PLACES``."""
+    own = [x for x in parts(token) if not x.isdigit()]
+    return any(x in names for x in own) and all(x in names or x in PLACES for x in own)
+
+
+def named(element: str, attributes: str) -> tuple[set[str], bool, bool]:
+    """Words of class, id and role, whether the element is never content, and whether a header."""
     words: set[str] = set()
-    hidden = False
+    held: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            hidden = True
-        elif key in ("class", "id", "role"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return words, hidden
+        held.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    never = "hidden" in held or held.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", held.get("style", ""), re.I))
+    header = False
+    classes = held.get("class", "").split()
+    slug = element == "section" or "section" in classes
+    for key in ("class", "id", "role"):
+        for token in held.get(key, "").split():
+            words.update(x for x in re.findall(r"[a-z]+", " ".join(parts(token))))
+            if element in HEADINGS or element in ("body", "html", "article", "main"):
+                continue
+            names = NEVER_NAMED
+            if key == "id":
+                names = names - SLUGS if slug else names - {"discussion"}
+            never = never or says(token, names)
+            header = header or says(token, frozenset(("header",)))
+    return words, never, header
 
 
 def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -105,7 +132,8 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 if block:
                     yield "break", name, never > 0, content > 0
                 continue
-            words, hidden = named(m[4]) if m[4] else (set(), False)
+            words, out, header = named(name, m[4]) if m[4] else (set(), False, False)
+            out = out or name in NEVER
             if block:
                 if stack and stack[-1].name == "p":
                     pop()
@@ -113,14 +141,13 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     if stack and stack[-1].name == old:
                         pop()
                 yield "break", name, never > 0, content > 0
-            yield "tag", ".".join([name, *sorted(words)]), never > 0, content > 0
+            marked = name in ("article", "main")
+            out = out or (name == "header" or header) and not content
+            yield "tag", ".".join([name, *sorted(words)]), never > 0 or out, content > 0
             if name in VOID:
                 if name == "br":
                     yield "text", " ", never > 0, content > 0
                 continue
-            marked = name in ("article", "main")
-            header = (name == "header" or "header" in words) and not content
-            out = hidden or name in NEVER or header or bool(words & NEVER_NAMED and name not in ("body", "html") and not marked)
             stack.append(Node(name, out, marked))
             never += out
             content += marked
@@ -129,34 +156,45 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
 
 def region(page: str, weights: Weights) -> str:
-    """The text of the highest-scoring contiguous region, in blocks."""
+    """The text of the highest-scoring contiguous region, in blocks, with all of its articles."""
     blocks: list[tuple[int, str]] = []  # (position of a block's first words, its text)
-    parts: list[str] = []
+    words: list[str] = []
     position, at = 0, 0
     total = best = 0.0
     low, span = 0, (0, 0)
+    held: dict[str, list[list[int]]] = {"article": [], "main": []}  # outermost elements' first and last positions
+    depth = {"article": 0, "main": 0}
 
     def flush() -> None:
-        nonlocal parts
-        if parts:
-            text = SPACE.sub(" ", references.unescape("".join(parts))).strip()
+        nonlocal words
+        if words:
+            text = SPACE.sub(" ", references.unescape("".join(words))).strip()
             if text:
                 blocks.append((at, text))
-            parts = []
+            words = []
 
     for kind, value, never, _ in events(page):
         position += 1
         if kind == "break":
             flush()
             continue
+        if kind == "tag" and (element := value.partition(".")[0].lstrip("/")) in held:
+            if value[0] != "/":
+                if not depth[element] and not never:
+                    held[element].append([position, 1 << 62])
+                depth[element] += not never
+            elif depth[element] and not never:
+                depth[element] -= 1
+                if not depth[element]:
+                    held[element][-1][1] = position
+        if never:
+            continue
         if kind == "tag":
             score = weights.tags.get(value, weights.tags.get(value.partition(".")[0], weights.other))
-        elif never:
-            continue
         else:
-            if not parts:
+            if not words:
                 at = position
-            parts.append(value)
+            words.append(value)
             score = weights.word * len(value.split())
         total += score
         if total <= 0:
@@ -164,19 +202,26 @@ def region(page: str, weights: Weights) -> str:
         elif total > best:
             best, span = total, (low, position)
     flush()
+    for element in ("article", "main"):
+        met = [x for x in held[element] if any(span[0] < where <= span[1] and x[0] < where <= x[1] for where, _ in blocks)]
+        if met:
+            span = min(span[0], met[0][0]), max(span[1], met[-1][1])
+            break
     return "\n\n".join(text for where, text in blocks if span[0] < where <= span[1])
 
 
 def count_tokens(page: str) -> Counter | None:
-    """(tag or ``word``, inside content) counts of a labelled page; None for an unlabelled one."""
+    """(tag or ``word``, inside content) counts of what a labelled page's scan scores; None for an unlabelled one."""
     counts: Counter = Counter()
     if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
         return None
     for kind, value, never, inside in events(page):
+        if never:
+            continue
         if kind == "tag" and not value.lstrip("/").startswith(("article", "main")):
             counts[value, inside] += 1
         elif kind == "text":
-            counts["", inside and not never] += len(value.split())
+            counts["", inside] += len(value.split())
     return counts
 
 
