@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..shared import materialize, shared_dir
+from ..shared import discard, materialize, remove, shared_dir
 
-__all__ = ["crc_mod", "materialize", "shared_dir"]
+__all__ = ["crc_mod", "discard", "materialize", "remove", "shared_dir"]
 
 
 def crc_mod(id_column: str, mod: int):

@@ -30,7 +30,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -43,19 +42,21 @@ from .eliasfano import EliasFano, encode
 from .shingles import NOT_SPACE, chunks, mix, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
-FLUSH = 4_000_000  # keys that a task holds before it sends them
-CHUNK = 2_000_000  # bytes of text that are scored at once
+FLUSH = 1_500_000  # keys that a task holds before it sends them
+CHUNK = 500_000  # bytes of text that are worked on at once
+BUCKET_CHARS = 6_000_000  # characters of the texts whose keys are added up in one group
 STEP, STEP_BACK = 0.04, 0.025  # of the quantised log10 values
 WORD_BITS = np.uint64(32)
 WORD_MASK = np.uint64((1 << 32) - 1)
 
 
-def token_arrays(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def token_arrays(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, hashes, counts): hashes with an end token after each text's words."""
-    data = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-    for start, end in chunks(data, CHUNK):
-        words, n = word_hashes(data[start:end], NOT_SPACE)
-        yield start, np.insert(words, np.cumsum(n), END), n + 1
+    for at in range(0, len(texts), 1000):
+        data = [(t or "").encode("utf-8", "replace").lower() for t in texts.slice(at, 1000).to_pylist()]
+        for start, end in chunks(data, CHUNK):
+            words, n = word_hashes(data[start:end], NOT_SPACE)
+            yield at + start, np.insert(words, np.cumsum(n), END), n + 1
 
 
 # --- counting ---------------------------------------------------------------
@@ -78,9 +79,11 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], least: int, arrays: Callable = token_arrays) -> DataFrame:
     """(key, n) for all keys that ``keys_of(hashes, counts)`` gives at least ``least`` times.
 
-    ``arrays`` yields the (first text, hashes, counts) of texts.
+    ``arrays`` yields the (first text, hashes, counts) of texts. Keys are dealt over as many
+    buckets as the texts' length asks for, so that a bucket does not grow with the input.
     """
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -96,30 +99,28 @@ def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "block": [pack_block(keys[part], counts[part])]})
 
         for x in batches:
-            rows = x.column(0).to_pylist()
-            for at in range(0, len(rows), 1000):
-                for _, hashes, counts in arrays(rows[at : at + 1000]):
-                    keys = keys_of(hashes, counts)
-                    held.append(keys)
-                    n += len(keys)
-                    if n > FLUSH:
-                        yield from flush()
-                        held, n = [], 0
+            for _, hashes, counts in arrays(x.column(0)):
+                keys = keys_of(hashes, counts)
+                held.append(keys)
+                n += len(keys)
+                if n > FLUSH:
+                    yield from flush()
+                    held, n = [], 0
         if n:
             yield from flush()
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack_block(x) for x in group["block"]]
+    def add(group: pa.Table) -> pa.Table:
+        parts = [unpack_block(x.as_py()) for x in group["block"]]
         keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sums = np.add.reduceat(counts, first)
         keep = sums >= least
-        return pd.DataFrame({"key": keys[first][keep].view(np.int64), "n": sums[keep]})
+        return pa.table({"key": keys[first][keep].view(np.int64), "n": sums[keep]})
 
     blocks = texts.mapInArrow(send, "bucket long, block binary")
-    return materialize(blocks.groupBy("bucket").applyInPandas(add, "key long, n long"))
+    return materialize(blocks.groupBy("bucket").applyInArrow(add, "key long, n long"))
 
 
 # --- files ------------------------------------------------------------------
@@ -354,17 +355,17 @@ def add_level(model: Model, kept: DataFrame, part_nodes: int, discount: float) -
     def log_back(s: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.log10(np.maximum(1 - (s - discount * k) / np.maximum(c, 1), 1e-6))
 
-    def write_back(group: pd.DataFrame) -> pd.DataFrame:
-        p = int(group["part"].iloc[0])
+    def write_back(group: pa.Table) -> pa.Table:
+        p = group["part"][0].as_py()
         nodes = group["context"].to_numpy()
         size = (below.bases[p + 1] if p + 1 < len(below.bases) else below.nodes) - below.bases[p]
         c = opened(held).field(level - 1, nodes, "count", "level")
         back = np.zeros(size, dtype=np.uint8)
         back[nodes - below.bases[p]] = np.clip(np.rint(-log_back(group["s"].to_numpy(), group["k"].to_numpy(), c) / STEP_BACK), 0, 255)
         write_arrays(path, f"back{level - 1}-{p:06d}", {"back": back})
-        return pd.DataFrame({"part": [p]})
+        return pa.table({"part": pa.array([p], pa.int64())})
 
-    backs = stats.where(F.col("context") < below.nodes).withColumn("part", part).groupBy("part").applyInPandas(write_back, "part long")
+    backs = stats.where(F.col("context") < below.nodes).withColumn("part", part).groupBy("part").applyInArrow(write_back, "part long")
     below = replace(below, back=frozenset(r["part"] for r in backs.collect()))
     begin_back = float(log_back(np.array([begin[0]["s"]]), np.array([begin[0]["k"]]), np.array([model.texts]))[0]) if begin else model.begin_back
     held = replace(model, levels=(*model.levels[:-1], below), begin_back=begin_back)
@@ -469,15 +470,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = opened(model)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 1000):
-                for start, hashes, counts in token_arrays(texts[at : at + 1000]):
-                    known, base, own = score_tokens(trie, hashes, counts)
-                    firsts = np.cumsum(counts) - counts
-                    sums = [counts, *(np.add.reduceat(x, firsts) for x in (known.astype(np.int64), base, own))]
-                    part = b.slice(at + start, len(counts))
-                    new = [pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*keep, *names])
+            for start, hashes, counts in token_arrays(b.column(0)):
+                known, base, own = score_tokens(trie, hashes, counts)
+                firsts = np.cumsum(counts) - counts
+                sums = [counts, *(np.add.reduceat(x, firsts) for x in (known.astype(np.int64), base, own))]
+                part = b.slice(start, len(counts))
+                new = [pa.array(x, t) for x, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*keep, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + ["n_tokens long, n_known long, base_score double, score double"])
     return rows.mapInArrow(run, schema)

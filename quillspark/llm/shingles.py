@@ -12,6 +12,8 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; those of longer texts are made anew.
+KEPT_POWERS = 1 << 20
 
 WORD_BYTES = np.array([i > 127 or chr(i).isalnum() for i in range(256)])
 #: Bytes that separate tokens on white space alone: blank and \\t to \\r.
@@ -31,10 +33,12 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = n if n > KEPT_POWERS else min(KEPT_POWERS, max(2 * n, 1 << 16))
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
-        have = _powers[base] = np.multiply.accumulate(out)
+        have = np.multiply.accumulate(out)
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

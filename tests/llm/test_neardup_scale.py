@@ -17,9 +17,19 @@ def test_rare_shingles_keep_their_weight_in_a_large_corpus(spark):
 
 
 def test_repeats_of_a_shingle_count_as_often_as_they_occur(spark):
-    docs = [(0, "a b c d e " * 8_000), (1, "a b c d e " * 16_000)]
-    signed = neardup.sign(
-        spark.createDataFrame([(i, i, t) for i, t in docs], "row long, doc_id long, text string").coalesce(1),
-        neardup.document_frequencies(spark.createDataFrame(docs, "doc_id long, text string"), 5), 2, 5, 16, 5)
-    sets = [neardup.np.frombuffer(r["elements"], dtype="<u8") for r in signed.orderBy("row").collect()]
+    docs = spark.createDataFrame([(0, "a b c d e " * 8_000), (1, "a b c d e " * 16_000)], "row long, text string")
+    own = docs.withColumn("doc_id", docs["row"]).coalesce(1)
+    frequencies = neardup.document_frequencies(own, 5)
+    nodes = neardup.sign(own, frequencies, 5, 16, 5).select("k1", "k2", "row", "sketch")
+    stored = neardup.shingles_of(own, nodes, frequencies, 5).orderBy("row").collect()
+    sets = [neardup.np.frombuffer(r["elements"], dtype="<u8") for r in stored]
     assert abs(neardup.weighted_jaccard(*sets) - 0.5) < 0.001
+
+
+def test_frequencies_are_exact_from_the_least_on(spark):
+    docs = [("one two three four five six",)] * 3 + [("one two three four five seven",), (None,), ("",)]
+    found = neardup.document_frequencies(spark.createDataFrame(docs, "text string"), 5)
+    hashes, counts = neardup.word_hashes([b"one two three four five", b"two three four five six", b"not met before at all"])
+    _, values, _ = neardup.shingle_sets(hashes, counts, 5)
+    assert (found.n_docs, found.least) == (6, 2)
+    assert found.of(values).tolist() == [4, 3, 1]
