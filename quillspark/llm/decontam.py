@@ -7,23 +7,28 @@ distance. Texts and items are compared in lower case with every run of white spa
 punctuation as one space, and an item only matches whole words at its ends.
 
 Scale: documents are scanned once where they lie, with no shuffle. The items go to the
-tasks in blocks of at most ``block_chars`` characters; a larger benchmark takes one scan for
-each block, so what is broadcast never grows beyond that bound.
+tasks in blocks of about ``block_chars`` characters; a larger benchmark takes one scan for
+each block, one after the other, so what is broadcast at a time never grows beyond that bound.
 
 Contract: null or empty texts match nothing, items without a letter or digit match nothing;
-repeated documents are reported once each row, repeated items under each of their ids; empty
-tables give no rows. Other columns are ignored.
+repeated documents are reported once each row, repeated items under each of their ids, null ids
+as null; of equally close places the first stands; texts of any length are scanned whole; empty
+tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, materialize, per_worker
+
 _ASCII = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 _OTHER = re.compile(r"[^\w\x00-\x7f]")  # neither ASCII nor letter nor digit
 FOUND = "doc_id long, item_id long, distance int, start int, end int, matches int"
@@ -140,13 +145,29 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> list:
-    """Broadcasts of all items, each of about ``block_chars`` characters; one without items if there are none."""
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> tuple[int, Iterator]:
+    """The number of blocks of about ``block_chars`` characters, and a broadcast of each block's items in turn.
+
+    A block goes when the next one is asked for; there is one, without items, if there are none.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-chars // block_chars))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) for block in range(n)]
-    return [benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+    def blocks() -> Iterator:
+        for block in range(n):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
+            held = benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in part.collect()]))
+            yield held
+            held.destroy()
+
+    return n, blocks()
+
+
+def matcher_of(held, error_rate: float) -> Matcher:
+    """This worker's matcher of a block."""
+    key, items = held.value
+    return per_worker(("items", key, error_rate), lambda: Matcher(items, error_rate))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
@@ -159,19 +180,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05
 
     def scan(held):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_rate)
+            matcher = matcher_of(held, error_rate)
             for batch in small(batches):
                 rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matcher.find(text)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "end", "matches"])
 
-        return read.mapInArrow(find, FOUND)
+        return in_arrow(read, find, FOUND, keeps=True)
 
-    found = None
-    for held in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        found = scan(held) if found is None else found.unionByName(scan(held))
-    return found
+    n, blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    if n == 1:
+        return scan(next(blocks))
+    return reduce(DataFrame.unionByName, [materialize(scan(held)) for held in blocks])  # written before the block goes
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 8_000_000) -> DataFrame:
@@ -180,12 +201,15 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0
 
     def clean(docs: DataFrame, held) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, error_rate)
+            matcher = matcher_of(held, error_rate)
             for batch in small(batches):
                 yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return in_arrow(docs, keep, docs.schema, keeps=True)
 
-    for held in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        docs = clean(docs, held)
+    n, blocks = item_blocks(benchmark, item_col, item_text_col, block_chars)
+    if n == 1:
+        return clean(docs, next(blocks))
+    for held in blocks:
+        docs = materialize(clean(docs, held))  # written before the block goes
     return docs

@@ -4,7 +4,7 @@ A byte-level BPE tokenizer splits text before every space that a non-space follo
 text's ids are those of its chunks in a row. Chunks repeat far more often than texts do:
 each distinct chunk goes through the tokenizers library once per worker, and the rest is
 a dictionary lookup. Texts in which a special token's string occurs go through the
-library whole. ``tests/llm/test_encoding.py`` holds both ways against each other.
+library whole. ``tests/llm/test_encoding_packing.py`` holds both ways against each other.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from .common import per_worker
+
 #: Distinct chunks in each of two generations that a worker keeps: of the older, what is met again moves
 #: to the newer; a chunk that is forgotten costs time only.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 
 _SAFE_CUT = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
-_encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -117,11 +118,17 @@ class ChunkEncoder:
         return [next(whole_ids) if parts is None else b"".join(ids) for parts, ids in zip(split, rows, strict=True)]
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer file knows, added tokens included."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return max(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0), max(tokenizer.get_added_tokens_decoder(), default=0))
+
+
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return per_worker(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def encode_in_small_batches(path: str, column: pa.Array, chars: int = 1_000_000, rows: int = 1000):

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .sampling import bounded
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
@@ -236,7 +237,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
                 total.update(count_tokens(page) or ())
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], names=["token", "inside", "n"])
 
-    counted = rows.mapInArrow(count, "token string, inside boolean, n long").groupBy("token").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
+    counted = in_arrow(rows, count, "token string, inside boolean, n long").groupBy("token").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
     found = {r["token"]: (r["i"], r["o"]) for r in counted.orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(max_tags).collect()}
     inside, outside = (sum(v[k] for v in found.values()) for k in (0, 1))
     if not inside or not outside:
@@ -259,4 +260,4 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html", name: st
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*keep, name])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"`{name}` string"])
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import in_arrow, materialize, per_worker, shared_dir
 from .eliasfano import EliasFano, encode
 from .shingles import NOT_SPACE, chunks, mix, word_hashes
 
@@ -119,7 +119,7 @@ def counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.nda
         keep = sums >= least
         return pa.table({"key": keys[first][keep].view(np.int64), "n": sums[keep]})
 
-    blocks = texts.mapInArrow(send, "bucket long, block binary")
+    blocks = in_arrow(texts, send, "bucket long, block binary", keeps=True)
     return materialize(blocks.groupBy("bucket").applyInArrow(add, "key long, n long"))
 
 
@@ -301,16 +301,10 @@ class Trie:
         return found
 
 
-_tries: dict[str, Trie] = {}
-
-
 def opened(model: Model) -> Trie:
     """This worker's view of the model's files."""
     key = f"{model.path}/{len(model.levels)}/{[len(x.back) for x in model.levels]}"
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(model)
-    return _tries[key]
+    return per_worker(("trie", key), lambda: Trie(model))
 
 
 # --- building ---------------------------------------------------------------
@@ -328,7 +322,7 @@ def write_parts(rows: DataFrame, parts: int, write: Callable[[int, np.ndarray, n
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "first": pa.array([int(keys[0])], pa.int64()), "n": pa.array([len(keys)], pa.int64())})
 
     dealt = rows.select("key", "n").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    listed = sorted((r["part"], r["first"], r["n"]) for r in dealt.mapInArrow(run, "part long, first long, n long").collect())
+    listed = sorted((r["part"], r["first"], r["n"]) for r in in_arrow(dealt, run, "part long, first long, n long", keeps=True).collect())
     size = max((x[0] for x in listed), default=-1) + 1
     sizes = dict((x[0], x[2]) for x in listed)
     # Parts that stayed empty (possible for few keys) take their successor's place.
@@ -479,5 +473,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*keep, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + ["n_tokens long, n_known long, base_score double, score double"])
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema, keeps=True)
 

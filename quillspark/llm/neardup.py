@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lm, vectors
-from .common import discard, materialize, remove, shared_dir
+from .common import discard, in_arrow, materialize, remove, shared_dir
 from .shingles import chunks, content_keys, mix, shingle_sets, word_hashes
 
 #: Keys in one file of document frequencies.
@@ -246,7 +246,7 @@ def sign(docs: DataFrame, frequencies: Frequencies, width: int, bands: int, rows
                      pa.array(chosen, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                     names=["row", "doc_id", "k1", "k2", "bands", "sketch"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, SIGNED)
+    return in_arrow(docs.select("row", "doc_id", "text"), run, SIGNED)
 
 
 def shingles_of(docs: DataFrame, nodes: DataFrame, frequencies: Frequencies, width: int) -> DataFrame:
@@ -270,7 +270,7 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, frequencies: Frequencies, wid
                     k1, k2 = keys[:, fresh].view(np.int64)
                     yield pa.RecordBatch.from_pydict({"k1": k1, "k2": k2, "elements": pa.array(made, pa.binary())})
 
-    made = docs.select("text").mapInArrow(run, "k1 long, k2 long, elements binary")
+    made = in_arrow(docs.select("text"), run, "k1 long, k2 long, elements binary")
     # Equal texts of several partitions: of each, one stays.
     return nodes.join(made.groupBy("k1", "k2").agg(F.first("elements").alias("elements")), ["k1", "k2"]).select("row", "sketch", "elements")
 
@@ -300,7 +300,7 @@ def among(stored: DataFrame, rows: DataFrame) -> DataFrame:
         for x in batches:
             yield x.filter(pa.array(wanted.value[slot_of(x.column(0).to_numpy().view(np.uint64), FILTER_SLOTS)]))
 
-    return stored.mapInArrow(needed, stored.schema)
+    return in_arrow(stored, needed, stored.schema)
 
 
 def verify(pairs: DataFrame, needed: DataFrame, threshold: float) -> DataFrame:
@@ -313,7 +313,8 @@ def verify(pairs: DataFrame, needed: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = pairs.join(needed.select(F.col("row").alias("a"), F.col("elements").alias("one")), "a")
-    return first.join(needed.select(F.col("row").alias("b"), F.col("elements").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(check, "a long, b long")
+    both = first.join(needed.select(F.col("row").alias("b"), F.col("elements").alias("two")), "b")
+    return in_arrow(both.select("a", "b", "one", "two"), check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ one slice of one shard: the time does not depend on the number of documents.
 Contract: a null text is the empty text; a null key is a key of its own and comes first;
 rows that repeat a key are all stored, told apart by ``copy`` (0, 1, ... in stored order,
 which follows the text's hash); an empty table gives an empty store. Columns other than key
-and text are ignored.
+and text are ignored, whatever their names. Very long texts are written one at a time.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import materialize, shared_dir
-from .encoding import encode_in_small_batches
+from .common import in_arrow, materialize, shared_dir
+from .encoding import encode_in_small_batches, largest_id
 
 #: Keys in a bucket of the index, on average.
 BUCKET_KEYS = 1024
@@ -115,9 +115,11 @@ def _key_columns(key: str, copy):
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> TokenStore:
     """Encode every document, append ``end_id`` and write shards, rows and index.
 
-    ``width`` is the bytes of a stored id (2 or 4).
+    ``width`` is the bytes of a stored id (2 or 4); a tokenizer with larger ids is refused.
     """
     spark = docs.sparkSession
+    if max(largest_id(tokenizer_path), end_id) >= 1 << 8 * width:
+        raise ValueError(f"the tokenizer has ids that {width} bytes do not hold; choose width=4")
     path = shared_dir(spark)
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(root)
@@ -154,7 +156,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         .repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
     )
-    stored = materialize(dealt.select("doc_id", "text").mapInArrow(write, "doc_id long, shard long, place long, n long, nth long"))
+    stored = materialize(in_arrow(dealt.select("doc_id", "text"), write, "doc_id long, shard long, place long, n long, nth long", keeps=True))
     totals = stored.groupBy("shard").agg(F.sum("n").alias("ids"), F.count("*").alias("docs"))
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     shards = materialize(totals.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first_id"), F.coalesce(F.sum("docs").over(earlier), F.lit(0)).alias("first_doc")))
@@ -233,4 +235,4 @@ def read_ids(store: TokenStore, places: DataFrame) -> DataFrame:
 
     parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = places.repartitionByRange(parts, "shard", "place").sortWithinPartitions("shard", "place")
-    return near.mapInArrow(read, StructType([*near.schema.fields, StructField("ids", BinaryType())]))
+    return in_arrow(near, read, StructType([*near.schema.fields, StructField("ids", BinaryType())]))

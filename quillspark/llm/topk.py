@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 
 BLOCK = "dim int, row binary, id binary, matrix binary, salt int"
 FOUND = "query_row long, query_id long, vec_id long, score long"
@@ -75,7 +75,7 @@ def blocks(rows: DataFrame, size: int, salts: int) -> DataFrame:
         for dim, taken in waiting.items():
             yield block(dim, taken)
 
-    return rows.select("vec_id", "v", "row").mapInArrow(pack, BLOCK)
+    return in_arrow(rows.select("vec_id", "v", "row"), pack, BLOCK)
 
 
 class Lists:
@@ -148,6 +148,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
-    found = pairs.select("dim", "row", "id", "matrix", "q_row", "q_id", "q_matrix").mapInArrow(search, FOUND)
+    found = in_arrow(pairs.select("dim", "row", "id", "matrix", "q_row", "q_id", "q_matrix"), search, FOUND)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_arrow, materialize
 from .sampling import bounded
 
 WORD = re.compile(r"[^\W_]+")
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), *[b.column(c) for c in own]], names=["at", "dense", *own])
 
     kinds = ", ".join(f"{c} int" for c in own)
-    rows = sample.select("text", *own).mapInArrow(featurise, f"at array<int>, dense array<double>, {kinds}").collect()  # the bounded sample
+    rows = in_arrow(sample.select("text", *own), featurise, f"at array<int>, dense array<double>, {kinds}").collect()  # the bounded sample
     rows.sort(key=lambda r: (list(r["at"]), list(r["dense"]), [r[c] is None or r[c] for c in own]))
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
@@ -198,7 +198,7 @@ def score(docs: DataFrame, links: list[Link], text_col: str = "text", prefix: st
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{c}` double" for c in names])
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def label_categories() -> dict[str, Column]:

@@ -10,6 +10,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 #: Entries of the vector that are summed as one row.
 PART = 1 << 16
 #: Tasks whose parts are summed as one group, before the groups' sums are.
@@ -48,7 +50,7 @@ def total(rows: DataFrame, size: int, count: Callable[[Iterator[pa.RecordBatch],
         return pa.table({"part": group["part"][:1], "group": pa.array([0], pa.int32()), "counts": pa.array([packed(summed)], pa.binary())})
 
     schema = "part int, group int, counts binary"
-    filled = rows.mapInArrow(fill, schema).groupBy("part", "group").applyInArrow(add, schema)
+    filled = in_arrow(rows, fill, schema).groupBy("part", "group").applyInArrow(add, schema)
     out = np.zeros(-(-size // PART) * PART, dtype=np.int64)
     for r in filled.groupBy("part").applyInArrow(add, schema).collect():
         out[r["part"] * PART : (r["part"] + 1) * PART] = unpacked(r["counts"])
