@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -18,6 +20,8 @@ def ship(spark: SparkSession) -> SparkSession:
     Needed where the package is imported from a source tree that the executors lack.
     """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))  # whole texts can be long: Arrow batches by size, not by rows alone
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         root = Path(__file__).resolve().parent
@@ -27,4 +31,5 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(root.rglob("*.py")):
                 out.write(file, file.relative_to(root.parent))
         context.addPyFile(path)
+        atexit.register(Path(path).unlink, missing_ok=True)
     return spark
