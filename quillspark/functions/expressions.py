@@ -2,145 +2,537 @@
 
 A view's filters and cells are short texts over a note's properties, such as
 ``not hasPropertyValue(file, "tags", "book")`` or ``getPropertyValue(file, "price", 0) * 5``.
-They are rewritten into Spark SQL, call by call, and Spark's own parser and optimiser do
-the rest; what is not one of the known calls, an operator, a literal or a formula raises
-``UnsupportedExpression``, so a note's text can never run code.
+They are read into tokens and compiled to columns of Spark's own functions. No text of a note
+becomes SQL, and anything outside the forms below raises ``UnsupportedExpression``.
+
+Values are nil, booleans, numbers (doubles), texts, lists of texts and others. Only nil and
+false count as false. ``==`` compares kind and value, ``<`` numbers with numbers or texts with
+texts; ``..`` joins texts and numbers; arithmetic takes numbers and texts that are numbers;
+``%`` has its divisor's sign; a division by zero is infinite or not a number. An operation on
+values of other kinds fails: a filter that fails is false, a cell that fails is empty.
+
+Forms: literals, parentheses, ``or and not``, ``< <= > >= == ~=``, ``..``, ``+ - * / % ^``,
+``#``, ``hasProperty``, ``hasPropertyValue``, ``getPropertyValue``, ``file:get``, ``toFixed``,
+``string.format`` (``%d %i %s %f %%``), ``string.lower``, ``string.upper``, ``string.len``,
+``tostring``, ``tonumber``, ``math.floor``, ``math.ceil``, ``math.abs``, calls of the view's
+formulas, and ``listJoined(file, name, before, after, separator)``.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import number_text
+
 
 class UnsupportedExpression(ValueError):
     """The text is outside the supported forms."""
 
 
 STRING = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
-HAS = re.compile(rf"hasProperty\(\s*file\s*,\s*({STRING})\s*\)")
-HAS_VALUE = re.compile(rf"hasPropertyValue\(\s*file\s*,\s*({STRING})\s*,\s*({STRING}|-?[\d.]+|true|false)\s*\)")
-GET = re.compile(rf"getPropertyValue\(\s*file\s*,\s*({STRING})\s*(?:,\s*({STRING}|-?[\d.]+|true|false|nil)\s*)?\)|file:get\(\s*({STRING})\s*\)")
-FIXED = re.compile(r"toFixed\(((?:[^(),]|\([^()]*\))+),\s*\d+\s*\)")
-FORMAT = re.compile(rf"string\.format\(\s*({STRING})\s*,((?:[^(),]|\([^()]*\))+)\)")
+TOKEN = re.compile(rf"\s*(?:(?P<string>{STRING})|(?P<number>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)|(?P<sign>\.\.|==|~=|<=|>=|[-+*/%^#<>(),:]))", re.S)
+DIRECTIVE = re.compile(r"%(?:%|(\d*(?:\.\d+)?)([a-zA-Z]))")
+NUMERIC = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+# Escapes in quoted texts.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 #: The idiom that joins a list's elements with a text before and after each.
-JOINED = re.compile(r"table\.concat\(.*?getPropertyValue\(\s*file\s*,\s*\"(\w+)\".*?table\.insert\(\s*t\s*,\s*(.*?)\s*\)\s*end.*?,\s*(\"[^\"]*\")\s*\)\s*$", re.S)
-NUMBER = r"(?:\{\d+\}|\d+(?:\.\d+)?|\([^()]*\))"
-PLAIN = re.compile(r"(?:\s+|\{\d+\}|\d+(?:\.\d+)?|\|\||<=|>=|<>|[-+*/%()<>=,]|\b(?:and|or|not|true|false|power)\b)*", re.I)
-
-
-def literal(text: str) -> str:
-    """A quoted text of the view as a SQL literal."""
-    inner = re.sub(r"\\(.)", r"\1", text[1:-1])
-    return "'" + inner.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def number_sql(x: str) -> str:
-    return f"(CASE WHEN ({x}) = floor({x}) AND abs({x}) < 1e15 THEN CAST(CAST(({x}) AS BIGINT) AS STRING) ELSE CAST(({x}) AS STRING) END)"
-
-
-def text_sql(v: str, missing: str) -> str:
-    n = number_sql(f"{v}.num")
-    return f"(CASE WHEN {v} IS NULL THEN {missing} WHEN {v}.kind = 'string' THEN {v}.str WHEN {v}.kind = 'list' THEN concat('[', array_join({v}.list, ', ', 'nil'), ']') WHEN {v}.kind = 'bool' THEN CAST({v}.bool AS STRING) WHEN {v}.kind IN ('int', 'double') THEN {n} WHEN {v}.kind = 'null' THEN {missing} ELSE {v}.json END)"
-
-
-@dataclass
-class Rewriter:
-    """Collects SQL fragments under numbered places while a text is rewritten."""
-
-    formulas: dict[str, str]
-    props: str = "props"
-
-    def __post_init__(self) -> None:
-        self.parts: list[str] = []
-
-    def place(self, sql: str) -> str:
-        self.parts.append(sql)
-        return f"{{{len(self.parts) - 1}}}"
-
-    def value(self, key: str) -> str:
-        return f"{self.props}[{literal(key)}]"
-
-    def expand(self, text: str) -> str:
-        """Formulas in place of their calls, to a bounded depth."""
-        for _ in range(20):
-            new = re.sub(r"\b(\w+)\(\s*file\s*\)", lambda m: f"({re.sub(r'^\s*return\s+', '', self.formulas[m[1]]).strip().rstrip(';')})" if m[1] in self.formulas else m[0], text)
-            if new == text:
-                return text
-            text = new
-        raise UnsupportedExpression("formulas refer to themselves")
-
-    def has_value(self, m: re.Match) -> str:
-        v, x = self.value(m[1]), m[2]
-        if x in ("true", "false"):
-            return self.place(f"coalesce({v}.kind = 'bool' AND {v}.bool = {x}, false)")
-        if x[0] in "\"'":
-            return self.place(f"coalesce(CASE WHEN {v}.kind = 'list' THEN array_contains({v}.list, {literal(x)}) WHEN {v}.kind = 'string' THEN {v}.str = {literal(x)} END, false)")
-        return self.place(f"coalesce({v}.kind IN ('int', 'double') AND {v}.num = {x}, false)")
-
-    def sql(self, text: str) -> tuple[str, str]:
-        """(SQL, type): the type is text, number, formatted or boolean."""
-        text = self.expand(text.strip())
-        if m := JOINED.search(text):
-            pieces = [literal(p) if p[0] == '"' else "CAST(v AS STRING)" for p in re.split(r"\s*\.\.\s*", m[2])]
-            return f"coalesce(array_join(transform({self.value(repr(m[1]))}.list, v -> concat({', '.join(pieces)})), {literal(m[3])}), '')", "text"
-        boolean = bool(HAS.search(text) or HAS_VALUE.search(text))
-        text = HAS_VALUE.sub(self.has_value, text)
-        text = HAS.sub(lambda m: self.place(f"coalesce({self.value(m[1])}.kind <> 'null', false)"), text)
-        strings = re.sub(STRING, "", GET.sub("", text))
-        joins = ".." in strings
-        numeric = not joins and bool(re.search(r"[-+*/%^]|toFixed|string\.format", strings) or re.search(r"[<>]|[=~]=", strings) and not re.search(STRING, GET.sub("", text)))
-
-        def get(m: re.Match) -> str:
-            v, default = self.value(m[1] or m[3]), m[2]
-            if numeric:
-                return self.place(f"coalesce({v}.num, {default})" if default and re.fullmatch(r"-?[\d.]+", default) else f"{v}.num")
-            return self.place(text_sql(v, literal(default) if default and default[0] in "\"'" else f"'{default or 'nil'}'"))
-
-        text = GET.sub(get, text)
-        kind = "number" if numeric else "text"
-        for _ in range(10):
-            before = text
-            text = re.sub(rf"({NUMBER})\s*\^\s*({NUMBER})", lambda m: self.place(f"power({m[1]}, {m[2]})"), text)
-            if m := FIXED.search(text):
-                text, kind = text[: m.start()] + self.place(f"CAST(({m[1]}) AS DOUBLE)") + text[m.end() :], "formatted"
-            if m := FORMAT.search(text):
-                pattern = re.fullmatch(r"([^%]*)%\.?\d*f([^%]*)", m[1][1:-1])
-                if not pattern:
-                    raise UnsupportedExpression(f"format {m[1]}")
-                text, kind = text[: m.start()] + self.place(f"concat('{pattern[1]}', CAST(CAST(({m[2]}) AS DOUBLE) AS STRING), '{pattern[2]}')") + text[m.end() :], "text"
-            text = re.sub(r"\((\{\d+\})\)", r"\1", text)
-            if text == before:
-                break
-        text = re.sub(STRING, lambda m: self.place(literal(m[0])), text)
-        text = text.replace("..", "||").replace("==", "=").replace("~=", "<>")
-        if not PLAIN.fullmatch(text):
-            raise UnsupportedExpression(text)
-        if re.search(r"[<>=]", text) or boolean:
-            kind = "boolean"
-        return self.filled(text), kind
-
-    def filled(self, text: str) -> str:
-        for _ in range(50):
-            new = re.sub(r"\{(\d+)\}", lambda m: f"({self.parts[int(m[1])]})", text)
-            if new == text:
-                return text
-            text = new
-        return text
-
-
-def condition(text: str, formulas: dict[str, str] | None = None) -> Column:
-    """A filter expression; never null. A value that is not a boolean holds if it is there."""
-    sql, kind = Rewriter(formulas or {}).sql(text)
-    return F.coalesce(F.expr(sql if kind == "boolean" else f"({sql}) IS NOT NULL"), F.lit(False))
-
-
-def cell(text: str, formulas: dict[str, str] | None = None) -> Column:
-    """A cell as text; null arithmetic gives an empty cell."""
-    sql, kind = Rewriter(formulas or {}).sql(text)
-    if kind == "number":
-        sql = number_sql(sql)
-    return F.coalesce(F.expr(f"CAST(({sql}) AS STRING)"), F.lit(""))
+JOINED = re.compile(
+    rf"""table\.concat\(\s*\(\s*function\(\)\s*local\s+(?P<out>\w+)\s*=\s*\{{\s*\}};?\s*local\s+(?P<all>\w+)\s*=\s*\(\s*getPropertyValue\(\s*file\s*,\s*(?P<key>{STRING})\s*(?:,\s*(?:{STRING})\s*)?\)\s*or\s*\{{\s*\}}\s*\)\s*:\s*toArray\(\);?
+    \s*for\s+(?P<i>\w+)\s*=\s*1\s*,\s*\#(?P=all)\s+do\s+local\s+(?P<one>\w+)\s*=\s*(?P=all)\[(?P=i)\];?\s*table\.insert\(\s*(?P=out)\s*,\s*(?P<item>(?:{STRING}|[\w\s.])+?)\s*\);?\s*end;?\s*return\s+(?P=out);?\s*end\s*\)\(\)\s*,\s*(?P<between>{STRING})\s*\)""".replace("\n", ""),
+    re.S | re.X,
+)
+KEYWORDS = frozenset(("and", "or", "not", "true", "false", "nil"))
+#: Levels, tokens, and parts of the compiled columns that an expression may have.
+MAX_DEPTH, MAX_STEPS, MAX_SIZE = 60, 600, 4000
+
+
+def nothing(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def unquoted(text: str) -> str:
+    """The text between quotes, its escapes resolved."""
+    return re.sub(r"\\(\d{1,3}|.)", lambda m: chr(int(m[1])) if m[1].isdigit() else ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.S)
+
+
+@dataclass(frozen=True)
+class Value:
+    """A compiled value.
+
+    ``kind`` is nil, bool, number, string, list or any. But for any, ``column`` holds the value
+    and is null where computing it failed; of a ``sure`` boolean it is never null. Any has its
+    columns in ``fields``, of which ``kind`` is null for nil and ``failed`` where computing it did.
+    """
+
+    kind: str
+    column: Column | None = None
+    fields: dict[str, Column] | None = None
+    constant: object = None
+    sure: bool = False
+    size: int = 1
+
+
+def grown(*values: Value, times: int = 1) -> int:
+    """The size of a column in which the values' columns occur so many times."""
+    size = 1 + times * sum(v.size for v in values)
+    if size > MAX_SIZE:
+        raise UnsupportedExpression("the expression is too large")
+    return size
+
+
+FIELDS = {"kind": "string", "str": "string", "num": "double", "bool": "boolean", "list": "array<string>", "json": "string"}
+OF = {"bool": "bool", "number": "num", "string": "str", "list": "list"}
+NIL = Value("nil")
+
+
+def constant(x) -> Value:
+    kind = "bool" if isinstance(x, bool) else "number" if isinstance(x, float) else "string"
+    return Value(kind, F.lit(x), constant=x, sure=kind == "bool")
+
+
+def truth_value(c: Column) -> Value:
+    """A boolean that never fails."""
+    return Value("bool", F.coalesce(c, F.lit(False)), sure=True)
+
+
+def fields_of(v: Value) -> dict[str, Column]:
+    if v.kind == "any":
+        return v.fields
+    out = {name: nothing(t) for name, t in FIELDS.items()}
+    if v.kind != "nil":
+        out["kind"] = F.when(v.column.isNotNull(), F.lit(v.kind)).otherwise(F.lit("failed"))
+        out[OF[v.kind]] = v.column
+    return out
+
+
+def property_value(key: str, props: str) -> Value:
+    v = F.col(props)[key]
+    kind = F.when(v["kind"].isin("int", "double"), "number").when(v["kind"] != "null", v["kind"])
+    return Value("any", fields={"kind": kind, **{name: v[name] for name in FIELDS if name != "kind"}})
+
+
+def is_nil(v: Value) -> Column:
+    return F.lit(v.kind == "nil") if v.kind != "any" else v.fields["kind"].isNull()
+
+
+def truth(v: Value) -> Column:
+    """Whether the value counts as true; null where it failed."""
+    if v.kind == "nil":
+        return F.lit(False)
+    if v.kind == "bool":
+        return v.column
+    if v.kind != "any":
+        return F.when(v.column.isNotNull(), F.lit(True))
+    kind = v.fields["kind"]
+    return F.when(kind.isNull(), F.lit(False)).when(kind == "bool", v.fields["bool"]).when(kind != "failed", F.lit(True))
+
+
+def chain(values: list[Value], stop: bool) -> Value:
+    """The first value that counts as ``stop``, else the last one; failed where one before it failed."""
+    tests, last = [truth(v) for v in values[:-1]], values[-1]
+    if all(v.kind == "bool" for v in values):
+        if all(v.sure for v in values):
+            return Value("bool", reduce((lambda a, b: a | b) if stop else (lambda a, b: a & b), [v.column for v in values]), sure=True, size=grown(*values))
+        column = last.column
+        for t in reversed(tests):
+            column = F.when(t.isNull(), nothing("boolean")).when(t == F.lit(stop), F.lit(stop)).otherwise(column)
+        return Value("bool", column, size=grown(*values, times=2))
+    fields = fields_of(last)
+    for v, t in zip(reversed(values[:-1]), reversed(tests), strict=True):
+        own = fields_of(v)
+        fields = {name: F.when(t.isNull(), F.lit("failed") if name == "kind" else nothing(kind)).when(t == F.lit(stop), own[name]).otherwise(fields[name]) for name, kind in FIELDS.items()}
+    return Value("any", fields=fields, size=grown(*values, times=5))
+
+
+def default(v: Value, other: Value) -> Value:
+    """The value, or another one where it is nil."""
+    missing, a, b = is_nil(v), fields_of(other), fields_of(v)
+    return Value("any", fields={name: F.when(missing, a[name]).otherwise(b[name]) for name in FIELDS}, size=grown(v, v, other))
+
+
+def number(v: Value) -> Column:
+    """The value as an operand of arithmetic; null where it is none."""
+    parsed = lambda s: F.when(s.rlike(NUMERIC), F.trim(s).try_cast("double"))
+    if v.kind == "number":
+        return v.column
+    if v.kind == "string":
+        return parsed(v.column)
+    if v.kind == "any":
+        return F.when(v.fields["kind"] == "number", v.fields["num"]).when(v.fields["kind"] == "string", parsed(v.fields["str"]))
+    return nothing("double")
+
+
+def shown(c: Column) -> Column:
+    """A number as text."""
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(number_text(c))
+
+
+def joinable(v: Value) -> Column:
+    """The value as an operand of ``..``; null where it is none."""
+    if v.kind == "string":
+        return v.column
+    if v.kind == "number":
+        return shown(v.column)
+    if v.kind == "any":
+        return F.when(v.fields["kind"] == "string", v.fields["str"]).when(v.fields["kind"] == "number", shown(v.fields["num"]))
+    return nothing("string")
+
+
+def text(v: Value) -> Column:
+    """The value as a text that a reader sees; null where it failed."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", ", "nil"), F.lit("]"))
+    if v.kind == "nil":
+        return F.lit("nil")
+    if v.kind in ("string", "number"):
+        return joinable(v)
+    if v.kind == "bool":
+        return v.column.cast("string")
+    if v.kind == "list":
+        return listed(v.column)
+    f = v.fields
+    return (
+        F.when(f["kind"].isNull(), "nil").when(f["kind"] == "string", f["str"]).when(f["kind"] == "number", shown(f["num"]))
+        .when(f["kind"] == "bool", f["bool"].cast("string")).when(f["kind"] == "list", listed(f["list"])).when(f["kind"] == "failed", nothing("string")).otherwise(f["json"])
+    )
+
+
+def equal(a: Value, b: Value) -> Column:
+    """Whether both are of one kind and equal; null where one failed."""
+    if "any" not in (a.kind, b.kind):
+        if a.kind != b.kind or a.kind == "nil":
+            return F.lit(a.kind == b.kind)
+        return a.column == b.column
+    if a.kind != "any":
+        a, b = b, a
+    f = a.fields
+    if b.kind == "nil":
+        return f["kind"].isNull()
+    if b.kind != "any":
+        same = F.coalesce((f["kind"] == b.kind) & (f[OF[b.kind]] == b.column), F.lit(False))
+        return same if b.constant is not None else F.when(b.column.isNotNull(), same)
+    g = b.fields
+    alike = F.when(f["kind"].isNull() | g["kind"].isNull(), f["kind"].isNull() & g["kind"].isNull())
+    for kind, field in {**OF, "other": "json"}.items():
+        alike = alike.when((f["kind"] == kind) & (g["kind"] == kind), f[field] == g[field])
+    return alike.otherwise(F.lit(False))
+
+
+ORDER = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def ordered(sign: str, a: Value, b: Value) -> Column:
+    """Comparison of two numbers or two texts; null for other kinds."""
+    test = ORDER[sign]
+    if a.kind == b.kind and a.kind in ("number", "string"):
+        return test(a.column, b.column)
+    kinds = {v.kind for v in (a, b)} - {"any"}
+    f, g = fields_of(a), fields_of(b)
+    numbers, texts = test(f["num"], g["num"]), test(f["str"], g["str"])
+    if kinds == {"number"}:
+        return F.when((f["kind"] == "number") & (g["kind"] == "number"), numbers)
+    if kinds == {"string"}:
+        return F.when((f["kind"] == "string") & (g["kind"] == "string"), texts)
+    return F.when((f["kind"] == "number") & (g["kind"] == "number"), numbers).when((f["kind"] == "string") & (g["kind"] == "string"), texts)
+
+
+def divided(a: Column, b: Column) -> Column:
+    beyond = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, beyond).otherwise(F.try_divide(a, b))
+
+
+ARITHMETIC = {
+    "+": lambda a, b: a + b,
+    "-": lambda a, b: a - b,
+    "*": lambda a, b: a * b,
+    "/": divided,
+    "%": lambda a, b: F.when(b == 0, F.when(a.isNotNull(), float("nan"))).otherwise(a - F.floor(F.try_divide(a, b)).cast("double") * b),
+    "^": F.pow,
+}
+
+
+class Compiler:
+    """Recursive descent over the tokens of one text, by ascending strength of the operators."""
+
+    def __init__(self, formulas: dict[str, str] | None, props: str = "props"):
+        self.formulas, self.props, self.steps = formulas or {}, props, 0
+
+    def compile(self, source: str, depth: int = 0) -> Value:
+        if not isinstance(source, str):
+            raise UnsupportedExpression(f"not a text: {source!r}")
+        source = source.strip()
+        if m := JOINED.fullmatch(source):
+            return self.joined_idiom(m)
+        reader = Reader(self, source, depth)
+        value = reader.either()
+        if reader.kind:
+            raise UnsupportedExpression(f"{reader.text!r} in {source!r}")
+        return value
+
+    def formula(self, name: str, depth: int) -> Value:
+        if depth > MAX_DEPTH:
+            raise UnsupportedExpression("formulas refer to themselves")
+        body = re.sub(r"^\s*return\b", "", str(self.formulas[name])).strip().removesuffix(";")
+        return self.compile(body, depth + 1)
+
+    def joined(self, key: str, before: str, after: str, between: str) -> Value:
+        items = F.col(self.props)[key]["list"]
+        made = F.array_join(F.transform(items, lambda x: F.concat(F.lit(before), x, F.lit(after))), between)
+        return Value("string", made)
+
+    def joined_idiom(self, m: re.Match) -> Value:
+        parts = re.findall(rf"{STRING}|\.\.|\w+|\S", m["item"], re.S)
+        parts, signs = parts[::2], parts[1::2]
+        if set(signs) - {".."} or len(parts) != len(signs) + 1 or parts.count(m["one"]) != 1 or any(p != m["one"] and not re.fullmatch(STRING, p, re.S) for p in parts):
+            raise UnsupportedExpression(m["item"])
+        at = parts.index(m["one"])
+        before, after = ("".join(map(unquoted, x)) for x in (parts[:at], parts[at + 1 :]))
+        return self.joined(unquoted(m["key"]), before, after, unquoted(m["between"]))
+
+
+class Reader:
+    """The tokens of a text, and the grammar over them."""
+
+    def __init__(self, compiler: Compiler, source: str, depth: int):
+        self.compiler, self.source, self.at, self.depth = compiler, source, 0, depth
+        self.kind = self.text = ""
+        self.next()
+
+    def next(self) -> None:
+        if not self.source[self.at :].strip():
+            self.kind = self.text = ""
+            return
+        m = TOKEN.match(self.source, self.at)
+        if not m:
+            raise UnsupportedExpression(self.source[self.at :])
+        self.kind, self.text, self.at = m.lastgroup, m[m.lastgroup], m.end()
+        self.compiler.steps += 1
+        if self.compiler.steps > MAX_STEPS:
+            raise UnsupportedExpression("the expression is too long")
+
+    def take(self, text: str) -> bool:
+        """Whether the token is this sign or word; it is passed over then."""
+        if self.kind in ("sign", "name") and self.text == text:
+            self.next()
+            return True
+        return False
+
+    def want(self, text: str) -> None:
+        if not self.take(text):
+            raise UnsupportedExpression(f"{text!r} expected in {self.source!r}")
+
+    def either(self) -> Value:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise UnsupportedExpression("too many levels")
+        values = [self.both()]
+        while self.take("or"):
+            values.append(self.both())
+        self.depth -= 1
+        return chain(values, True) if len(values) > 1 else values[0]
+
+    def both(self) -> Value:
+        values = [self.compared()]
+        while self.take("and"):
+            values.append(self.compared())
+        return chain(values, False) if len(values) > 1 else values[0]
+
+    def compared(self) -> Value:
+        left = self.joined()
+        while self.kind == "sign" and self.text in ("==", "~=", "<", "<=", ">", ">="):
+            sign = self.text
+            self.next()
+            right = self.joined()
+            if sign in ORDER:
+                left = Value("bool", ordered(sign, left, right), size=grown(left, right, times=2))
+            else:
+                same = equal(left, right)
+                left = Value("bool", same if sign == "==" else ~same, size=grown(left, right, times=4))
+        return left
+
+    def joined(self) -> Value:
+        values = [self.sums()]
+        while self.take(".."):
+            values.append(self.sums())
+        return Value("string", F.concat(*map(joinable, values)), size=grown(*values, times=5)) if len(values) > 1 else values[0]
+
+    def sums(self) -> Value:
+        left = self.products()
+        while self.kind == "sign" and self.text in "+-":
+            left = self.arithmetic(left, self.products)
+        return left
+
+    def products(self) -> Value:
+        left = self.unary()
+        while self.kind == "sign" and self.text in "*/%":
+            left = self.arithmetic(left, self.unary)
+        return left
+
+    def arithmetic(self, left: Value, following) -> Value:
+        sign = self.text
+        self.next()
+        right = following()
+        return Value("number", ARITHMETIC[sign](number(left), number(right)), size=grown(left, right, times=4 if sign in "/%" else 1))
+
+    def unary(self) -> Value:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise UnsupportedExpression("too many levels")
+        if self.take("not"):
+            v = self.unary()
+            out = Value("bool", ~truth(v), sure=v.sure, size=grown(v, times=3))
+        elif self.take("-"):
+            v = self.unary()
+            out = Value("number", -number(v), size=grown(v))
+        elif self.take("#"):
+            v = self.unary()
+            f = fields_of(v)
+            size = F.when(f["kind"] == "string", F.length(f["str"])).when(f["kind"] == "list", F.size(f["list"]))
+            out = Value("number", size.cast("double"), size=grown(v, times=4))
+        else:
+            out = self.power()
+        self.depth -= 1
+        return out
+
+    def power(self) -> Value:
+        base = self.single()
+        if self.take("^"):  # binds to the right, and stronger than a sign before it
+            exponent = self.unary()
+            return Value("number", F.pow(number(base), number(exponent)), size=grown(base, exponent))
+        return base
+
+    def single(self) -> Value:
+        kind, token = self.kind, self.text
+        if not kind:
+            raise UnsupportedExpression(f"{self.source!r} ends early")
+        self.next()
+        if kind == "string":
+            return constant(unquoted(token))
+        if kind == "number":
+            return constant(float(token))
+        if token == "(":
+            value = self.either()
+            self.want(")")
+            return value
+        if token in ("true", "false"):
+            return constant(token == "true")
+        if token == "nil":
+            return NIL
+        if token == "file" and self.take(":"):
+            self.want("get")
+            self.want("(")
+            key = self.key()
+            self.want(")")
+            return property_value(key, self.compiler.props)
+        if kind == "name" and token not in KEYWORDS and self.take("("):
+            return self.call(token)
+        raise UnsupportedExpression(f"{token!r} in {self.source!r}")
+
+    def key(self) -> str:
+        if self.kind != "string":
+            raise UnsupportedExpression(f"a quoted name expected in {self.source!r}")
+        key = unquoted(self.text)
+        self.next()
+        return key
+
+    def arguments(self, least: int, most: int) -> list[Value]:
+        """The rest of a call's arguments, up to the closing parenthesis."""
+        out = []
+        if not self.take(")"):
+            while True:
+                out.append(self.either())
+                if not self.take(","):
+                    break
+            self.want(")")
+        if not least <= len(out) <= most:
+            raise UnsupportedExpression(f"{len(out)} arguments in {self.source!r}")
+        return out
+
+    def call(self, name: str) -> Value:
+        props = self.compiler.props
+        if name in self.compiler.formulas and self.take("file"):
+            self.want(")")
+            return self.compiler.formula(name, self.depth)
+        if name in ("hasProperty", "hasPropertyValue", "getPropertyValue", "listJoined"):
+            self.want("file")
+            self.want(",")
+            key = self.key()
+            rest = self.arguments(0, 3) if self.take(",") else self.arguments(0, 0)
+            found = property_value(key, props)
+            if name == "hasProperty" and not rest:
+                return truth_value(found.fields["kind"].isNotNull())
+            if name == "hasPropertyValue" and len(rest) == 1:
+                if isinstance(rest[0].constant, str):  # as plain as can be, so that it can reach the scan
+                    v, text_ = F.col(props)[key], rest[0].constant
+                    return truth_value(F.when(v["kind"] == "list", F.array_contains(v["list"], text_)).when(v["kind"] == "string", v["str"] == text_))
+                inside = F.array_contains(found.fields["list"], fields_of(rest[0])["str"])
+                test = truth_value(F.when(found.fields["kind"] == "list", inside).otherwise(equal(found, rest[0])))
+                return replace(test, size=grown(found, rest[0], times=4))
+            if name == "getPropertyValue" and len(rest) <= 1:
+                return default(found, rest[0]) if rest and rest[0].kind != "nil" else found
+            if name == "listJoined" and len(rest) == 3 and all(isinstance(r.constant, str) for r in rest):
+                return self.compiler.joined(key, *(r.constant for r in rest))
+        elif name == "toFixed":
+            x, _ = self.arguments(2, 2)
+            return Value("string", number(x).cast("string"), size=grown(x))  # the number of decimals has no effect
+        elif name == "string.format":
+            return self.format(self.arguments(1, 20))
+        elif name == "tostring":
+            (x,) = self.arguments(1, 1)
+            return Value("string", text(x), size=grown(x, times=10))
+        elif name == "tonumber":
+            (v,) = self.arguments(1, 1)
+            x = number(v)
+            fields = fields_of(NIL) | {"kind": F.when(x.isNotNull(), "number"), "num": x}
+            return Value("any", fields=fields, size=grown(v, times=2))
+        elif name in ("math.floor", "math.ceil", "math.abs"):
+            (v,) = self.arguments(1, 1)
+            x = number(v)
+            return Value("number", {"math.floor": F.floor, "math.ceil": F.ceil, "math.abs": F.abs}[name](x).cast("double"), size=grown(v))
+        elif name in ("string.lower", "string.upper", "string.len"):
+            (v,) = self.arguments(1, 1)
+            x, size = joinable(v), grown(v, times=5)
+            return Value("number", F.length(x).cast("double"), size=size) if name == "string.len" else Value("string", F.lower(x) if name == "string.lower" else F.upper(x), size=size)
+        raise UnsupportedExpression(f"{name} in {self.source!r}")
+
+    def format(self, arguments: list[Value]) -> Value:
+        """A pattern's directives in order; widths and precisions have no effect."""
+        pattern, values = arguments[0].constant, arguments[1:]
+        if not isinstance(pattern, str):
+            raise UnsupportedExpression("a format must be a quoted text")
+        pieces, at = [], 0
+        for m in DIRECTIVE.finditer(pattern):
+            pieces.append(F.lit(pattern[at : m.start()]))
+            at = m.end()
+            if not m[2]:
+                pieces.append(F.lit("%"))
+                continue
+            if not values:
+                raise UnsupportedExpression(f"no value for {m[0]}")
+            v = values.pop(0)
+            if m[2] == "f":
+                pieces.append(number(v).cast("string"))
+            elif m[2] in "di":
+                pieces.append(number(v).try_cast("bigint").cast("string"))
+            elif m[2] == "s":
+                pieces.append(text(v))
+            else:
+                raise UnsupportedExpression(f"format {m[0]}")
+        if "%" in re.sub(DIRECTIVE, "", pattern):
+            raise UnsupportedExpression(f"format {pattern!r}")
+        return Value("string", F.concat(*pieces, F.lit(pattern[at:])), size=grown(*arguments, times=5))
+
+
+def condition(source: str, formulas: dict[str, str] | None = None) -> Column:
+    """A filter expression; never null."""
+    v = Compiler(formulas).compile(source)
+    return v.column if v.sure else F.coalesce(truth(v), F.lit(False))
+
+
+def cell(source: str, formulas: dict[str, str] | None = None) -> Column:
+    """A cell as text; empty where it failed."""
+    return F.coalesce(text(Compiler(formulas).compile(source)), F.lit(""))

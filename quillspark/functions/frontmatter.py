@@ -54,6 +54,10 @@ def _parsed(blocks: pd.Series) -> pd.Series:
     return blocks.map(yaml_to_json)
 
 
+#: Called non-deterministic so that the optimiser keeps one call where a filter and a projection use it.
+_parsed = _parsed.asNondeterministic()
+
+
 def front_matter(text: Column) -> Column:
     """The property map of a note's front matter, or null."""
     return F.from_json(_parsed(F.regexp_extract(text, BLOCK, 1)), PROPS)

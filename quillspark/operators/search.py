@@ -20,6 +20,7 @@ otherwise compares with the empty text. ``fixed_semantics`` gives what was meant
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote_to_bytes
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..schema import has_key, prop
 
 INTEGER = r"^[+-]?[0-9]+$"
+INT32 = range(-(1 << 31), 1 << 31)
 
 
 def _decoded(part: str) -> str:
@@ -54,12 +56,17 @@ def _int(c: Column) -> Column:
     return F.when(c.rlike(INTEGER), c.try_cast("int"))
 
 
+def _whole(text: str) -> int | None:
+    """The 32-bit integer that a text is, if it is one."""
+    return int(text) if re.fullmatch(r"[+-]?[0-9]+", text) and len(text) < 20 and int(text) in INT32 else None
+
+
 def matches(key: str, value: str, props: str = "props", on_type_error: str = "false", fixed_semantics: bool = False) -> Column:
     """Whether the property matches the value; never null."""
     v = prop(key, props)
     kind, s, items = v["kind"], v["str"], v["list"]
-    number = int(value[1:]) if value[:1] in "<>" and value[1:].lstrip("+-").isdigit() else None
-    plain = int(value) if value.lstrip("+-").isdigit() else None
+    number = _whole(value[1:]) if value[:1] in ("<", ">") else None
+    plain = _whole(value)
     bad = F.raise_error(F.lit(f"not an integer for property {key}: {value}")).cast("boolean") if on_type_error == "raise" else F.lit(False)
     if value.endswith("*"):
         text, any_of, whole = s.startswith(value[:-1]), F.exists(items, lambda x: x.startswith(value[:-1])), bad

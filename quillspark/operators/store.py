@@ -1,8 +1,11 @@
 """A persistent table of notes: Parquet with the properties as JSON.
 
 Rows are ``id`` (md5 of the path), ``path``, ``created_at``, ``updated_at`` and
-``properties_json``. Each change writes a new version in a folder of its own and then
-publishes it by a small pointer file, so readers never see half a version.
+``properties_json``. Each change writes a new version, ``version-N-<name>``, whose number is one
+above the last complete one (Spark marks a complete folder by ``_SUCCESS``), so readers never see
+half a version and a writer that stops half-way changes nothing. Of two writers of one number one
+fails. ``vacuum`` removes old versions. Each change writes the table anew, so save many notes at
+once.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import PROPS
+from ..shared import remove
+from .graph import outgoing
+from .search import search
 
 SCHEMA = "id string, path string, created_at timestamp, updated_at timestamp, properties_json string"
 
@@ -25,29 +31,37 @@ class NoteStore:
 
     def init(self) -> None:
         """Create an empty table, unless there is one."""
-        if self._version() is None:
+        if not self._versions():
             self._publish(self.spark.createDataFrame([], SCHEMA))
 
-    def _version(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.folder}/current").collect()  # one short line
-        except Exception as e:  # noqa: BLE001  Spark has no narrower class for a missing path in all catalogs
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return rows[0]["value"] if rows else None
+    def _versions(self) -> list[str]:
+        """The complete versions' names in ascending order of number; of equal numbers the first by name is last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        names = sorted((x.getPath().getParent().getName() for x in found or ()), reverse=True)
+        return sorted(names, key=lambda x: int(x.split("-")[1]))
 
     def _publish(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
+        number = max((int(x.split("-")[1]) for x in self._versions()), default=0) + 1
+        own = f"version-{number}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{own}")
+        if self._versions()[-1] != own:
+            remove(self.spark, f"{self.folder}/{own}")
+            raise RuntimeError("another writer changed the store; nothing was changed here")
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the last versions; readers of older ones must have ended."""
+        for name in self._versions()[: -max(1, keep)]:
+            remove(self.spark, f"{self.folder}/{name}")
 
     def find_all(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{self._version()}")
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{self._versions()[-1]}")
 
     def _rows(self, notes: DataFrame) -> DataFrame:
         now = F.current_timestamp()
-        return notes.dropDuplicates(["path"]).select(F.md5(F.col("path").cast("binary")).alias("id"), "path", now.alias("created_at"), now.alias("updated_at"), F.to_json("props").alias("properties_json"))
+        # Of repeated paths, the properties that come first as text stand.
+        one = notes.groupBy("path").agg(F.min(F.to_json("props")).alias("properties_json"))
+        return one.select(F.md5(F.col("path").cast("binary")).alias("id"), "path", now.alias("created_at"), now.alias("updated_at"), "properties_json")
 
     def save(self, notes: DataFrame) -> DataFrame:
         """Insert notes whose path is new, and return those; known paths are left as they are."""
@@ -80,6 +94,15 @@ class NoteStore:
         tags = F.col("props")["tags"]
         return self.notes().where(F.coalesce(F.array_contains(tags["list"], tag) | (tags["str"] == tag), F.when(tags["kind"] == "list", F.array_contains(tags["list"], tag)).otherwise(tags["str"] == tag), F.lit(False)))
 
+    def search(self, include: dict[str, str] | None = None, exclude: dict[str, str] | None = None, **options) -> DataFrame:
+        """Stored notes that match all included pairs and none of the excluded, as queries match them."""
+        tests = {k: [v] for k, v in (include or {}).items()} | {f"!{k}": [v] for k, v in (exclude or {}).items()}
+        return search(self.notes(), tests, **options)
+
+    def outgoing(self, path: str) -> DataFrame:
+        """The stored notes that one note links to."""
+        return outgoing(self.notes(), path)
+
     def find_backlinks(self, path: str) -> DataFrame:
         """Notes that link to a path."""
         return self.notes().where(F.coalesce(F.array_contains(F.col("props")["links"]["list"], path), F.lit(False)))

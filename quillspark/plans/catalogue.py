@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import export, graph, links, views
-from ..operators.search import graph_listing, search
-from ..schema import as_list, prop
-from ..shared import materialize
+from ..operators.search import graph_listing, listing, search
+from ..operators.store import NoteStore
+from ..schema import PROPS, as_list, bag, prop, string, strings
+from ..shared import materialize, shared_dir
 from ..sources.tables import NOTES_SQL, as_markdown, notes
 from ..sources.vault import notes_from_files
 
@@ -89,9 +91,12 @@ def _project_graph(spark, sf_dir):
     return found.select("path", F.array_join(as_list("tags"), " ").alias("tags"), F.array_join(as_list("links"), " ").alias("links"), F.size("props").alias("n_properties"))
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+GRAPH = ("filePath", "tags", "links")
+
+
+def stored(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = GRAPH) -> DataFrame:
     """The notes as a written table, for queries that read them several times."""
-    return materialize(notes(spark, sf_dir))
+    return materialize(notes(spark, sf_dir, keys))
 
 
 @query(
@@ -100,10 +105,10 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 near AS (SELECT path FROM s UNION SELECT path FROM notes WHERE path IN (SELECT path FROM l)),
 t AS (SELECT DISTINCT unnest(tags) AS tag FROM notes WHERE path IN (SELECT path FROM near)),
 w AS (SELECT path FROM (SELECT path, unnest(tags) AS tag FROM notes) WHERE tag IN (SELECT tag FROM t))
-SELECT path FROM near UNION SELECT path FROM w""",
+SELECT path, array_to_string(tags, ' ') AS tags, array_to_string(links, ' ') AS links FROM notes WHERE path IN (SELECT path FROM near UNION SELECT path FROM w)""",
 )
 def _neighbourhood(spark, sf_dir):
-    return graph.neighbourhood(stored(spark, sf_dir), "filePath=supplier/1*").select("path")
+    return graph.neighbourhood(stored(spark, sf_dir), "filePath=supplier/1*").select("path", F.array_join(prop("tags")["list"], " ").alias("tags"), F.array_join(prop("links")["list"], " ").alias("links"))
 
 
 @query("graph_backlink_counts", "SELECT l.dst AS path, count(DISTINCT src) AS n FROM (SELECT path AS src, unnest(links) AS dst FROM notes) l JOIN notes n ON n.path = l.dst GROUP BY 1")
@@ -219,22 +224,22 @@ def number_sql(x: str) -> str:
     return f"CASE WHEN ({x}) = floor({x}) THEN CAST(CAST(({x}) AS BIGINT) AS VARCHAR) ELSE CAST(({x}) AS VARCHAR) END"
 
 
-@query("view_formula", f"SELECT path, {number_sql('price * 10')} AS c0, '$' || CAST(price AS VARCHAR) AS c1, CAST(price * 10 AS VARCHAR) AS c2 FROM notes WHERE price IS NOT NULL")
+@query("view_formula", f"SELECT path, row_number() OVER (ORDER BY path) AS pos, {number_sql('price * 10')} AS c0, '$' || CAST(price AS VARCHAR) AS c1, CAST(price * 10 AS VARCHAR) AS c2 FROM notes WHERE price IS NOT NULL")
 def _formula(spark, sf_dir):
     view = _view({"and": ['hasProperty(file, "price")']}, [("ppu(file)", "PPU"), ("shown(file)", "Price"), ("toFixed(ppu(file), 0)", "Fixed")], formulas={"ppu": f"return {PRICED} * 10", "shown": f'return string.format("$%.2f", {PRICED})'})
-    return views.cells(notes(spark, sf_dir), view).select("path", "c0", "c1", "c2")
+    return views.cells(notes(spark, sf_dir), view).select("path", "pos", "c0", "c1", "c2")
 
 
-@query("view_sort_desc", "SELECT path, CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, path) AS INTEGER) AS pos FROM notes WHERE list_contains(tags, 'part')")
+@query("view_sort_desc", "SELECT path, row_number() OVER (ORDER BY price DESC NULLS LAST, path) AS pos FROM notes WHERE list_contains(tags, 'part')")
 def _sorted(spark, sf_dir):
     view = _view({"and": ['hasPropertyValue(file, "tags", "part")']}, sort=[{"property": "price", "direction": "desc"}])
     return views.cells(notes(spark, sf_dir), view).select("path", "pos")
 
 
-@query("view_tags_column", "SELECT path, array_to_string(list_transform(tags, lambda x: '#' || x), ' ') AS c0 FROM notes WHERE list_contains(tags, 'part')")
+@query("view_tags_column", "SELECT path, row_number() OVER (ORDER BY path) AS pos, array_to_string(list_transform(tags, lambda x: '#' || x), ' ') AS c0 FROM notes WHERE list_contains(tags, 'part')")
 def _tag_cells(spark, sf_dir):
     view = views.from_base("views:\n  - type: table\n    filters:\n      and:\n        - file.tags.containsAny(\"part\")\n    order:\n      - file.tags\n")
-    return views.cells(notes(spark, sf_dir), view).select("path", "c0")
+    return views.cells(notes(spark, sf_dir), view).select("path", "pos", "c0")
 
 
 @query("view_table_markdown", "SELECT chr(10) || '| Path | Title |' || chr(10) || '|---|---|' || coalesce(string_agg(chr(10) || '| [[' || path || ']] | ' || title || ' |', '' ORDER BY path), '') || chr(10) AS text FROM notes WHERE list_contains(tags, 'nation')")
@@ -268,21 +273,106 @@ views:
 """
 
 
-@query("base_convert_and_run", "SELECT path, CAST(row_number() OVER (ORDER BY size NULLS LAST, path) AS INTEGER) AS pos, '[[' || path || ']]' AS c0, coalesce(title, '') AS c1, coalesce(CAST(size AS VARCHAR), '') AS c2 FROM notes WHERE list_contains(tags, 'PROMO') AND coalesce(title <> 'cold widget', true)")
+@query("base_convert_and_run", "SELECT path, row_number() OVER (ORDER BY size NULLS LAST, path) AS pos, '[[' || path || ']]' AS c0, coalesce(title, '') AS c1, coalesce(CAST(size AS VARCHAR), '') AS c2 FROM notes WHERE list_contains(tags, 'PROMO') AND coalesce(title <> 'cold widget', true)")
 def _base(spark, sf_dir):
     return views.cells(notes(spark, sf_dir), views.from_base(BASE))
 
 
+@query("base_limit", "SELECT path, row_number() OVER (ORDER BY size NULLS LAST, path) AS pos FROM notes WHERE list_contains(tags, 'PROMO') AND coalesce(title <> 'cold widget', true) ORDER BY pos LIMIT 3")
+def _limited(spark, sf_dir):
+    return views.cells(notes(spark, sf_dir), views.from_base(BASE, extended=True), honor_limit=True).select("path", "pos")
+
+
+EXTENDED = """
+formulas:
+  big: 'return getPropertyValue(file, "size", 0) >= 45'
+views:
+  - type: list
+    filters:
+      or:
+        - title == "cold widget"
+        - big(file)
+    order:
+      - title
+"""
+
+
+@query("base_extended", "SELECT path, row_number() OVER (ORDER BY path) AS pos, coalesce(title, '') AS c0 FROM notes WHERE title = 'cold widget' OR size >= 45")
+def _extended(spark, sf_dir):
+    return views.cells(notes(spark, sf_dir), views.from_base(EXTENDED, extended=True))
+
+
+#: name -> (filter, SQL condition over the notes)
+CONDITIONS = {
+    "expression_truth": ('not file:get("inStock")', "NOT coalesce(instock, false)"),
+    "expression_texts_equal": ('file:get("title") == file:get("keytext") or file:get("filePath") == "part/" .. file:get("keytext") .. ".md"', "title IS NOT DISTINCT FROM keytext OR keytext IS NOT NULL"),
+    "expression_not_nil": ('file:get("price") ~= nil and not (file:get("size") == nil)', "price IS NOT NULL AND size IS NOT NULL"),
+    "expression_wrong_kinds": ('file:get("title") > 3 or true', "false"),
+    "expression_bare_key": ('file:get("acctbal")', "acctbal IS NOT NULL"),
+}
+
+for _name, (_filter, _condition) in CONDITIONS.items():
+    QUERIES[_name] = _filtered(_filter)
+    ORACLES[_name] = f"{NOTES_SQL} SELECT path FROM notes WHERE {_condition}"
+
+
+@query("expression_cells", "SELECT path, coalesce(title, 'none') AS c0, CASE WHEN instock THEN 'yes' ELSE 'no' END AS c1, 'inf' AS c2, CAST((-size % 7 + 7) % 7 AS VARCHAR) AS c3, CAST(CAST(pow(2, pow(size % 4, 2)) AS BIGINT) AS VARCHAR) AS c4, 'no. ' || keytext || ' of ' || CAST(size AS VARCHAR) AS c5 FROM notes WHERE size IS NOT NULL")
+def _cells(spark, sf_dir):
+    texts = ['file:get("title") or "none"', 'file:get("inStock") and "yes" or "no"', 'file:get("size") / 0', '-file:get("size") % 7', '2 ^ (file:get("size") % 4) ^ 2', 'string.format("no. %s of %d", file:get("keytext"), file:get("size"))']
+    view = _view({"and": ['hasProperty(file, "size")']}, [(t, "") for t in texts])
+    return views.cells(notes(spark, sf_dir), view).drop("pos")
+
+
+def store(spark: SparkSession, sf_dir: str) -> NoteStore:
+    """A store of the parts and nations; a nation's title is changed after it was saved."""
+    made = NoteStore(spark, shared_dir(spark))
+    made.init()
+    own = stored(spark, sf_dir, ("filePath", "title", "tags", "links"))
+    made.save(search(own, "tags=part"))
+    nations = search(own, "tags=nation")
+    made.save(nations)
+    made.update(nations.withColumn("props", F.map_concat(F.map_filter("props", lambda k, v: k != "title"), bag(title=string(F.concat(prop("title")["str"], F.lit("!")))).cast(PROPS))))
+    return made
+
+
 @query("store_find_by_tag", "SELECT md5(path) AS id, path FROM notes WHERE list_contains(tags, 'PROMO')")
 def _by_tag(spark, sf_dir):
-    stored = notes(spark, sf_dir).select(F.md5(F.col("path").cast("binary")).alias("id"), "path", F.to_json("props").alias("json"))
-    tags = F.from_json("json", "map<string,struct<kind:string,str:string,list:array<string>>>")["tags"]
-    return stored.where(F.array_contains(tags["list"], "PROMO") | (F.coalesce(tags["str"], F.lit("")) == "PROMO")).select("id", "path")
+    made = store(spark, sf_dir)
+    return made.find_by_tag("PROMO").select(F.md5(F.col("path").cast("binary")).alias("id"), "path")
 
 
 @query("store_find_by_id", "SELECT path FROM notes WHERE md5(path) = md5('part/7.md')")
 def _by_id(spark, sf_dir):
-    return notes(spark, sf_dir).where(F.md5(F.col("path").cast("binary")) == F.md5(F.lit("part/7.md").cast("binary"))).select("path")
+    return store(spark, sf_dir).find_by_id(hashlib.md5(b"part/7.md").hexdigest()).select("path")
+
+
+@query("store_notes", "SELECT path, CASE WHEN list_contains(tags, 'nation') THEN title || '!' ELSE title END AS title, array_to_string(tags, ' ') AS tags FROM notes WHERE list_contains(tags, 'nation') OR list_contains(tags, 'part')")
+def _stored_notes(spark, sf_dir):
+    return store(spark, sf_dir).notes().select("path", prop("title")["str"].alias("title"), F.array_join(as_list("tags"), " ").alias("tags"))
+
+
+@query("store_backlinks", "SELECT path FROM notes WHERE list_contains(tags, 'nation') AND list_contains(links, 'region/ASIA.md')")
+def _store_backlinks(spark, sf_dir):
+    return store(spark, sf_dir).find_backlinks("region/ASIA.md").select("path")
+
+
+@query("store_search", "SELECT path FROM notes WHERE list_contains(tags, 'part') AND list_contains(tags, 'PROMO') AND NOT (title = 'cold widget')")
+def _store_search(spark, sf_dir):
+    return store(spark, sf_dir).search({"tags": "PROMO"}, {"title": "cold widget"}).select("path")
+
+
+@query("listing", "SELECT path, CAST(2 + (title IS NOT NULL)::INTEGER + (links IS NOT NULL)::INTEGER + (acctbal IS NOT NULL)::INTEGER AS INTEGER) AS n_properties FROM notes WHERE list_contains(tags, 'customer')")
+def _listing(spark, sf_dir):
+    return listing(notes(spark, sf_dir), "tags=customer").select("path", F.size("props").alias("n_properties"))
+
+
+@query("links_refreshed", f"""{_NAMES}, l AS (SELECT path, links[1] AS link, string_split(links[1], '/')[-1] AS base FROM notes WHERE links IS NOT NULL),
+r AS (SELECT l.path, link, a.path AS p1, coalesce(c.path, b.path) AS p2 FROM l LEFT JOIN dictionary a ON a.name = base LEFT JOIN dictionary b ON b.name = base LEFT JOIN dictionary c ON c.name = regexp_replace(base, '\.md$', ''))
+SELECT path, array_to_string(list_filter([link, CASE WHEN p1 <> link THEN p1 END, CASE WHEN p2 <> link AND p2 IS DISTINCT FROM p1 THEN p2 END], lambda x: x IS NOT NULL), ' ') AS links FROM r""")
+def _refreshed(spark, sf_dir):
+    own = parsed(spark, sf_dir)
+    done = links.refresh_links(links.rewrite_wikilinks(own, links.name_dictionary(own)))
+    return done.where(F.size(as_list("links")) > 0).select("path", F.array_join(as_list("links"), " ").alias("links"))
 
 
 @query("event_property_json", None)
@@ -296,7 +386,12 @@ ORACLES["event_property_json"] = "SELECT CAST(json_extract_string(props, '$.k')
 
 @query("json_result_size", "SELECT count(*) AS result_size FROM notes WHERE list_contains(tags, 'PROMO')")
 def _json(spark, sf_dir):
-    return export.json_result(search(notes(spark, sf_dir), "tags=PROMO")).select(F.col("resultSize").alias("result_size"))
+    return export.json_result(search(notes(spark, sf_dir), "tags=PROMO")).select(F.get_json_object("json", "$.resultSize").cast("long").alias("result_size"))
+
+
+@query("json_result_text", """SELECT '{"resultSize":' || count(*) || ',"files":[' || string_agg(json, ',' ORDER BY json) || ']}' AS json FROM (SELECT '{' || array_to_string(list_sort(['"filePath":"' || path || '"', '"title":"' || title || '"', '"tags":["' || array_to_string(tags, '","') || '"]']), ',') || '}' AS json FROM notes WHERE list_contains(tags, 'region'))""")
+def _json_text(spark, sf_dir):
+    return export.json_result(search(notes(spark, sf_dir), "tags=region")).select("json")
 
 
 @query("json_rows", """SELECT path, '{' || array_to_string(list_sort(list_filter(['"filePath":"' || path || '"', '"title":"' || title || '"', '"tags":["' || array_to_string(tags, '","') || '"]', '"links":["' || array_to_string(links, '","') || '"]', '"acctbal":' || CAST(acctbal AS VARCHAR)], lambda x: x IS NOT NULL)), ',') || '}' AS json FROM notes WHERE list_contains(tags, 'nation')""")
@@ -304,6 +399,9 @@ def _json_rows(spark, sf_dir):
     return export.json_rows(search(notes(spark, sf_dir), "tags=nation"))
 
 
-@query("export_plan", "SELECT path, 'copy' AS action, path AS destination FROM notes WHERE list_contains(tags, 'supplier')")
+@query("export_plan", "SELECT path, CASE WHEN list_contains(tags, 'BUILDING') THEN 'write' ELSE 'copy' END AS action, path AS destination FROM notes WHERE list_contains(tags, 'customer') UNION ALL SELECT 'img/logo.png', 'copy', 'img/logo.png' FROM (SELECT count(*) AS n FROM notes WHERE list_contains(tags, 'customer')) WHERE n > 0")
 def _export(spark, sf_dir):
-    return export.export_plan(notes(spark, sf_dir), "tags=supplier")
+    own = notes(spark, sf_dir, ("filePath", "tags"))
+    rewritten = F.when(F.array_contains(as_list("tags"), "BUILDING"), F.lit("text"))
+    pictured = F.map_concat("props", bag(links=strings(F.array(F.lit("img/logo.png|80"), F.col("path")))).cast(PROPS))
+    return export.export_plan(own.withColumn("rendered", rewritten).withColumn("props", pictured), "tags=customer")

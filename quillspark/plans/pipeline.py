@@ -1,56 +1,98 @@
 """The stages from raw notes to final text and links.
 
 raw text -> properties -> embedded views rendered -> wikilinks rewritten -> links renewed.
-Views see the properties of the first stage, so the stages form one plan. Equal view blocks
-are rendered once, however many notes embed them.
+Views see the properties of the first stage. Equal view blocks are rendered once, however many
+notes embed them; a block that cannot be read or compiled is logged and becomes empty, and
+does not touch the others.
 """
 
 from __future__ import annotations
 
+import itertools
+import logging
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.expressions import UnsupportedExpression
 from ..operators.links import name_dictionary, refresh_links, rewrite_wikilinks
 from ..operators.views import from_base, render
+from ..schema import as_list
+from ..shared import materialize
 
 # Fixed value: a fenced block that holds a view of the base dialect.
 BLOCK = r"(?s)```base(.*?)```"
-#: Different view texts that one vault may hold; each is a query of its own.
-MAX_VIEWS = 1000
+#: Different views that are rendered by one job.
+BATCH = 20
+FAILURES = (UnsupportedExpression, PySparkException, ValueError, AttributeError, KeyError, TypeError, RecursionError)
+log = logging.getLogger(__name__)
+
+
+def rendered_views(notes: DataFrame, texts: list[str]) -> DataFrame | None:
+    """(block, view) of those view texts that can be rendered."""
+    made = []
+    for text in texts:
+        try:
+            made.append(render(notes, from_base(text)).select(F.lit(text).alias("block"), F.col("text").alias("view")))
+        except FAILURES as e:
+            log.warning("a view was left out: %s", e)
+    return materialize(reduce(DataFrame.union, made)) if made else None
 
 
 def render_blocks(notes: DataFrame) -> DataFrame:
     """Add ``rendered``: the text with its view blocks replaced by the views; null without views.
 
-    A block that fails becomes empty; a text in which all fail stays as it is.
+    A block that fails becomes empty; a text in which all fail stays as it is. Each different
+    view is a query over all notes of its own; they run in batches, so their number has no bound.
     """
-    spark = notes.sparkSession
     found = F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(BLOCK), F.lit(1))
-    blocks = notes.where(F.col("raw").contains("```base")).select(F.explode(found).alias("block")).distinct()
-    texts = [r["block"] for r in blocks.limit(MAX_VIEWS + 1).collect()]
-    if len(texts) > MAX_VIEWS:
-        raise ValueError(f"more than {MAX_VIEWS} different views")
-    if not texts:
+    blocks = notes.where(F.col("raw").contains("```base")).select(F.explode(found).alias("block")).distinct().toLocalIterator()
+    views = [v for v in (rendered_views(notes, [r["block"] for r in batch]) for batch in iter(lambda: list(itertools.islice(blocks, BATCH)), [])) if v is not None]
+    if not views:
         return notes.withColumn("rendered", F.lit(None).cast("string"))
-    views = spark.createDataFrame([], StructType([StructField("block", StringType()), StructField("view", StringType())]))
-    for text in texts:
-        try:
-            made = render(notes, from_base(text))
-        except (UnsupportedExpression, ValueError, AttributeError, KeyError, TypeError):
-            continue
-        views = views.union(made.select(F.lit(text).alias("block"), F.col("text").alias("view")))
     tokens = notes.where(F.col("raw").contains("```base")).select("path", F.posexplode(found).alias("pos", "block"))
-    placed = tokens.join(views, "block", "left").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("view", F.lit("")).alias("view")))).alias("items"), F.max(F.col("view").isNotNull()).alias("hit"))
+    placed = tokens.join(reduce(DataFrame.union, views), "block", "left").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("view", F.lit("")).alias("view")))).alias("items"), F.max(F.col("view").isNotNull()).alias("hit"))
     pieces = F.zip_with(F.split("raw", BLOCK, -1), F.concat(F.col("items")["view"], F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return notes.drop("rendered").join(placed, "path", "left").withColumn("rendered", F.when(F.coalesce("hit", F.lit(False)), F.array_join(pieces, ""))).drop("items", "hit")
 
 
-def update(notes: DataFrame) -> DataFrame:
-    """All stages once: views, wikilinks, links."""
+def update(notes: DataFrame, rounds: int = 1) -> DataFrame:
+    """All stages: views, wikilinks, links.
+
+    Each further round works on the text that the one before made, with the properties as they
+    are then, and ends early when no text changes any more.
+    """
+    done = _round(notes)
+    for _ in range(1, rounds):
+        done = materialize(done)
+        again = materialize(_round(done.withColumn("raw", F.coalesce("rendered", "raw"))))
+        changed = again.where("rendered is not null").select("path", F.col("rendered").alias("__new"))
+        before = done.select("path", F.coalesce("rendered", "raw").alias("__old"))
+        if changed.join(before, "path").where("__new <> __old").isEmpty():
+            break
+        last = again.select("path", F.col("rendered").alias("__new"), F.col("props").alias("__props"))
+        done = done.join(last, "path", "left").withColumns({"rendered": F.coalesce("__new", "rendered"), "props": F.coalesce("__props", "props")}).select(*notes.columns)
+    return done
+
+
+def _round(notes: DataFrame) -> DataFrame:
     names = name_dictionary(notes)
-    viewed = render_blocks(notes).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
-    linked = rewrite_wikilinks(viewed.withColumnRenamed("rendered", "__old") if "rendered" in viewed.columns else viewed, names, "__text")
+    viewed = render_blocks(notes.drop("rendered")).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
+    linked = rewrite_wikilinks(viewed, names, "__text")
     done = linked.withColumn("rendered", F.coalesce("rendered", "__viewed")).drop("__viewed", "__text")
-    return refresh_links(done)
+    return refresh_links(done).select(*notes.columns)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, added, rewritten): the links that a round added to a note, and whether its text changed.
+
+    Only notes with either are returned: they, and the notes that they link to, are the next
+    round's work.
+    """
+    old = before.select("path", as_list("links").alias("__links"), F.col("rendered").alias("__text"))
+    both = after.join(old, "path")
+    added = F.array_except(as_list("links"), F.col("__links"))
+    rewritten = ~F.col("rendered").eqNullSafe(F.col("__text"))
+    return both.select("path", added.alias("added"), rewritten.alias("rewritten")).where((F.size("added") > 0) | F.col("rewritten"))

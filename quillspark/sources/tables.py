@@ -27,12 +27,13 @@ def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ROWS, **tables)
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes with their property maps (no text)."""
-    props = bag_sql(
+def notes(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """The notes with their property maps (no text), of the named keys or of all."""
+    columns = dict(
         filePath=("string", "path"), title=("string", "title"), tags=("list", "tags"), size=("int", "size"), price=("double", "price"), acctbal=("double", "acctbal"),
         total=("double", "total"), keytext=("string", "keytext"), inStock=("bool", "instock"), links=("list", "links"),
     )
+    props = bag_sql(**{k: v for k, v in columns.items() if keys is None or k in keys})
     return note_rows(spark, sf_dir).selectExpr("path", "'md' AS ext", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS rendered", f"{props} AS props")
 
 

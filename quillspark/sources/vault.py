@@ -7,10 +7,15 @@ properties. Markdown without usable front matter is left out unless
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frontmatter import front_matter
+from ..functions.frontmatter import BLOCK, front_matter
 from ..operators.links import with_links
 from ..schema import PROPS, bag, string
 
@@ -27,16 +32,50 @@ def notes_from_files(files: DataFrame, require_front_matter: bool = True) -> Dat
     return with_links(notes)
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, raw) of every file below the folder, in any depth, by Spark's reader.
+def load_errors(files: DataFrame) -> DataFrame:
+    """(path, error) of the Markdown files that are left out, with the reason."""
+    block = F.regexp_extract("raw", BLOCK, 1)
+    why = F.when(~F.col("raw").rlike(BLOCK), "no front matter").when(F.trim(block) == "", "empty front matter").otherwise("front matter is not a mapping")
+    markdown = files.where(F.lower("path").endswith(".md") & F.col("raw").isNotNull())
+    return markdown.withColumn("matter", front_matter(F.col("raw"))).where("matter is null").select("path", why.alias("error"))
+
+
+def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, raw) of the files that Spark's sources pass over: those with a name, or below a
+    folder, that begins with a dot or an underscore.
+
+    The driver lists the folder's names; tasks read the files.
+    """
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    root = root.rstrip("/")
+    names = [x.path[len(root) + 1 :] for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file]
+    hidden = [(x,) for x in names if any(part[:1] in (".", "_") for part in x.split("/"))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                raw = None
+                if path.lower().endswith(".md"):
+                    with fs.open_input_stream(f"{root}/{path}") as f:
+                        raw = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "raw": pa.array([raw], pa.string())})
+
+    listed = spark.createDataFrame(hidden, "path string").repartition(max(1, len(hidden) // 100))
+    return listed.mapInArrow(read, "path string, raw string")
+
+
+def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
+    """(path, raw) of every file below the folder, in any depth.
 
-    Names that begin with a dot or an underscore are not read, as in all of Spark's sources.
+    Spark's reader passes over names that begin with a dot or an underscore; unless ``hidden``
+    is off, ``hidden_files`` adds them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = F.regexp_replace(F.lit(folder.rstrip("/")), r"^[a-z]+:/*", "/")
     plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     markdown = F.lower("path").endswith(".md")
-    return files.select(F.substring(plain, F.length(root) + 2, F.length(plain)).alias("path"), F.when(markdown, F.decode("content", "UTF-8")).alias("raw"))
+    seen = files.select(F.substring(plain, F.length(root) + 2, F.length(plain)).alias("path"), F.when(markdown, F.decode("content", "UTF-8")).alias("raw"))
+    return seen.unionByName(hidden_files(spark, folder)) if hidden else seen
 
 
 def read_vault(spark: SparkSession, folder: str, require_front_matter: bool = True) -> DataFrame:

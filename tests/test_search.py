@@ -65,6 +65,15 @@ def test_type_errors_can_raise(notes):
         search(notes, "k=seven", on_type_error="raise").collect()
 
 
+@pytest.mark.parametrize("odd", ["--5", "²", ">--1", "4294967296", ">99999999999999999999", "+", "<"])
+def test_odd_numbers_are_type_errors(notes, odd):
+    from urllib.parse import quote_plus
+
+    assert hits(notes, f"k={quote_plus(odd)}") in ([], ["l"])
+    with pytest.raises(Exception, match="not an integer"):
+        search(notes, f"k={quote_plus(odd)}", on_type_error="raise").collect()
+
+
 def test_parse():
     assert parse("a=1&&a=2&b&=c&d=%zz&e=%20f") == {"a": ["1", "2"], "b": [""], "=c": [""], "d": ["%zz"], "e": [" f"]}
 
