@@ -13,8 +13,10 @@ left out of the region's text. A region that meets an ``article`` element (witho
 ``main`` element) is extended to all of it, so that lists of short items do not cut it.
 
 Contract: null or empty html gives an empty text; a page without words gives an empty text;
-repeated rows are extracted each; an empty table gives no rows. Character references are
-decoded, white space within a block becomes one space, and blocks are joined by an empty line.
+repeated rows are extracted each; of regions with equal scores the first stands; pages of any
+length are scanned whole; other columns are carried along, and one named like the result is
+refused; an empty table gives no rows. Character references are decoded within each run of text,
+white space within a block becomes one space, and blocks are joined by an empty line.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 from .sampling import bounded
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the value is closed by the start of the key's.
@@ -48,6 +50,9 @@ NEVER_NAMED = frozenset(
 PLACES = frozenset("top bottom left right main site page global header list box bar block container wrapper inner outer content area section panel primary secondary mobile desktop links buttons button icons item items group unit slot post posts article story entry form wrap row col column sticky floating fixed policy email thread".split())
 #: Ids that headings' slugs have, too: an id of a ``section``, or of ``class="section"``, says nothing by them.
 SLUGS = frozenset("ad ads advertising sponsor sponsored promo promotion banner side navigation menu foot cookie cookies consent gdpr notice notices alert overlay subscription signup login search share sharing social related recommended trending reply replies discussion respond complementary form".split())
+#: Class words that name content, and those that say nothing beside one of these.
+CONTENT = frozenset("post article story entry content main body text".split())
+WEAK = frozenset("related share sharing social recommended trending promo promotion sponsored widget subscribe subscription newsletter notice notices alert banner reply replies discussion search side form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST = 0.05
 SPACE = re.compile(r"\s+")
@@ -95,7 +100,7 @@ def named(element: str, attributes: str) -> tuple[set[str], bool, bool]:
             words.update(x for x in re.findall(r"[a-z]+", " ".join(parts(token))))
             if element in HEADINGS or element in ("body", "html", "article", "main"):
                 continue
-            names = NEVER_NAMED
+            names = NEVER_NAMED - WEAK if key == "class" and CONTENT.intersection(c.lower() for c in classes) else NEVER_NAMED
             if key == "id":
                 names = names - SLUGS if slug else names - {"discussion"}
             never = never or says(token, names)
@@ -158,9 +163,9 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
 
 def region(page: str, weights: Weights) -> str:
     """The text of the highest-scoring contiguous region, in blocks, with all of its articles."""
-    blocks: list[tuple[int, str]] = []  # (position of a block's first words, its text)
+    blocks: list[tuple[int, int, str]] = []  # (positions of a block's first and last words, its text)
     words: list[str] = []
-    position, at = 0, 0
+    position, at, last = 0, 0, 0
     total = best = 0.0
     low, span = 0, (0, 0)
     held: dict[str, list[list[int]]] = {"article": [], "main": []}  # outermost elements' first and last positions
@@ -169,9 +174,9 @@ def region(page: str, weights: Weights) -> str:
     def flush() -> None:
         nonlocal words
         if words:
-            text = SPACE.sub(" ", references.unescape("".join(words))).strip()
+            text = SPACE.sub(" ", "".join(words)).strip()
             if text:
-                blocks.append((at, text))
+                blocks.append((at, last, text))
             words = []
 
     for kind, value, never, _ in events(page):
@@ -195,7 +200,9 @@ def region(page: str, weights: Weights) -> str:
         else:
             if not words:
                 at = position
+            value = references.unescape(value)  # before pieces meet: markup may stand between them
             words.append(value)
+            last = position
             score = weights.word * len(value.split())
         total += score
         if total <= 0:
@@ -204,11 +211,11 @@ def region(page: str, weights: Weights) -> str:
             best, span = total, (low, position)
     flush()
     for element in ("article", "main"):
-        met = [x for x in held[element] if any(span[0] < where <= span[1] and x[0] < where <= x[1] for where, _ in blocks)]
+        met = [x for x in held[element] if any(first <= span[1] and last > span[0] and x[0] < first <= x[1] for first, last, _ in blocks)]
         if met:
             span = min(span[0], met[0][0]), max(span[1], met[-1][1])
             break
-    return "\n\n".join(text for where, text in blocks if span[0] < where <= span[1])
+    return "\n\n".join(text for first, last, text in blocks if first <= span[1] and last > span[0])  # blocks stay whole
 
 
 def count_tokens(page: str) -> Counter | None:
@@ -249,7 +256,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with the main text in the column ``name`` in place of the html."""
-    keep = [c for c in pages.columns if c not in (html_col, name)]
+    keep = [c for c in pages.columns if c != html_col]
+    if name in keep:
+        raise ValueError(f"a column {name} exists already; choose another name")
     rows = pages.select(html_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

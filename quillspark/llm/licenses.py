@@ -1,7 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Each line, and each paragraph of several lines, is compared with all templates. Text is
-normalised to lower-case ASCII words. The coefficient counts repeated bigrams as often as
+Each line, each paragraph of several lines, and each text of several paragraphs as a whole is
+compared with all templates: notices, and whole licence texts (users add their own by ``items``).
+Text is normalised to lower-case ASCII words. The coefficient counts repeated bigrams as often as
 they occur on both sides: ``2 * shared / (bigrams of segment + bigrams of template)``. For a
 threshold t only templates of between t/(2-t) and (2-t)/t times the segment's bigrams can
 reach it; segments outside all templates' bounds are dropped before any bigram is made, and
@@ -12,7 +13,9 @@ Scale: the join's small side is the template table, whose size is fixed by the t
 the one shuffle, whose key holds document, segment and template.
 
 Contract: null and empty texts match nothing; repeated documents are reported for each row
-(told apart by ``row``); other columns are ignored; an empty table gives no rows.
+(told apart by ``row``), null ids as null; only a segment's number of words decides whether it is
+too long or too short for a template; other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,10 +55,20 @@ TEXTS = {
 }
 
 
+# The wording of short licences from their first condition on.
+_MIT = TEXTS["MIT"] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = TEXTS["BSD-3-Clause"] + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+WHOLE_TEXTS = {"MIT": f"{_MIT} {_AS_IS}", "ISC": f"{TEXTS['ISC']} {_ISC_END}", "BSD-2-Clause": _BSD + _BSD_END, "BSD-3-Clause": _BSD + _BSD_NAME + _BSD_END}
+
+
 def templates() -> list[tuple[str, str, str]]:
     """(template, licence, text) of all templates: each name in each form, and the longer texts."""
     made = [(f"{licence}/{i}.{j}", licence, form.format(name)) for licence, names in NAMES.items() for i, name in enumerate(names) for j, form in enumerate(FORMS)]
-    return made + [(f"{licence}/text", licence, text) for licence, text in TEXTS.items()]
+    return made + [(f"{licence}/{kind}", licence, text) for kind, texts in (("text", TEXTS), ("whole", WHOLE_TEXTS)) for licence, text in texts.items()]
 
 
 def words_of(text: str) -> list[str]:
@@ -76,7 +89,7 @@ def template_bigrams(items: list[tuple[str, str, str]]) -> list[tuple[str, str,
 def scan(docs: DataFrame, threshold: float = 0.8, items: list[tuple[str, str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", max_template_bigrams: int = 100_000) -> DataFrame:
     """Segments that resemble a licence: ``doc_id, kind, segment, licence, template, shared, dice``.
 
-    ``kind`` is ``line`` or ``paragraph`` and ``segment`` its number in the text from 0. Of
+    ``kind`` is ``line``, ``paragraph`` or ``text`` and ``segment`` its number in the text from 0. Of
     a licence's templates the one with the highest coefficient stands, of equals the first
     by name.
     """
@@ -91,9 +104,10 @@ def scan(docs: DataFrame, threshold: float = 0.8, items: list[tuple[str, str, st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).where("text is not null")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("segment"), x.alias("body")))
     parts = F.transform(F.split("text", "\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("segment"), x.alias("body")))
-    several = F.filter(parts, lambda x: F.contains(x["body"], F.lit("\n")) & (F.length(x["body"]) < int(most + 2) * 200))
+    several = F.filter(parts, lambda x: F.contains(x["body"], F.lit("\n")))
+    whole = F.when(F.size(parts) > 1, F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("segment"), F.col("text").alias("body")))).otherwise(F.slice(lines, 1, 0))
     segments = (
-        texts.select("doc_id", "row", F.explode(F.concat(lines, several)).alias("s"))
+        texts.select("doc_id", "row", F.explode(F.concat(lines, several, whole)).alias("s"))
         .select("doc_id", "row", "s.kind", "s.segment", F.trim(F.regexp_replace(F.lower("s.body"), "[^a-z0-9]+", " ")).alias("body"))
         .withColumn("words", F.split("body", " "))
         .withColumn("size", F.size("words").cast("long") - 1)
@@ -128,9 +142,10 @@ def oracle_sql(threshold: float = 0.8) -> str:
 WITH t(template, licence, bigram, f, t_size) AS (VALUES {values}),
 lines AS (SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS segment FROM documents WHERE text IS NOT NULL),
 paras AS (SELECT doc_id, 'paragraph' AS kind, unnest(string_split_regex(text, '\\n[ \\t\\r]*\\n')) AS body, generate_subscripts(string_split_regex(text, '\\n[ \\t\\r]*\\n'), 1) - 1 AS segment FROM documents WHERE text IS NOT NULL),
-segments AS (SELECT *, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM (SELECT * FROM lines UNION ALL SELECT * FROM paras WHERE contains(body, chr(10)))),
+wholes AS (SELECT doc_id, 'text' AS kind, text AS body, 0 AS segment FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\n[ \\t\\r]*\\n')),
+segments AS (SELECT *, string_split(trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM (SELECT * FROM lines UNION ALL SELECT * FROM paras WHERE contains(body, chr(10)) UNION ALL SELECT * FROM wholes)),
 grams AS (SELECT doc_id, kind, segment, len(words) - 1 AS size, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigram FROM segments WHERE len(words) BETWEEN 2 AND 2000),
-hits AS (SELECT doc_id, kind, segment, size, template, licence, t_size, bigram, f, count(*) AS n FROM grams JOIN t USING (bigram) WHERE size >= t_size * {low!r} AND size <= t_size * {high!r} GROUP BY ALL),
+hits AS (SELECT doc_id, kind, segment, size, template, licence, t_size, bigram, f, count(*) AS n FROM grams JOIN t USING (bigram) WHERE size >= t_size * CAST({low!r} AS DOUBLE) AND size <= t_size * CAST({high!r} AS DOUBLE) GROUP BY ALL),
 dice AS (SELECT doc_id, kind, segment, template, licence, sum(least(n, f)) AS shared, 2.0 * sum(least(n, f)) / (size + t_size) AS dice FROM hits GROUP BY doc_id, kind, segment, size, template, licence, t_size)
 SELECT doc_id, kind, CAST(segment AS INTEGER) AS segment, licence, template, CAST(shared AS BIGINT) AS shared, CAST(dice AS DOUBLE) AS dice FROM dice WHERE dice >= {threshold}
 QUALIFY row_number() OVER (PARTITION BY doc_id, kind, segment, licence ORDER BY dice DESC, template) = 1"""

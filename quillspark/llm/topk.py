@@ -1,13 +1,15 @@
 """Exact top-k by inner product: no-random-access aggregation over sorted lists.
 
 Each component of the candidate vectors of a block is a list sorted by value. A query reads
-every list from the end that its own component's sign favours, to a depth that grows from
-round to round. What has been read of a candidate gives its score's lower bound (unread
-components at their list's worst value) and upper bound (unread components at the value
-where its list stands). A query stops when few candidates remain whose upper bound reaches
-the k-th best lower bound; their scores are then resolved exactly, and equal scores keep the
-smaller id. Rounds run for a block of queries at once as matrix products over the read
-parts. Full depth always resolves, so results are exact whatever the data.
+every list from the end that its own component's sign favours, entry after entry, to a depth
+that doubles from round to round; nothing but the entries read is touched. They give each
+candidate a lower bound of its score (unread components at their list's worst value) and an upper
+bound (unread components at the value where its list stands); candidates that no list has shown
+share the bounds of none read. A query stops when few candidates remain whose upper bound
+reaches the k-th best score that is sure, here or in blocks that its task saw before; the
+scores of those few are then resolved, and equal scores keep the smaller id. Full depth
+resolves every score, so results are exact whatever the data. (On vectors without structure
+lists must be read deep: the method then costs more than a plain product would.)
 
 Blocks of candidates are dealt over the tasks by a salt that each block of queries visits
 once; no row meets another outside such a pair of blocks, and a query's best k of each block
@@ -16,7 +18,8 @@ are ranked at the end.
 Contract: vectors that are null or hold null, NaN or infinite components, and rows without
 an id, take no part; vectors meet only vectors of as many components. A query never meets
 its own row, but may meet another row with the same id. Fewer than k candidates give fewer
-rows; no queries or an empty table give none.
+rows; no queries or an empty table give none. Vectors of any length are read whole; other
+columns are ignored. Scores are exact while their terms stay below 2**53.
 """
 
 from __future__ import annotations
@@ -79,48 +82,62 @@ def blocks(rows: DataFrame, size: int, salts: int) -> DataFrame:
 
 
 class Lists:
-    """One block's sorted lists: each component's rank from the top and from the bottom."""
+    """One block's sorted lists: for each component the candidates in ascending order of value."""
 
     def __init__(self, row: bytes, ids: bytes, matrix: bytes, dim: int):
         self.row, self.ids = np.frombuffer(row, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)
         self.m = np.frombuffer(matrix, dtype=np.float64).reshape(len(self.row), dim)
-        self.sorted = np.sort(self.m, axis=0)
-        order = np.argsort(self.m, axis=0, kind="stable")
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(len(self.row))[:, None], axis=0)
-
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores; up, down: queries' components above and below zero."""
-        n = len(self.row)
-        top, low = self.rank >= n - depth, self.rank < depth  # read so far, by direction
-        read = (self.m * top) @ up.T + (self.m * low) @ down.T
-        if depth >= n:
-            return read, read
-        here, there = self.sorted[n - depth], self.sorted[depth - 1]  # where the lists stand
-        upper = read + (~top) @ (up * here).T + (~low) @ (down * there).T
-        lower = read + (~top) @ (up * self.sorted[0]).T + (~low) @ (down * self.sorted[-1]).T
-        return lower, upper
-
-
-def best(lists: Lists, rows: np.ndarray, q: np.ndarray, k: int, enough: int):
-    """(query position, candidate position, score) of each query's k best in the block."""
-    n, active = len(lists.row), np.arange(len(rows))
-    for depth in sorted({max(1, n // 16), max(1, n // 4), n}):
-        up, down = np.maximum(q[active], 0), np.minimum(q[active], 0)
-        lower, upper = lists.bounds(up, down, depth)
-        own = lists.row[:, None] == rows[active][None, :]
-        lower, upper = np.where(own, -np.inf, lower), np.where(own, -np.inf, upper)
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
-        qualify = (upper >= kth) & ~own
-        done = (qualify.sum(axis=0) <= enough) | (depth >= n)
-        for j in np.flatnonzero(done):
-            cand = np.flatnonzero(qualify[:, j])
-            score = lists.m[cand] @ q[active[j]]
-            for c in np.lexsort((lists.ids[cand], -score))[:k]:
-                yield active[j], cand[c], int(score[c])
-        active = active[~done]
-        if not len(active):
-            return
+        self.order = np.ascontiguousarray(np.argsort(self.m, axis=0, kind="stable").T.astype(np.int32))
+        self.sorted = np.take_along_axis(self.m.T, self.order, axis=1)
+
+    def read(self, dims: np.ndarray, up: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, values) of the entries from depth ``start`` to ``end`` of some lists, a row for each list."""
+        n, at = len(self.row), np.arange(start, end)
+        place = np.where(up[:, None], n - 1 - at[None, :], at[None, :])
+        return self.order[dims[:, None], place], self.sorted[dims[:, None], place]
+
+
+def best(lists: Lists, own_row: int, q: np.ndarray, k: int, sure: float = -np.inf, first_depth: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """(candidate position, score) of a query's k best in the block, and the number of entries read.
+
+    Candidates that cannot reach ``sure``, a k-th best score found elsewhere, may be left out.
+    """
+    n, dims = len(lists.row), np.flatnonzero(q)
+    weight, up = q[dims], q[dims] > 0
+    alone = int((lists.row == own_row).sum())
+    worst = weight * np.where(up, lists.sorted[dims, 0], lists.sorted[dims, -1])
+    seen_sum, seen_worst = np.zeros(n), np.zeros(n)
+    entries: list[np.ndarray] = []
+    depth = 0
+    while len(dims) and depth < n:
+        start, depth = depth, min(n, max(first_depth, 2 * depth))
+        which, values = lists.read(dims, up, start, depth)
+        entries.append(which)
+        seen_sum += np.bincount(which.ravel(), weights=(values * weight[:, None]).ravel(), minlength=n)
+        seen_worst += np.bincount(which.ravel(), weights=np.repeat(worst, depth - start), minlength=n)
+        if depth == n:
+            break
+        stands = weight * values[:, -1]  # what an unread component adds at most
+        seen_stands = np.zeros(n)
+        for x in entries:
+            seen_stands += np.bincount(x.ravel(), weights=np.repeat(stands, x.shape[1]), minlength=n)
+        lower, upper = seen_sum - seen_worst + worst.sum(), seen_sum - seen_stands + stands.sum()
+        if alone:
+            lower[lists.row == own_row] = -np.inf
+            upper[lists.row == own_row] = -np.inf
+        kth = max(sure, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
+        left = np.flatnonzero(upper >= kth)
+        if len(left) <= 8 * k or kth == sure and not len(left):
+            score = lists.m[left] @ q  # the few that are left
+            order = np.lexsort((lists.ids[left], -score))[:k]
+            return [(int(left[i]), int(score[i])) for i in order], len(dims) * depth
+    left = np.flatnonzero(lists.row != own_row)
+    order = np.lexsort((lists.ids[left], -seen_sum[left]))[:k]
+    return [(int(left[i]), int(seen_sum[left[i]])) for i in order], len(dims) * depth
+
+
+#: Queries whose k-th best score a task remembers from block to block; what is forgotten costs time only.
+REMEMBERED = 100_000
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 256) -> DataFrame:
@@ -138,13 +155,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists = None, None
+        known: dict[int, list[int]] = {}  # by query row: its best scores so far
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in (row for at in range(batch.num_rows) for row in batch.slice(at, 1).to_pylist()):
                 if x["row"] != last:
                     last, lists = x["row"], Lists(x["row"], x["id"], x["matrix"], x["dim"])
                 q_row, q_id = np.frombuffer(x["q_row"], dtype=np.int64), np.frombuffer(x["q_id"], dtype=np.int64)
                 q = np.frombuffer(x["q_matrix"], dtype=np.float64).reshape(len(q_row), x["dim"])
-                found = [(int(q_row[i]), int(q_id[i]), int(lists.ids[c]), s) for i, c, s in best(lists, q_row, q, k, 8 * k)]
+                found = []
+                for i, row in enumerate(q_row.tolist()):
+                    scores = known.get(row, [])
+                    hits, _ = best(lists, row, q[i], k, scores[-1] if len(scores) == k else -np.inf)
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[row] = sorted([*scores, *(s for _, s in hits)], reverse=True)[:k]
+                    found += [(row, int(q_id[i]), int(lists.ids[c]), s) for c, s in hits]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 

@@ -1,19 +1,22 @@
 """Toxicity: a classifier chain of linear models.
 
 Categories are predicted one after the other by logistic regressions over word occurrences
-and a few measures of the whole text (``MEASURES``), in standard deviations of the sample; each later model also gets the earlier categories' probabilities. While fitting, those are
-out-of-fold predictions, so that a later model learns from probabilities as good as it will
-see on new texts. The labels table names the chain: low quality first, then toxic.
+and a few measures of the whole text (``MEASURES``), in standard deviations of the sample; each
+later model also gets the earlier categories' probabilities. While fitting, those are out-of-fold
+predictions, so that a later model learns from probabilities as good as it will see on new texts. The labels table names the chain: low quality first, then toxic.
 
 Models are fitted on a bounded sample of labelled rows (``sample_rows``); each category's
 features are the words whose share of its documents exceeds their share of the others most,
-by a z-score of the two shares over the whole sample (at least 4). Prediction reads whole texts where they lie.
+by a z-score of the two shares (at least 4). The model that predicts a fold chooses its words on
+the other folds, so no label of the fold has a part in its out-of-fold probabilities. A text's
+fold follows from its hash. Prediction reads whole texts where they lie.
 
 Contract: null or empty texts have no features (measures count as the sample's means) and get
-the models' base rates; a label that
-is null is not fitted on; labels for unknown documents are ignored, and a document with
-several labels counts with each; without labels, or with one class only, the category's
-probability is its (smoothed) base rate. Other columns are carried along unused.
+the models' base rates; a label that is null is not fitted on; labels for unknown documents are
+ignored; equal texts and repeated labels are one example, with the label that most of them have
+(of as many, the positive one); without labels, or with one class only, the category's probability
+is its (smoothed) base rate; texts of any length are scored whole. Other columns are carried along
+unused; one named like a result is refused. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize
+from .common import discard, in_arrow, materialize
 from .sampling import bounded
 
 WORD = re.compile(r"[^\W_]+")
@@ -85,26 +89,30 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 15)
     return w
 
 
-def fit_chain(x: np.ndarray, dense: np.ndarray, words: list[list[str]], labels: dict[str, np.ndarray], folds: np.ndarray, n_folds: int) -> list[Link]:
-    """Fit each category in turn, with its own ``words``; columns of ``x`` are all words in order.
+def fit_chain(x: np.ndarray, dense: np.ndarray, words: list[list[list[str]]], labels: dict[str, np.ndarray], folds: np.ndarray) -> list[Link]:
+    """Fit each category in turn; columns of ``x`` are all words in order.
 
+    ``words`` holds a category's words as chosen on all folds, then without each fold in turn;
     ``dense`` holds the measures, ``labels`` 0, 1 or -1 (unknown), ``folds`` a row's fold.
     """
     links, earlier = [], np.zeros((len(x), 0))
     mean, spread = (dense.mean(axis=0), dense.std(axis=0)) if len(dense) else (np.zeros(len(MEASURES)), np.ones(len(MEASURES)))
     spread = np.where(spread > 1e-9, spread, 1.0)
     scaled = (dense - mean) / spread
-    place = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
-    for (category, y), vocabulary in zip(labels.items(), words, strict=True):
+    place = {w: i for i, w in enumerate(sorted({w for sets in words for own in sets for w in own}))}
+
+    def fitted(rows: np.ndarray, y: np.ndarray, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        features = np.hstack([x[:, [place[w] for w in own]], scaled, earlier])
+        return features, fit_logistic(features[rows], y[rows]) if rows.any() else np.zeros(features.shape[1] + 1)
+
+    for (category, y), (vocabulary, *without) in zip(labels.items(), words, strict=True):
         known = y >= 0
-        full = np.hstack([x[:, [place[w] for w in vocabulary]], scaled, earlier])
+        _, w = fitted(known, y, vocabulary)
         out = np.zeros(len(x))
-        w = fit_logistic(full[known], y[known]) if known.any() else np.zeros(full.shape[1] + 1)
-        for f in range(n_folds):
-            own = known & (folds != f)
-            fold_w = fit_logistic(full[own], y[own]) if own.any() else w
+        for f, own in enumerate(without):
+            features, fold_w = fitted(known & (folds != f), y, own)
             at = folds == f
-            out[at] = sigmoid(full[at] @ fold_w[:-1] + fold_w[-1])
+            out[at] = sigmoid(features[at] @ fold_w[:-1] + fold_w[-1])
         n, m = len(vocabulary), len(vocabulary) + len(MEASURES)
         raw = w[n:m] / spread
         links.append(Link(category, {v: float(a) for v, a in zip(vocabulary, w[:n], strict=True) if abs(a) > 1e-9}, tuple(map(float, raw)), tuple(map(float, w[m:-1])), float(w[-1] - raw @ mean), float(w[-1])))
@@ -120,28 +128,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     marks = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())])
     marks = bounded(marks.where("id is not null"), sample_rows, "id")  # before texts are moved
+    own = [f"c{i}" for i in range(len(categories))]
     # At most about sample_rows small rows; copies of a text would make its every word look telling.
-    sample = text.join(F.broadcast(marks), "id").dropDuplicates(["text"])
-    sample = materialize(sample)
+    found = text.join(F.broadcast(marks), "id").groupBy("text").agg(*[(F.avg(c) >= 0.5).cast("int").alias(c) for c in own])
+    sample = materialize(found.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(n_folds)).cast("int")))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    own = [f"c{i}" for i in range(len(categories))]
-    exploded = sample.select(*own, F.explode(tokens).alias("word"))
-    totals = sample.agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in own]).first()
-    n = totals["n"] or 0
-    counted = exploded.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in own]).where("n >= 5").persist()
-    chosen: list[list[str]] = []
-    for c in own:
-        best = []
-        k = totals[c] or 0
-        if 0 < k < n:
-            rate = F.col("n") / F.lit(float(n))
-            z = (F.col(c) / F.lit(float(k)) - (F.col("n") - F.col(c)) / F.lit(float(n - k))) / F.sqrt(rate * (1 - rate) * (1.0 / k + 1.0 / (n - k)) + 1e-12)
-            best = counted.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(words).where("z > 4").collect()
-        chosen.append(sorted(r["word"] for r in best))
-    counted.unpersist()
-    vocabulary = sorted({w for one in chosen for w in one})
+    chosen = telling_words(sample.select("fold", *own, F.explode(tokens).alias("word")), sample, own, words, n_folds)
+    vocabulary = sorted({w for sets in chosen for one in sets for w in one})
     at = {w: i for i, w in enumerate(vocabulary)}
-    held = docs.sparkSession.sparkContext.broadcast(at)  # at most words * categories entries
+    held = docs.sparkSession.sparkContext.broadcast(at)  # at most words * categories * (folds + 1) entries
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,17 +145,44 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
                 found = WORD.findall(lower)
                 ids.append(sorted(held.value[w] for w in set(found) & held.value.keys()))
                 dense.append(measures(lower, found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), *[b.column(c) for c in own]], names=["at", "dense", *own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(dense, pa.list_(pa.float64())), b.column("fold"), *[b.column(c) for c in own]], names=["at", "dense", "fold", *own])
 
     kinds = ", ".join(f"{c} int" for c in own)
-    rows = in_arrow(sample.select("text", *own), featurise, f"at array<int>, dense array<double>, {kinds}").collect()  # the bounded sample
-    rows.sort(key=lambda r: (list(r["at"]), list(r["dense"]), [r[c] is None or r[c] for c in own]))
+    rows = in_arrow(sample.select("text", "fold", *own), featurise, f"at array<int>, dense array<double>, fold int, {kinds}").collect()  # the bounded sample
+    discard(sample)
+    rows.sort(key=lambda r: (list(r["at"]), list(r["dense"]), r["fold"], [r[c] is None or r[c] for c in own]))
     x = np.zeros((len(rows), len(vocabulary)))
     for i, r in enumerate(rows):
         x[i, list(r["at"])] = 1
     dense = np.array([r["dense"] for r in rows]).reshape(len(rows), len(MEASURES))
     y = {name: np.array([-1 if r[c] is None else r[c] for r in rows]) for name, c in zip(categories, own, strict=True)}
-    return fit_chain(x, dense, chosen, y, np.arange(len(rows)) % n_folds, n_folds)
+    return fit_chain(x, dense, chosen, y, np.array([r["fold"] for r in rows], dtype=np.int64))
+
+
+def telling_words(exploded: DataFrame, sample: DataFrame, categories: list[str], most: int, n_folds: int) -> list[list[list[str]]]:
+    """For each category, the words chosen on all folds, then without each fold in turn."""
+    count = lambda c, f: F.sum(F.when(F.col("fold") == f, F.coalesce(c, F.lit(0))).otherwise(0))
+    sums = [*[count(F.lit(1), f).alias(f"n{f}") for f in range(n_folds)], *[count(c, f).alias(f"{c}_{f}") for c in categories for f in range(n_folds)]]
+    totals = {k: v or 0 for k, v in sample.agg(*sums).first().asDict().items()}
+    counted = exploded.groupBy("word").agg(*sums)
+    scores = []
+    for i, c in enumerate(categories):
+        for left in range(-1, n_folds):
+            folds = [f for f in range(n_folds) if f != left]
+            n, k = sum(totals[f"n{f}"] for f in folds), sum(totals[f"{c}_{f}"] for f in folds)
+            if not 0 < k < n:
+                continue
+            seen, hits = (reduce(lambda a, b: a + b, [F.col(f"{name}{f}") for f in folds]) for name in ("n", f"{c}_"))
+            rate = seen / F.lit(float(n))
+            z = (hits / F.lit(float(k)) - (seen - hits) / F.lit(float(n - k))) / F.sqrt(rate * (1 - rate) * (1.0 / k + 1.0 / (n - k)) + 1e-12)
+            scores.append(F.struct(F.lit(i).alias("category"), F.lit(left).alias("left"), F.when(seen >= 5, z).alias("z")))
+    chosen: list[list[list[str]]] = [[[] for _ in range(n_folds + 1)] for _ in categories]
+    if scores:
+        ranked = counted.select("word", F.explode(F.array(*scores)).alias("s")).select("word", "s.*").where("z > 4")
+        order = Window.partitionBy("category", "left").orderBy(F.desc("z"), "word")
+        for r in ranked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).collect():  # most words for each category and fold
+            chosen[r["category"]][r["left"] + 1].append(r["word"])
+    return [[sorted(own) for own in sets] for sets in chosen]
 
 
 def chain_probabilities(links: list[Link], texts: list[str | None]) -> list[list[float]]:
