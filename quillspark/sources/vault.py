@@ -35,7 +35,7 @@ def notes_from_files(files: DataFrame, require_front_matter: bool = True) -> Dat
 def load_errors(files: DataFrame) -> DataFrame:
     """(path, error) of the Markdown files that are left out, with the reason."""
     block = F.regexp_extract("raw", BLOCK, 1)
-    why = F.when(~F.col("raw").rlike(BLOCK), "no front matter").when(F.trim(block) == "", "empty front matter").otherwise("front matter is not a mapping")
+    why = F.when(~F.col("raw").rlike(BLOCK), "no front matter").when(~block.rlike(r"\S"), "empty front matter").otherwise("front matter is not a mapping")
     markdown = files.where(F.lower("path").endswith(".md") & F.col("raw").isNotNull())
     return markdown.withColumn("matter", front_matter(F.col("raw"))).where("matter is null").select("path", why.alias("error"))
 
