@@ -367,7 +367,7 @@ def _listing(spark, sf_dir):
 
 
 @query("links_refreshed", f"""{_NAMES}, l AS (SELECT path, links[1] AS link, string_split(links[1], '/')[-1] AS base FROM notes WHERE links IS NOT NULL),
-r AS (SELECT l.path, link, a.path AS p1, coalesce(c.path, b.path) AS p2 FROM l LEFT JOIN dictionary a ON a.name = base LEFT JOIN dictionary b ON b.name = base LEFT JOIN dictionary c ON c.name = regexp_replace(base, '\.md$', ''))
+r AS (SELECT l.path, link, a.path AS p1, coalesce(c.path, b.path) AS p2 FROM l LEFT JOIN dictionary a ON a.name = base LEFT JOIN dictionary b ON b.name = base LEFT JOIN dictionary c ON c.name = regexp_replace(base, '\\.md$', ''))
 SELECT path, array_to_string(list_filter([link, CASE WHEN p1 <> link THEN p1 END, CASE WHEN p2 <> link AND p2 IS DISTINCT FROM p1 THEN p2 END], lambda x: x IS NOT NULL), ' ') AS links FROM r""")
 def _refreshed(spark, sf_dir):
     own = parsed(spark, sf_dir)
