@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import number_text
+from ..schema import is_kind, number_text
 
 
 class UnsupportedExpression(ValueError):
@@ -468,7 +468,8 @@ class Reader:
             if name == "hasPropertyValue" and len(rest) == 1:
                 if isinstance(rest[0].constant, str):  # as plain as can be, so that it can reach the scan
                     v, text_ = F.col(props)[key], rest[0].constant
-                    return truth_value(F.when(v["kind"] == "list", F.array_contains(v["list"], text_)).when(v["kind"] == "string", v["str"] == text_))
+                    inside = F.coalesce(F.array_contains(v["list"], text_), F.lit(False))
+                    return Value("bool", is_kind(v, "list", "list", inside) | is_kind(v, "string", "str", v["str"] == text_), sure=True)
                 inside = F.array_contains(found.fields["list"], fields_of(rest[0])["str"])
                 test = truth_value(F.when(found.fields["kind"] == "list", inside).otherwise(equal(found, rest[0])))
                 return replace(test, size=grown(found, rest[0], times=4))

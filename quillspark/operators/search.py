@@ -27,7 +27,7 @@ from urllib.parse import unquote_to_bytes
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import has_key, prop
+from ..schema import has_key, is_kind, prop
 
 INTEGER = r"^[+-]?[0-9]+$"
 INT32 = range(-(1 << 31), 1 << 31)
@@ -64,7 +64,7 @@ def _whole(text: str) -> int | None:
 def matches(key: str, value: str, props: str = "props", on_type_error: str = "false", fixed_semantics: bool = False) -> Column:
     """Whether the property matches the value; never null."""
     v = prop(key, props)
-    kind, s, items = v["kind"], v["str"], v["list"]
+    s, items = v["str"], v["list"]
     number = _whole(value[1:]) if value[:1] in ("<", ">") else None
     plain = _whole(value)
     bad = F.raise_error(F.lit(f"not an integer for property {key}: {value}")).cast("boolean") if on_type_error == "raise" else F.lit(False)
@@ -75,14 +75,15 @@ def matches(key: str, value: str, props: str = "props", on_type_error: str = "fa
     elif value[:1] in ("<", ">"):
         more = value[0] == ">"
         compare = lambda c: F.lit(False) if number is None else c > number if more else c < number
-        text = compare(_int(s)) if more or fixed_semantics else F.lit(False)
+        text = F.coalesce(compare(_int(s)), F.lit(False)) if more or fixed_semantics else F.lit(False)
         any_of = F.exists(items, lambda x: compare(_int(x))) if fixed_semantics else F.exists(items, lambda x: x.endswith(value[1:]))
         whole = bad if number is None else compare(v["int"])
     else:
         text, any_of = s == value, F.array_contains(items, value)
         whole = bad if plain is None else v["int"] == plain
-    yes = F.when(kind == "string", text).when(kind == "list", any_of).when(kind == "bool", v["bool"] == F.lit(value.lower() == "true")).when(kind == "int", whole)
-    return F.coalesce(yes, F.lit(False))
+    yes = is_kind(v, "string", "str", text) | is_kind(v, "list", "list", F.coalesce(any_of, F.lit(False))) | is_kind(v, "bool", "bool", v["bool"] == F.lit(value.lower() == "true"))
+    # A type error is raised inside a case, as the optimiser may change the order of plain conditions.
+    return yes | F.coalesce(F.when(v["kind"] == "int", whole), F.lit(False)) if whole is bad and on_type_error == "raise" else yes | is_kind(v, "int", "int", whole)
 
 
 def predicate(query: str | dict[str, list[str]] | None, props: str = "props", on_type_error: str = "false", fixed_semantics: bool = False) -> Column:
@@ -108,7 +109,7 @@ def search(notes: DataFrame, query: str | dict[str, list[str]] | None, **options
 
 def project(notes: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Keep the included properties (all if none are named), then drop the excluded ones."""
-    test = lambda k, v: v.isNotNull() & (k.isin(list(include)) if include else F.lit(True)) & (~k.isin(list(exclude)) if exclude else F.lit(True))
+    test = lambda k, v: v["kind"].isNotNull() & (k.isin(list(include)) if include else F.lit(True)) & (~k.isin(list(exclude)) if exclude else F.lit(True))
     return notes.withColumn("props", F.map_filter("props", test))
 
 

@@ -41,9 +41,12 @@ def boolean(c: Column) -> Column:
 
 
 def value_sql(kind: str, column: str, field: str) -> str:
-    """The SQL of a typed value, null where the column is."""
+    """The SQL of a typed value; its kind is null where the column is.
+
+    The fields are the columns themselves, so that a test of one can reach the scan.
+    """
     fields = ", ".join(f"'{name}', CAST({column if name == field or (name == 'num' and kind == 'int') else 'NULL'} AS {t})" for name, t in _FIELDS.items() if name != "kind")
-    return f"CASE WHEN {column} IS NOT NULL THEN named_struct('kind', '{kind}', {fields}) END"
+    return f"named_struct('kind', IF({column} IS NOT NULL, '{kind}', NULL), {fields})"
 
 
 def bag_sql(**columns: tuple[str, str]) -> str:
@@ -62,13 +65,18 @@ def bag(**values: Column) -> Column:
 
 
 def prop(name: str, props: str = "props") -> Column:
-    """The value struct of a property; null where the key is absent."""
+    """The value struct of a property; it, or its kind, is null where the key is absent."""
     return F.col(props)[name]
 
 
 def has_key(name: str, props: str = "props") -> Column:
     """Whether the key is there, also with YAML's null (a value of kind ``null``)."""
-    return F.col(props)[name].isNotNull()
+    return F.col(props)[name]["kind"].isNotNull()
+
+
+def is_kind(v: Column, kind: str, field: str, test: Column) -> Column:
+    """Whether the value is of the kind and passes a test of its field; never null, and plain enough for a scan."""
+    return v["kind"].eqNullSafe(kind) & v[field].isNotNull() & test
 
 
 def as_list(name: str, props: str = "props") -> Column:

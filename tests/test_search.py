@@ -88,3 +88,10 @@ def test_constant_kinds_fold_away(spark):
     df = spark.range(1).select(bag(tags=strings(F.array(F.lit("a"), F.col("id").cast("string")))).alias("props"))
     plan = search(df, "tags=a")._jdf.queryExecution().optimizedPlan().toString()
     assert "map(" not in plan.split("Filter")[-1]
+
+
+@pytest.mark.parametrize(("query", "pushed"), [("title=cold+widget", "EqualTo(p_name,cold widget)"), ("title=cold*", "StringStartsWith(p_name,cold)"), ("size=7", "EqualTo(p_size,7)"), ("size=>6&!title=x", "GreaterThan(p_size,6)")])
+def test_a_search_reaches_the_scan(spark, query, pushed):
+    from quillspark.sources.tables import notes as made
+
+    assert pushed in search(made(spark, "/root/testdata/sf0.001"), query).select("path")._jdf.queryExecution().toString()
