@@ -51,13 +51,21 @@ def yaml_to_json(block: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def _parsed(blocks: pd.Series) -> pd.Series:
-    return blocks.map(yaml_to_json)
+    # Blocks made from one template are often equal: each is read once for a batch.
+    number, distinct = pd.factorize(blocks, use_na_sentinel=False)
+    found = pd.Series([yaml_to_json(None if pd.isna(b) else b) for b in distinct], dtype=object)
+    return found.take(number).reset_index(drop=True)
 
 
 #: Called non-deterministic so that the optimiser keeps one call where a filter and a projection use it.
 _parsed = _parsed.asNondeterministic()
 
 
+def front_matter_json(text: Column) -> Column:
+    """The properties of a note's front matter as JSON, or null; a test for null need not read the JSON."""
+    return _parsed(F.regexp_extract(text, BLOCK, 1))
+
+
 def front_matter(text: Column) -> Column:
     """The property map of a note's front matter, or null."""
-    return F.from_json(_parsed(F.regexp_extract(text, BLOCK, 1)), PROPS)
+    return F.from_json(front_matter_json(text), PROPS)

@@ -26,9 +26,12 @@ def markdown_links(text: Column) -> Column:
 
 def with_links(notes: DataFrame, text: str = "raw") -> DataFrame:
     """Set ``links`` from the text; links that the properties name stay where the text has none."""
-    found = markdown_links(F.col(text))
-    put = F.map_concat(F.map_filter("props", lambda k, v: k != "links"), bag(links=strings(found)).cast(PROPS))
-    return notes.withColumn("props", F.when(F.size(found) > 0, put).otherwise(F.col("props")))
+    # A column of its own, so that the links are looked for once.
+    own, found = "__found_links", F.col("__found_links")
+    some = F.size(found) > 0
+    kept = F.map_filter("props", lambda k, v: (k != "links") | ~some)
+    put = F.when(some, bag(links=strings(found)).cast(PROPS)).otherwise(F.create_map().cast(PROPS))
+    return notes.withColumn(own, markdown_links(F.col(text))).withColumn("props", F.map_concat(kept, put)).drop(own)
 
 
 def basename(path: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frontmatter import BLOCK, front_matter
+from ..functions.frontmatter import BLOCK, front_matter_json
 from ..operators.links import with_links
 from ..schema import PROPS, bag, string
 
@@ -24,10 +24,10 @@ def notes_from_files(files: DataFrame, require_front_matter: bool = True) -> Dat
     """Notes of (path, raw) rows, the path being relative to the vault."""
     markdown = F.lower("path").endswith(".md")
     rows = files.select("path", F.when(F.instr(F.element_at(F.split("path", "/"), -1), ".") > 0, F.element_at(F.split("path", r"\."), -1)).alias("ext"), F.when(markdown, F.col("raw")).alias("raw"))
-    parsed = rows.withColumn("matter", F.when(F.col("raw").isNotNull(), front_matter(F.col("raw"))))
+    parsed = rows.withColumn("matter", F.when(F.col("raw").isNotNull(), front_matter_json(F.col("raw"))))
     if require_front_matter:
         parsed = parsed.where(F.col("raw").isNull() | F.col("matter").isNotNull())
-    own = F.map_filter(F.coalesce("matter", F.create_map().cast(PROPS)), lambda k, v: k != "filePath")
+    own = F.map_filter(F.coalesce(F.from_json("matter", PROPS), F.create_map().cast(PROPS)), lambda k, v: k != "filePath")
     notes = parsed.select("path", "ext", "raw", F.lit(None).cast("string").alias("rendered"), F.map_concat(own, bag(filePath=string(F.col("path"))).cast(PROPS)).alias("props"))
     return with_links(notes)
 
@@ -37,7 +37,7 @@ def load_errors(files: DataFrame) -> DataFrame:
     block = F.regexp_extract("raw", BLOCK, 1)
     why = F.when(~F.col("raw").rlike(BLOCK), "no front matter").when(~block.rlike(r"\S"), "empty front matter").otherwise("front matter is not a mapping")
     markdown = files.where(F.lower("path").endswith(".md") & F.col("raw").isNotNull())
-    return markdown.withColumn("matter", front_matter(F.col("raw"))).where("matter is null").select("path", why.alias("error"))
+    return markdown.withColumn("matter", front_matter_json(F.col("raw"))).where("matter is null").select("path", why.alias("error"))
 
 
 def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
