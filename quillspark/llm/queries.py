@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, licenses, lm, neardup, packing, tokenstore, topk, toxicity
+from . import bytebpe, centroids, decontam, html, infill, langid, licenses, lm, neardup, packing, tokenstore, topk, toxicity
 from .common import crc_mod
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -85,6 +86,29 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's transformed text and of the text rebuilt from it."""
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = infill.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's cluster after three rounds, with the totals of distances."""
+    return centroids.with_totals(centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    path = tokenizer_path(RANKS)
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    decoded = bytebpe.decode(encoded, path)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_decontamination": op1_edit_decontamination,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -96,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_near_duplicates": op8_weighted_near_duplicates,
     "op9_topk_sorted_lists": op9_topk_sorted_lists,
     "op10_main_text": op10_main_text,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -106,4 +133,6 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op11_fill_in_middle": infill.oracle_sql(),
+    "op12_centroid_clusters": centroids.oracle_sql(),
 }
