@@ -23,6 +23,7 @@ clash. Very long texts, and pre-tokens of any length, are encoded whole.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -38,15 +39,15 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import in_arrow, per_worker
 from .tokenstore import build_mph, mph_slots
 
-#: Second-tier pre-tokens whose ids a worker keeps, in each of two generations.
-KEPT = 200_000
+#: Second-tier pre-tokens whose ids a worker keeps, and as many of the generation before; what one part
+#: of the texts adds comes on top.
+KEPT = 300_000
 #: Longer pre-tokens are not kept, so the kept ones' memory is bounded.
-KEPT_BYTES = 64
+KEPT_CHARS = 64
 #: Characters, or ids, that are worked on at once (or one whole text).
-PART = 1_000_000
-#: Above every id: a pair of ids is one integer; and above every place in a pre-token.
-_SHIFT = 32
-_PLACE = (1 << _SHIFT) - 1
+PART = 4_000_000
+#: Bits of an id: two ids are one integer.
+_SHIFT = 31
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -82,7 +83,7 @@ class Encoder:
         self.ranks = np.zeros(len(of), dtype="<i4")
         for slot, (word, rank) in zip(slots.tolist(), of.items(), strict=True):
             self.words[slot], self.ranks[slot] = word, rank
-        self.single = [of[bytes([i])] for i in range(256)]
+        self.single = np.array([of[bytes([i])] for i in range(256)], dtype=np.int64)
         #: (left id, right id) in one integer -> the id of the two joined.
         self.joined: dict[int, int] = {}
         for word, rank in of.items():
@@ -91,8 +92,13 @@ class Encoder:
                 right = of.get(word[cut:]) if left is not None else None
                 if right is not None:
                     self.joined[left << _SHIFT | right] = rank
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        #: The same for two bytes.
+        self.pairs = np.array([[of.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], dtype=np.int64)
+        #: The linked list of a string of n bytes, before any are joined.
+        self.after = [list(range(1, n + 1)) for n in range(KEPT_CHARS)]
+        self.before = [list(range(-1, n - 1)) for n in range(KEPT_CHARS)]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """First tier: whether the vocabulary holds each string, and the rank that its slot names."""
@@ -101,47 +107,82 @@ class Encoder:
         hit = np.fromiter(map(bytes.__eq__, own, words), dtype=bool, count=len(words))
         return hit, self.ranks[slots]
 
-    def merged(self, word: bytes) -> bytes:
-        """Second tier: joins the pair of least rank, the leftmost of equals, until no pair has one."""
-        n, joined = len(word), self.joined.get
-        ids = [*map(self.single.__getitem__, word), -1]  # no pair with the end has a rank
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        heap = [r << _SHIFT | i for i in range(n - 1) if (r := joined(ids[i] << _SHIFT | ids[i + 1])) is not None]
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Second tier: the ids of each string, from its bytes and a heap of their pairs' ranks."""
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        bits = int(sizes.max()).bit_length()
+        ranks = np.append(self.pairs[raw[:-1], raw[1:]], -1)  # of each byte and the next
+        ranks[ends[sizes > 0] - 1] = -1
+        places = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
+        queued = np.where(ranks >= 0, ranks << bits | places, -1).tolist()
+        ids, ranks, made, start = self.single[raw].tolist(), ranks.tolist(), [], 0
+        for end in ends.tolist():
+            made.append(self._join(ids[start:end], ranks[start:end], [x for x in queued[start:end] if x >= 0], bits))
+            start = end
+        return made
+
+    def _join(self, ids: list[int], rank_at: list[int], heap: list[int], bits: int) -> bytes:
+        """Joins the pair of least rank, the leftmost of equals, until no pair has one.
+
+        ``rank_at`` has the rank of each place's pair (-1: none), ``heap`` ranks with their places.
+        """
+        n, joined, mask = len(ids), self.joined.get, (1 << bits) - 1
+        after, before = (self.after[n][:], self.before[n][:]) if n < len(self.after) else (list(range(1, n + 1)), list(range(-1, n - 1)))
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i, rank = top & _PLACE, top >> _SHIFT
-            j, left = after[i], ids[i]
-            if left < 0 or ids[j] < 0 or joined(left << _SHIFT | ids[j]) != rank:  # one of the two was joined meanwhile
+            i, rank = top & mask, top >> bits
+            if rank_at[i] != rank:  # one of the two was joined meanwhile
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
-            before[k] = i
-            if ids[k] >= 0 and (r := joined(rank << _SHIFT | ids[k])) is not None:
-                heappush(heap, r << _SHIFT | i)
+            ids[i], rank_at[j], r = rank, -1, -1
+            if k < n:
+                before[k] = i
+                if (r := joined(rank << _SHIFT | ids[k], -1)) >= 0:
+                    heappush(heap, r << bits | i)
+            rank_at[i] = r
             h = before[i]
-            if h >= 0 and (r := joined(ids[h] << _SHIFT | rank)) is not None:
-                heappush(heap, r << _SHIFT | h)
-        return np.array([x for x in ids if x >= 0], dtype="<i4").tobytes()
-
-    def _remembered(self, word: bytes) -> bytes:
-        found = self.recent.get(word)
-        if found is None:
-            found = self.older.get(word) or self.merged(word)
-            if len(word) <= KEPT_BYTES:
-                if len(self.recent) >= KEPT:
-                    self.older, self.recent = self.recent, {}
-                self.recent[word] = found
-        return found
+            if h >= 0:
+                rank_at[h] = r = joined(ids[h] << _SHIFT | rank, -1)
+                if r >= 0:
+                    heappush(heap, r << bits | h)
+        left, i = array("i"), 0
+        while i < n:
+            left.append(ids[i])
+            i = after[i]
+        return left.tobytes()
+
+    def _tiers(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pre-tokens; those of the second tier are remembered."""
+        raw = [x.encode() for x in words]
+        hit, ranks = self.whole(raw)
+        packed, missed = ranks.tobytes(), np.flatnonzero(~hit).tolist()
+        ids = {words[i]: packed[4 * i : 4 * i + 4] for i in np.flatnonzero(hit).tolist()}
+        made = dict(zip(map(words.__getitem__, missed), self.merged(list(map(raw.__getitem__, missed))), strict=True))
+        self._keep({x: found for x, found in made.items() if len(x) <= KEPT_CHARS})
+        return ids | made
+
+    def _keep(self, ids: dict[str, bytes]) -> None:
+        if len(self.recent) > KEPT:
+            self.older, self.recent = self.recent, {}
+        self.recent.update(ids)
 
     def encode(self, texts: list[str], pattern: regex.Pattern) -> list[bytes]:
-        """The ids of each text; each distinct pre-token of the texts goes through the tiers once."""
+        """The ids of each text; each distinct pre-token of the texts is looked up once."""
         cut = [pattern.findall(text) for text in texts]
-        distinct = list({x for words in cut for x in words})
-        raw = [x.encode() for x in distinct]
-        hit, slot_ranks = self.whole(raw)
-        packed = slot_ranks.tobytes()
-        ids = {x: packed[4 * i : 4 * i + 4] if known else self._remembered(w) for i, (x, w, known) in enumerate(zip(distinct, raw, hit.tolist(), strict=True))}
+        new, ids = set().union(*cut), {}
+        for known in (self.recent, self.older):
+            own = {x: known[x] for x in new & known.keys()}
+            if known is self.older:
+                self._keep(own)
+            ids |= own
+            new -= own.keys()
+        ids |= self._tiers(list(new))
         return [b"".join(map(ids.__getitem__, words)) for words in cut]
 
 
