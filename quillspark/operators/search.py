@@ -21,13 +21,14 @@ otherwise compares with the empty text. ``fixed_semantics`` gives what was meant
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from functools import reduce
 from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import has_key, is_kind, prop
+from ..schema import Props, has_key, is_kind, prop
 
 INTEGER = r"^[+-]?[0-9]+$"
 INT32 = range(-(1 << 31), 1 << 31)
@@ -61,8 +62,8 @@ def _whole(text: str) -> int | None:
     return int(text) if re.fullmatch(r"[+-]?[0-9]+", text) and len(text) < 20 and int(text) in INT32 else None
 
 
-def matches(key: str, value: str, props: str = "props", on_type_error: str = "false", fixed_semantics: bool = False) -> Column:
-    """Whether the property matches the value; never null."""
+def matches(key: str, value: str, props: Props = "props", on_type_error: str = "false", fixed_semantics: bool = False, kinds: Collection[str] | None = None) -> Column:
+    """Whether the property matches the value; never null. ``kinds``: those that the key has at all, if known."""
     v = prop(key, props)
     s, items = v["str"], v["list"]
     number = _whole(value[1:]) if value[:1] in ("<", ">") else None
@@ -81,24 +82,34 @@ def matches(key: str, value: str, props: str = "props", on_type_error: str = "fa
     else:
         text, any_of = s == value, F.array_contains(items, value)
         whole = bad if plain is None else v["int"] == plain
-    yes = is_kind(v, "string", "str", text) | is_kind(v, "list", "list", F.coalesce(any_of, F.lit(False))) | is_kind(v, "bool", "bool", v["bool"] == F.lit(value.lower() == "true"))
     # A type error is raised inside a case, as the optimiser may change the order of plain conditions.
-    return yes | F.coalesce(F.when(v["kind"] == "int", whole), F.lit(False)) if whole is bad and on_type_error == "raise" else yes | is_kind(v, "int", "int", whole)
-
-
-def predicate(query: str | dict[str, list[str]] | None, props: str = "props", on_type_error: str = "false", fixed_semantics: bool = False) -> Column:
-    """The whole query as one condition, so that it is part of the scan's plan."""
+    raises = whole is bad and on_type_error == "raise"
+    tests = {
+        "string": is_kind(v, "string", "str", text),
+        "list": is_kind(v, "list", "list", F.coalesce(any_of, F.lit(False))),
+        "bool": is_kind(v, "bool", "bool", v["bool"] == F.lit(value.lower() == "true")),
+        "int": F.coalesce(F.when(v["kind"] == "int", whole), F.lit(False)) if raises else is_kind(v, "int", "int", whole),
+    }
+    own = [test for kind, test in tests.items() if kinds is None or kind in kinds]
+    return reduce(lambda a, b: a | b, own) if own else F.lit(False)
+
+
+def predicate(query: str | dict[str, list[str]] | None, props: Props = "props", on_type_error: str = "false", fixed_semantics: bool = False, kinds: dict[str, Collection[str]] | None = None) -> Column:
+    """The whole query as one condition, so that it is part of the scan's plan.
+
+    ``kinds``: for some keys, the kinds that their values have; tests of other kinds are left out.
+    """
     params = query if isinstance(query, dict) else parse(query)
-    own = {"props": props, "on_type_error": on_type_error, "fixed_semantics": fixed_semantics}
+    test = lambda key, value: matches(key, value, props, on_type_error, fixed_semantics, (kinds or {}).get(key))
     tests = []
     for key, values in params.items():
         for value in values:
             if not key.startswith("!"):
-                tests.append(has_key(key, props) if value == "" else matches(key, value, **own))
+                tests.append(has_key(key, props) if value == "" else test(key, value))
             elif value == "":
-                tests.append(~has_key(key[1:], props) | (F.lit(False) if fixed_semantics else ~matches(key[1:], "", **own)))
+                tests.append(~has_key(key[1:], props) | (F.lit(False) if fixed_semantics else ~test(key[1:], "")))
             else:
-                tests.append(~matches(key[1:], value, **own))
+                tests.append(~test(key[1:], value))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

@@ -361,6 +361,36 @@ def _store_search(spark, sf_dir):
     return store(spark, sf_dir).search({"tags": "PROMO"}, {"title": "cold widget"}).select("path")
 
 
+@query("store_find_by_path", "SELECT path, title FROM notes WHERE path = 'part/11.md'")
+def _by_path(spark, sf_dir):
+    return store(spark, sf_dir).find_by_path("part/11.md").select("path", F.get_json_object("properties_json", "$.title.str").alias("title"))
+
+
+@query("store_search_columns", "SELECT path, title FROM notes WHERE list_contains(tags, 'part') AND starts_with(path, 'part/1') AND title > '' AND ends_with(title, 'widget')")
+def _column_search(spark, sf_dir):
+    return store(spark, sf_dir).search("filePath=part/1*&title=*widget&title=").select("path", prop("title")["str"].alias("title"))
+
+
+@query("store_tag_counts", "SELECT tag AS term, count(*) AS n FROM (SELECT DISTINCT path, unnest(tags) AS tag FROM notes WHERE list_contains(tags, 'nation') OR list_contains(tags, 'part')) GROUP BY 1")
+def _tag_counts(spark, sf_dir):
+    return store(spark, sf_dir).counts("tag")
+
+
+@query("store_tags_without_link", "SELECT path FROM notes WHERE list_contains(tags, 'nation') AND NOT list_contains(links, 'region/ASIA.md')")
+def _tag_not_link(spark, sf_dir):
+    return store(spark, sf_dir).search({"tags": "nation"}, {"links": "region/ASIA.md"}).select("path")
+
+
+@query("store_after_changes", "SELECT path, CASE WHEN list_contains(tags, 'nation') THEN title || '!' WHEN list_contains(tags, 'region') THEN title || '?' ELSE title END AS title FROM notes WHERE list_contains(tags, 'nation') OR list_contains(tags, 'region') OR (list_contains(tags, 'part') AND NOT list_contains(tags, 'PROMO'))")
+def _changed_store(spark, sf_dir):
+    made = store(spark, sf_dir)
+    own = stored(spark, sf_dir, ("filePath", "title", "tags", "links"))
+    regions = search(own, "tags=region").withColumn("props", F.map_concat(F.map_filter("props", lambda k, v: k != "title"), bag(title=string(F.concat(prop("title")["str"], F.lit("?")))).cast(PROPS)))
+    made.apply(regions, search(own, "tags=PROMO").select("path"), batch=("changes", 0))
+    made.apply(search(own, "tags=order"), batch=("changes", 0))  # the same batch again
+    return made.notes().select("path", prop("title")["str"].alias("title"))
+
+
 @query("listing", "SELECT path, CAST(2 + (title IS NOT NULL)::INTEGER + (links IS NOT NULL)::INTEGER + (acctbal IS NOT NULL)::INTEGER AS INTEGER) AS n_properties FROM notes WHERE list_contains(tags, 'customer')")
 def _listing(spark, sf_dir):
     return listing(notes(spark, sf_dir), "tags=customer").select("path", F.size("props").alias("n_properties"))

@@ -7,9 +7,13 @@ keep their string elements and hold null for others; ``num`` is filled for int a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where properties are looked up: the name of a map column, or a function of the key.
+Props = str | Callable[[str], Column]
 VALUE = "struct<kind:string,str:string,int:int,num:double,bool:boolean,list:array<string>,json:string>"
 PROPS = f"map<string,{VALUE}>"
 _FIELDS = {"kind": "string", "str": "string", "int": "int", "num": "double", "bool": "boolean", "list": "array<string>", "json": "string"}
@@ -64,14 +68,14 @@ def bag(**values: Column) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
 
 
-def prop(name: str, props: str = "props") -> Column:
+def prop(name: str, props: Props = "props") -> Column:
     """The value struct of a property; it, or its kind, is null where the key is absent."""
-    return F.col(props)[name]
+    return F.col(props)[name] if isinstance(props, str) else props(name)
 
 
-def has_key(name: str, props: str = "props") -> Column:
+def has_key(name: str, props: Props = "props") -> Column:
     """Whether the key is there, also with YAML's null (a value of kind ``null``)."""
-    return F.col(props)[name]["kind"].isNotNull()
+    return prop(name, props)["kind"].isNotNull()
 
 
 def is_kind(v: Column, kind: str, field: str, test: Column) -> Column:
@@ -79,7 +83,7 @@ def is_kind(v: Column, kind: str, field: str, test: Column) -> Column:
     return v["kind"].eqNullSafe(kind) & v[field].isNotNull() & test
 
 
-def as_list(name: str, props: str = "props") -> Column:
+def as_list(name: str, props: Props = "props") -> Column:
     """A list property, or a scalar string as a list of one; empty where there is neither."""
     v = prop(name, props)
     return F.coalesce(F.when(v["kind"] == "list", v["list"]).when(v["kind"] == "string", F.array(v["str"])), F.array().cast("array<string>"))
