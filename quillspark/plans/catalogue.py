@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import export, graph, links, views
@@ -15,6 +15,7 @@ from ..schema import PROPS, as_list, bag, prop, string, strings
 from ..shared import materialize, shared_dir
 from ..sources.tables import NOTES_SQL, as_markdown, notes
 from ..sources.vault import notes_from_files
+from .pipeline import render_blocks, update
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,13 +243,13 @@ def _tag_cells(spark, sf_dir):
     return views.cells(notes(spark, sf_dir), view).select("path", "pos", "c0")
 
 
-@query("view_table_markdown", "SELECT chr(10) || '| Path | Title |' || chr(10) || '|---|---|' || coalesce(string_agg(chr(10) || '| [[' || path || ']] | ' || title || ' |', '' ORDER BY path), '') || chr(10) AS text FROM notes WHERE list_contains(tags, 'nation')")
+@query("view_table_markdown", "SELECT '| Path | Title |' || chr(10) || '|---|---|' || chr(10) || coalesce(string_agg('| [[' || path || ']] | ' || title || ' |' || chr(10), '' ORDER BY path), '') AS text FROM notes WHERE list_contains(tags, 'nation')")
 def _table(spark, sf_dir):
     view = _view({"and": ['hasPropertyValue(file, "tags", "nation")']}, [('"[[" .. getPropertyValue(file, "filePath") .. "]]"', "Path"), ('getPropertyValue(file, "title", "")', "Title")])
     return views.render(notes(spark, sf_dir), view)
 
 
-@query("view_list_markdown", "SELECT coalesce(string_agg(chr(10) || ' - ' || path, '' ORDER BY path), '') || chr(10) AS text FROM notes WHERE list_contains(tags, 'region')")
+@query("view_list_markdown", "SELECT coalesce(string_agg(' - ' || path || chr(10), '' ORDER BY path), '') AS text FROM notes WHERE list_contains(tags, 'region')")
 def _list(spark, sf_dir):
     view = _view({"and": ['hasPropertyValue(file, "tags", "region")']}, [('getPropertyValue(file, "filePath")', "Path")], kind="list")
     return views.render(notes(spark, sf_dir), view)
@@ -302,6 +303,48 @@ def _extended(spark, sf_dir):
     return views.cells(notes(spark, sf_dir), views.from_base(EXTENDED, extended=True))
 
 
+def block(tags: list, order: str, sort: str = "") -> Column:
+    """A fenced view that lists a property of the notes with all tags."""
+    tests = [x for t in tags for x in (F.lit('        - file.tags.containsAny("'), t if isinstance(t, Column) else F.lit(t), F.lit('")\n'))]
+    return F.concat(F.lit("```base\nviews:\n  - type: list\n    filters:\n      and:\n"), *tests, F.lit(f"    order:\n      - {order}\n{sort}```"))
+
+
+def with_hubs(own: DataFrame, text: Column, tag: str) -> DataFrame:
+    """The notes, and a further note ``hub/...`` with a text of its own for each note with the tag."""
+    hubs = search(own, f"tags={tag}").withColumn("title", prop("title")["str"]).withColumn("path", F.concat(F.lit("hub/"), "title", F.lit(".md")))
+    made = hubs.select("path", "ext", text.alias("raw"), "rendered", bag(filePath=string(F.col("path")), tags=strings(F.array(F.lit("hub")))).cast(PROPS).alias("props"))
+    return own.withColumn("props", F.col("props").cast(PROPS)).unionByName(made)
+
+
+@query("views_in_notes", """, hub AS (SELECT 'hub/' || title || '.md' AS path, title FROM notes WHERE list_contains(tags, 'nation'))
+SELECT h.path, '# ' || h.title || chr(10) || coalesce(string_agg(' - ' || n.title || chr(10), '' ORDER BY n.acctbal DESC NULLS LAST, n.path), '') || chr(10) || 'end' AS text FROM hub h LEFT JOIN notes n ON list_contains(n.tags, h.title) AND list_contains(n.tags, 'supplier') GROUP BY h.path, h.title""")
+def _views_in_notes(spark, sf_dir):
+    text = F.concat(F.lit("# "), "title", F.lit("\n"), block([F.col("title"), "supplier"], "title", "    sort:\n      - property: acctbal\n        direction: DESC\n"), F.lit("\nend"))
+    own = with_hubs(notes(spark, sf_dir, ("filePath", "title", "tags", "acctbal")), text, "nation")
+    return render_blocks(own).where(F.col("path").startswith("hub/")).select("path", F.col("rendered").alias("text"))
+
+
+def _rounds(rounds: int) -> Query:
+    """Hubs list the regions' views, those the nations' views, and those the region: each round renders one level."""
+
+    def run(spark, sf_dir):
+        own = with_hubs(notes(spark, sf_dir, ("filePath", "title", "tags")), F.concat(F.lit("# "), "title", F.lit("\n"), block(["region"], "inner"), F.lit("\nend")), "nation")
+        region = F.element_at(as_list("tags"), 2)
+        kind = F.element_at(as_list("tags"), 1)
+        inner = F.when(kind == "region", block([region, "nation"], "inner")).when(kind == "nation", block([region, "region"], "title"))
+        nested = own.withColumn("props", F.when(inner.isNotNull(), F.map_concat("props", bag(inner=string(inner)).cast(PROPS))).otherwise(F.col("props")))
+        return update(nested, rounds).where(F.col("path").startswith("hub/")).select("path", F.col("rendered").alias("text"))
+
+    return run
+
+
+_INNER = "'```base' || chr(10) || 'views:' || chr(10) || '  - type: list' || chr(10) || '    filters:' || chr(10) || '      and:' || chr(10) || '        - file.tags.containsAny(\"' || tags[2] || '\")' || chr(10) || '        - file.tags.containsAny(\"region\")' || chr(10) || '    order:' || chr(10) || '      - title' || chr(10) || '```'"
+for _name, _count, _shown in (("update_two_rounds", 2, _INNER), ("update_three_rounds", 3, "' - ' || tags[2] || chr(10)")):
+    query(_name, f"""SELECT 'hub/' || h.title || '.md' AS path, '# ' || h.title || chr(10) || b.body || chr(10) || 'end' AS text FROM notes h,
+(SELECT string_agg(' - ' || coalesce(lines, '') || chr(10), '' ORDER BY path) AS body FROM (SELECT r.path, (SELECT string_agg(' - ' || {_shown} || chr(10), '' ORDER BY n.path) FROM notes n WHERE list_contains(n.tags, 'nation') AND list_contains(n.tags, r.title)) AS lines FROM notes r WHERE list_contains(r.tags, 'region'))) b
+WHERE list_contains(h.tags, 'nation')""")(_rounds(_count))
+
+
 #: name -> (filter, SQL condition over the notes)
 CONDITIONS = {
     "expression_truth": ('not file:get("inStock")', "NOT coalesce(instock, false)"),

@@ -1,14 +1,13 @@
 """The stages from raw notes to final text and links.
 
 raw text -> properties -> embedded views rendered -> wikilinks rewritten -> links renewed.
-Views see the properties of the first stage. Equal view blocks are rendered once, however many
-notes embed them; a block that cannot be read or compiled is logged and becomes empty, and
-does not touch the others.
+Views see the properties of the stage before. Equal view blocks are rendered once, however many
+notes embed them, and all different ones together; a block that cannot be read or compiled is
+logged and becomes empty, and does not touch the others.
 """
 
 from __future__ import annotations
 
-import itertools
 import logging
 from functools import reduce
 
@@ -18,42 +17,56 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import UnsupportedExpression
 from ..operators.links import name_dictionary, refresh_links, rewrite_wikilinks
-from ..operators.views import from_base, render
+from ..operators.views import View, filter_condition, from_base, head, line, rendered
 from ..schema import as_list
 from ..shared import materialize
 
 # Fixed value: a fenced block that holds a view of the base dialect.
 BLOCK = r"(?s)```base(.*?)```"
-#: Different views that are rendered by one job.
-BATCH = 20
+#: Views that are evaluated in one scan of the notes; each adds its filter and line to the scan's plan.
+AT_ONCE = 200
 FAILURES = (UnsupportedExpression, PySparkException, ValueError, AttributeError, KeyError, TypeError, RecursionError)
 log = logging.getLogger(__name__)
 
 
-def rendered_views(notes: DataFrame, texts: list[str]) -> DataFrame | None:
-    """(block, view) of those view texts that can be rendered."""
+def compiled(notes: DataFrame, text: str) -> View | None:
+    """The view that a block describes, if it can be compiled over the notes."""
+    try:
+        view = from_base(text)
+        if head(view) is not None:
+            notes.select(line(view), filter_condition(view.filters, view.formulas) if view.filters else F.lit(True))
+    except FAILURES as e:
+        log.warning("a view was left out: %s", e)
+        return None
+    return view
+
+
+def rendered_blocks(notes: DataFrame, texts: list[str]) -> DataFrame | None:
+    """(block, view) of those view texts that can be rendered, from one scan for each ``AT_ONCE`` of them."""
+    views = [(text, view) for text in texts if (view := compiled(notes, text)) is not None]
     made = []
-    for text in texts:
-        try:
-            made.append(render(notes, from_base(text)).select(F.lit(text).alias("block"), F.col("text").alias("view")))
-        except FAILURES as e:
-            log.warning("a view was left out: %s", e)
-    return materialize(reduce(DataFrame.union, made)) if made else None
+    for first in range(0, len(views), AT_ONCE):
+        part = dict(enumerate(views[first : first + AT_ONCE]))
+        names = notes.sparkSession.createDataFrame([(i, text) for i, (text, _) in part.items()], "view int, block string")
+        made.append(rendered(notes, {i: view for i, (_, view) in part.items()}).join(names, "view").select("block", F.col("text").alias("view")))
+    return reduce(DataFrame.union, made) if made else None
 
 
-def render_blocks(notes: DataFrame) -> DataFrame:
+def render_blocks(notes: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """Add ``rendered``: the text with its view blocks replaced by the views; null without views.
 
-    A block that fails becomes empty; a text in which all fail stays as it is. Each different
-    view is a query over all notes of its own; they run in batches, so their number has no bound.
+    The views show ``everything``, or the notes themselves. A block that fails becomes empty; a text
+    in which all fail stays as it is. The driver compiles the different blocks, as they are code; their
+    rows never reach it.
     """
     found = F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(BLOCK), F.lit(1))
-    blocks = notes.where(F.col("raw").contains("```base")).select(F.explode(found).alias("block")).distinct().toLocalIterator()
-    views = [v for v in (rendered_views(notes, [r["block"] for r in batch]) for batch in iter(lambda: list(itertools.islice(blocks, BATCH)), [])) if v is not None]
-    if not views:
+    with_blocks = notes.where(F.col("raw").contains("```base"))
+    texts = [r["block"] for r in with_blocks.select(F.explode(found).alias("block")).distinct().orderBy("block").collect()]
+    views = rendered_blocks(notes if everything is None else everything, texts)
+    if views is None:
         return notes.withColumn("rendered", F.lit(None).cast("string"))
-    tokens = notes.where(F.col("raw").contains("```base")).select("path", F.posexplode(found).alias("pos", "block"))
-    placed = tokens.join(reduce(DataFrame.union, views), "block", "left").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("view", F.lit("")).alias("view")))).alias("items"), F.max(F.col("view").isNotNull()).alias("hit"))
+    tokens = with_blocks.select("path", F.posexplode(found).alias("pos", "block"))
+    placed = tokens.join(views, "block", "left").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("view", F.lit("")).alias("view")))).alias("items"), F.max(F.col("view").isNotNull()).alias("hit"))
     pieces = F.zip_with(F.split("raw", BLOCK, -1), F.concat(F.col("items")["view"], F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return notes.drop("rendered").join(placed, "path", "left").withColumn("rendered", F.when(F.coalesce("hit", F.lit(False)), F.array_join(pieces, ""))).drop("items", "hit")
 
@@ -61,25 +74,41 @@ def render_blocks(notes: DataFrame) -> DataFrame:
 def update(notes: DataFrame, rounds: int = 1) -> DataFrame:
     """All stages: views, wikilinks, links.
 
-    Each further round works on the text that the one before made, with the properties as they
-    are then, and ends early when no text changes any more.
+    Each further round works on the notes that the one before rewrote, and ends early when there are
+    none. A note that was not rewritten has the same text, and names do not change, so it has nothing
+    to gain; its text is not read again. Views see the properties as the round before left them.
     """
-    done = _round(notes)
-    for _ in range(1, rounds):
-        done = materialize(done)
-        again = materialize(_round(done.withColumn("raw", F.coalesce("rendered", "raw"))))
-        changed = again.where("rendered is not null").select("path", F.col("rendered").alias("__new"))
-        before = done.select("path", F.coalesce("rendered", "raw").alias("__old"))
-        if changed.join(before, "path").where("__new <> __old").isEmpty():
+    if rounds <= 1:
+        return _round(notes, name_dictionary(notes))
+    names = materialize(name_dictionary(notes))
+    first = materialize(_round(notes, names).withColumn("__new", F.col("rendered").isNotNull()), by="__new")
+    work, layers = worklist(first), []
+    for n in range(1, rounds):
+        if work.isEmpty():
             break
-        last = again.select("path", F.col("rendered").alias("__new"), F.col("props").alias("__props"))
-        done = done.join(last, "path", "left").withColumns({"rendered": F.coalesce("__new", "rendered"), "props": F.coalesce("__props", "props")}).select(*notes.columns)
-    return done
+        again = _round(work, names, latest(first, layers).select("path", "props"))
+        changed = F.col("rendered").isNotNull() & (F.col("rendered") != F.col("raw"))
+        layer = materialize(again.withColumns({"__new": changed, "__round": F.lit(n)}), by="__new")
+        layers.append(layer.where("__new").select("path", "rendered", "props", "__round"))
+        work = worklist(layer)
+    return latest(first, layers).select(*notes.columns)
+
+
+def worklist(done: DataFrame) -> DataFrame:
+    """The notes that a round rewrote, to be worked on again: only their files are read."""
+    return done.where("__new").select("path", "ext", F.col("rendered").alias("raw"), F.lit(None).cast("string").alias("rendered"), "props")
+
+
+def latest(first: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """The notes with the text and properties of the last round that rewrote them."""
+    if not layers:
+        return first
+    last = reduce(DataFrame.union, layers).groupBy("path").agg(F.max_by(F.struct("rendered", "props"), "__round").alias("__last"))
+    return first.join(last, "path", "left").withColumns({"rendered": F.coalesce("__last.rendered", "rendered"), "props": F.coalesce("__last.props", "props")}).drop("__last")
 
 
-def _round(notes: DataFrame) -> DataFrame:
-    names = name_dictionary(notes)
-    viewed = render_blocks(notes.drop("rendered")).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
+def _round(notes: DataFrame, names: DataFrame, everything: DataFrame | None = None) -> DataFrame:
+    viewed = render_blocks(notes.drop("rendered"), everything).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
     linked = rewrite_wikilinks(viewed, names, "__text")
     done = linked.withColumn("rendered", F.coalesce("rendered", "__viewed")).drop("__viewed", "__text")
     return refresh_links(done).select(*notes.columns)

@@ -24,15 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage at files that survive the loss of an executor, computes once what
     several parts of a plan read, and fixes columns that depend on how rows were dealt out.
+    ``by`` names a column of few values whose rows are written apart, so that a test of it
+    leaves the others' files unread; it becomes the last column.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    if by:
+        df = df.select(*[c for c in df.columns if c != by], by)
+        df.write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_to = path
     return written

@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import export, graph, links, views
 from quillspark.operators.store import NoteStore
-from quillspark.plans.pipeline import changes, update
+from quillspark.plans.pipeline import changes, update, worklist
 from quillspark.schema import prop, text
+from quillspark.shared import materialize
 from quillspark.sources.vault import load_errors, notes_from_files, read_files, read_vault
 
 
@@ -43,7 +45,7 @@ def test_links_and_wikilinks(notes):
 def test_embedded_views(notes):
     v = notes.where("path = 'V.md'").first()["rendered"]
     # The view's [[A.md]] is a wikilink by then, and is resolved in its turn.
-    assert v == "---\ntags: [v]\n---\nT:\n\n| filePath | tags |\n|---|---|\n| [A.md](A.md) | #x #y |\n\nend\n\n"
+    assert v == "---\ntags: [v]\n---\nT:\n| filePath | tags |\n|---|---|\n| [A.md](A.md) | #x #y |\n\nend\n\n"
 
 
 def test_graph(notes):
@@ -91,19 +93,19 @@ RACK = {f"{name}.md": f"---\nshelf: [{shelf}]\nkg: {kg}\npieces: {n}\n{owner}---
 
 def test_tools_view(spark):
     n, view = vault(spark, RACK), views.from_expressions(TOOLS)
-    head = "\n| Tool | Weight | Load | Quarter | Owner |\n|---|---|---|---|---|"
-    rows = ["\n| vice.md | 12.5 kg | 12.5 | 3.125 | Ada |", "\n| saw.md | 1.25 kg | 5 | 1.25 | nobody |", "\n| file.md | 0.5 kg | 1.5 | 0.375 | Bo |"]
-    assert views.render(n, view).first()["text"] == head + "".join(rows) + "\n"
-    assert views.render(n, view, honor_limit=True).first()["text"] == head + "".join(rows[:2]) + "\n"
+    head = "| Tool | Weight | Load | Quarter | Owner |\n|---|---|---|---|---|\n"
+    rows = ["| vice.md | 12.5 kg | 12.5 | 3.125 | Ada |\n", "| saw.md | 1.25 kg | 5 | 1.25 | nobody |\n", "| file.md | 0.5 kg | 1.5 | 0.375 | Bo |\n"]
+    assert views.render(n, view).first()["text"] == head + "".join(rows)
+    assert views.render(n, view, honor_limit=True).first()["text"] == head + "".join(rows[:2])
     assert [(r["path"], r["pos"]) for r in views.cells(n, view).orderBy("pos").collect()] == [("vice.md", 1), ("saw.md", 2), ("file.md", 3)]
 
 
 def test_extended_base(spark):
     base = "formulas:\n  heavy: 'return file:get(\"kg\") > 1'\nviews:\n  - type: list\n    filters:\n      or:\n        - shelf == \"south\"\n        - heavy(file)\n    order: [file.name]\n    limit: 2\n"
     n = vault(spark, RACK)
-    assert views.render(n, views.from_base(base, extended=True), honor_limit=True).first()["text"] == "\n - [[anvil.md]]\n - [[saw.md]]\n"
+    assert views.render(n, views.from_base(base, extended=True), honor_limit=True).first()["text"] == " - [[anvil.md]]\n - [[saw.md]]\n"
     assert views.from_base(base).filters is None or not views.from_base(base).filters
-    assert views.render(n, views.from_base(base.replace("order: [file.name]", "order: [plain]"), extended=True)).first()["text"] == "\n - nil\n - nil\n - nil\n".replace("nil", "")
+    assert views.render(n, views.from_base(base.replace("order: [file.name]", "order: [plain]"), extended=True)).first()["text"] == " - nil\n - nil\n - nil\n".replace("nil", "")
 
 
 def test_failing_blocks_leave_the_others_alone(spark):
@@ -112,7 +114,7 @@ def test_failing_blocks_leave_the_others_alone(spark):
     bad = ["views: [", "views: 3", "views:\n  - name: x", good.replace("kind ==", "os.execute("), good.replace('kind == "a"', "10 /"), "- 1", "views:\n  - type: list\n    order: 5"]
     n = vault(spark, {"x.md": "---\nkind: a\n---\n" + "".join(map(block, [*bad, good])), "y.md": "---\nkind: b\n---\n" + block(bad[0]), "z.md": "---\nkind: a\n---\n" + block(good.replace('kind == "a"', '10 / 0 > file:get("path") or true'))})
     got = {r["path"]: r["rendered"] for r in update(n).collect()}
-    assert got["x.md"] == "---\nkind: a\n---\n" + "\n" * len(bad) + "\n - x.md\n - z.md\n\n"
+    assert got["x.md"] == "---\nkind: a\n---\n" + "\n" * len(bad) + " - x.md\n - z.md\n\n"
     assert got["y.md"] is None
     assert got["z.md"] is not None
 
@@ -125,6 +127,34 @@ def test_rounds_follow_what_the_first_one_made(spark):
     assert moved == {"hub.md": (["late.md"], True), "leaf.md": (["late.md"], True), "late.md": (["leaf.md"], True)}
 
 
+def test_many_views_from_one_scan(spark):
+    n, shelf = vault(spark, RACK), lambda x, sort: f'views:\n  - type: list\n    filters:\n      and:\n        - shelf == "{x}"\n    order: [title, kg]\n    sort:\n      - property: kg\n        direction: {sort}\n    limit: 1\n'
+    made = {i: views.from_base(shelf(x, sort), extended=True) for i, (x, sort) in enumerate([("north", "ASC"), ("north", "DESC"), ("south", "ASC"), ("none", "ASC")])}
+    made |= {7: views.View("table"), 9: views.View("cards")}
+    frame = views.rendered(n, made)
+    got = {r["view"]: r["text"] for r in frame.collect()}
+    listed = lambda *kg: "".join(f" -  {x}\n" for x in kg)
+    assert got == {0: listed(0.5, 1.25, 80), 1: listed(80, 1.25, 0.5), 2: listed(12.5), 3: "", 7: "| Path |\n|---|\n| anvil.md |\n| file.md |\n| saw.md |\n| vice.md |\n", 9: "ERROR in type"}
+    assert {r["view"]: r["text"] for r in views.rendered(n, made, honor_limit=True).collect()} == got | {0: listed(0.5), 1: listed(80)}
+
+
+def test_later_rounds_read_what_was_rewritten(spark):
+    inner = "```base\nviews:\n  - type: list\n    filters:\n      and:\n        - kind == \"leaf\"\n    order: [title]\n```"
+    outer = inner.replace("leaf", "hub").replace("title", "inner")
+    import json
+    files = {"top.md": f"---\nkind: top\n---\n{outer}\n", "hub.md": f"---\nkind: hub\ninner: {json.dumps(inner)}\n---\n", "leaf.md": "---\nkind: leaf\ntitle: a leaf\n---\nplain\n"}
+    n = vault(spark, files)
+    text = lambda rounds: {r["path"]: r["rendered"] for r in update(n, rounds).collect()}
+    assert text(1)["top.md"].endswith(f"---\n - {inner}\n\n")
+    assert text(2)["top.md"].endswith("---\n -  - a leaf\n\n\n") and text(4) == text(2)
+    assert text(2)["leaf.md"] is None
+    first = materialize(update(n).withColumn("__new", F.col("rendered").isNotNull()), by="__new")
+    work = worklist(first)
+    files = sorted({f.split("__new=")[1][:5].rstrip("/") for f in work.inputFiles()})
+    scan = work._jdf.queryExecution().executedPlan().toString()
+    assert files == ["false", "true"] and "PartitionFilters: [isnotnull(__new" in scan and [r["path"] for r in work.collect()] == ["top.md"]
+
+
 def test_other_view_types(notes):
     assert views.render(notes, views.View("cards")).first()["text"] == "ERROR in type"
     with pytest.raises(ValueError, match="type"):
