@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+from ..sources.vault import list_files
 from .links import image_links
 from .search import search
 
@@ -45,33 +48,55 @@ def export_plan(notes: DataFrame, query: str = "", kind: str = "markdown") -> Da
     return found.select("path", write.alias("action"), F.col("path").alias("destination")).unionByName(images.join(found.select("path"), "path", "left_anti"))
 
 
+def carry_out(rows: list[tuple], vault: str, out: str) -> list[str]:
+    """What was done with each (path, action, destination, text, kept).
+
+    A file is written under a name of its own and then renamed to its place, so that it is whole or
+    absent at any time, and doing the work again, or twice at once, ends and reports alike.
+    """
+    done = []
+    for path, action, to, text, kept in rows:
+        target, source = os.path.join(out, to), os.path.join(vault, path)
+        if not os.path.realpath(target).startswith(os.path.realpath(out) + os.sep):
+            done.append("outside")
+        elif action != "write" and not os.path.exists(source):
+            done.append("missing")
+        elif action != "write" and kept:
+            done.append("kept")
+        else:
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            own = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}.part")
+            try:
+                if action == "write":
+                    with open(own, "w", encoding="utf-8") as f:
+                        f.write(text)
+                else:
+                    shutil.copyfile(source, own)
+                os.replace(own, target)
+            finally:
+                if os.path.exists(own):
+                    os.unlink(own)
+            done.append("written" if action == "write" else "copied")
+    return done
+
+
 def export(notes: DataFrame, vault: str, out: str, query: str = "", kind: str = "markdown", dry_run: bool = False) -> DataFrame:
-    """Carry the plan out between two folders that all tasks can reach; returns the plan with what was done."""
+    """Carry the plan out between two folders that all tasks can reach; returns the plan with what was done.
+
+    Files to be copied that were there before the export began are kept. The work is done once, before
+    this returns.
+    """
     plan = export_plan(notes, query, kind)
     if dry_run:
         return plan.withColumn("done", F.lit("dry run"))
-    texts = plan.join(notes.select("path", F.col("rendered").alias("text")), "path", "left").select("path", "action", "destination", "text")
+    # Listed before anything is written: a task that runs again must not find its own files.
+    there = list_files(notes.sparkSession, out).select(F.col("path").alias("destination"), F.lit(True).alias("kept"))
+    texts = plan.join(notes.select("path", F.col("rendered").alias("text")), "path", "left").join(there, "destination", "left")
+    asked = texts.select("path", "action", "destination", "text", F.coalesce("kept", F.lit(False)).alias("kept"))
 
     def act(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = []
-            for path, action, to, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                target, source = os.path.join(out, to), os.path.join(vault, path)
-                if not os.path.realpath(target).startswith(os.path.realpath(out) + os.sep):
-                    done.append("outside")
-                    continue
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                if action == "write":
-                    with open(target, "w", encoding="utf-8") as f:
-                        f.write(text)
-                    done.append("written")
-                elif not os.path.exists(source):
-                    done.append("missing")
-                elif os.path.exists(target):
-                    done.append("kept")
-                else:
-                    shutil.copyfile(source, target)
-                    done.append("copied")
+            done = carry_out(list(zip(*(c.to_pylist() for c in b.columns), strict=True)), vault, out)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(done, pa.string())], names=["path", "action", "destination", "done"])
 
-    return texts.mapInArrow(act, "path string, action string, destination string, done string")
+    return materialize(asked.mapInArrow(act, "path string, action string, destination string, done string"))

@@ -7,7 +7,8 @@ Below the store's folder:
   (structs with a field for each kind), the others JSON.
 * ``terms/write=W/slot=S``: which buckets of write W hold a tag or a link target, and in how many
   notes, ordered by term and with Bloom filters. However many notes share a tag, it has a row for each bucket.
-* ``version-N``: the manifest of version N: the write that holds each bucket, and the columns.
+* ``files-L``: the listing of a vault's files, if the store was brought to one.
+* ``version-N``: the manifest of version N: the write that holds each bucket, the columns, the listing.
 
 A change reads and writes the buckets that it touches, then names them in the next version by
 one rename of a folder, which fails if another writer was first; a writer that stops before that
@@ -31,7 +32,7 @@ from ..schema import PROPS, VALUE, as_list, is_kind
 from ..shared import discard, materialize, remove
 from .search import parse, predicate
 
-ROW = "id string, path string, created_at timestamp, updated_at timestamp, length long, modified timestamp"
+ROW = "id string, path string, created_at timestamp, updated_at timestamp, modified timestamp"
 TERMS = "kind string, term string, n long, write string, slot int, bucket int"
 #: Where the properties are that the index knows.
 INDEXED = {"tag": "tags", "link": "links"}
@@ -52,6 +53,8 @@ class Manifest:
     kinds: dict[str, list[str]] = field(default_factory=dict)
     #: Stream -> the last batch of it that is in the store.
     batches: dict[str, int] = field(default_factory=dict)
+    #: The folder with the listing of files that the notes were read from.
+    files: str | None = None
 
 
 def bucket_of(path: str, n_buckets: int) -> int:
@@ -121,7 +124,8 @@ class NoteStore:
         for kind in ("rows", "terms"):
             for name in set(self._names(f"{kind}/write=*")) - used:
                 remove(self.spark, f"{self.folder}/{kind}/{name}")
-        for name in self._names("next-*"):
+        files = {self.at(number).manifest().files for number in known[-max(1, keep) :]}
+        for name in {*self._names("next-*"), *self._names("files-*")} - files:
             remove(self.spark, f"{self.folder}/{name}")
 
     # --- rows
@@ -153,10 +157,10 @@ class NoteStore:
     def _rows(self, notes: DataFrame, state: Manifest) -> DataFrame:
         """Notes as rows, without promoted columns yet. Of repeated paths, the properties that come first as text stand."""
         now, n = F.current_timestamp(), state.n_buckets
-        extra = [F.col(c) if c in notes.columns else F.lit(None).cast(t).alias(c) for c, t in (("length", "long"), ("modified", "timestamp"))]
-        own = notes.where("path is not null").select("path", F.map_filter("props", lambda k, v: v["kind"].isNotNull()).cast(PROPS).alias("props"), *extra)
-        one = own.groupBy("path").agg(F.min(F.struct(F.to_json("props").alias("json"), "length", "modified")).alias("x"))
-        return one.select(F.md5(F.col("path").cast("binary")).alias("id"), "path", now.alias("created_at"), now.alias("updated_at"), "x.length", "x.modified", F.from_json("x.json", PROPS).alias("props"), _bucket(F.col("path"), n).alias("bucket"))
+        modified = F.col("modified") if "modified" in notes.columns else F.lit(None).cast("timestamp").alias("modified")
+        own = notes.where("path is not null").select("path", F.map_filter("props", lambda k, v: v["kind"].isNotNull()).cast(PROPS).alias("props"), modified)
+        one = own.groupBy("path").agg(F.min(F.struct(F.to_json("props").alias("json"), "modified")).alias("x"))
+        return one.select(F.md5(F.col("path").cast("binary")).alias("id"), "path", now.alias("created_at"), now.alias("updated_at"), "x.modified", F.from_json("x.json", PROPS).alias("props"), _bucket(F.col("path"), n).alias("bucket"))
 
     def _frequent(self, rows: DataFrame) -> list[str]:
         """The properties that enough rows have, the most frequent first; at most ``most_columns``."""
@@ -168,7 +172,7 @@ class NoteStore:
     def _shredded(rows: DataFrame, keys: list[str]) -> DataFrame:
         promoted = [F.col("props")[key].alias(f"p{i}") for i, key in enumerate(keys)]
         rest = F.map_filter("props", lambda k, v: ~k.isin(keys)) if keys else F.col("props")
-        return rows.select("id", "path", "created_at", "updated_at", "length", "modified", *promoted, F.to_json(rest).alias("rest"), "bucket")
+        return rows.select("id", "path", "created_at", "updated_at", "modified", *promoted, F.to_json(rest).alias("rest"), "bucket")
 
     def _put(self, state: Manifest, put: DataFrame, gone: DataFrame | None = None, touched: set[int] | None = None) -> None:
         """The next version: ``put`` replaces or adds rows by path, ``gone`` (path, bucket) removes some."""
@@ -233,17 +237,21 @@ class NoteStore:
         if unknown:
             raise KeyError("a note to update is not stored")
 
-    def apply(self, put: DataFrame, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> bool:
+    def apply(self, put: DataFrame, gone: DataFrame | None = None, batch: tuple[str, int] | None = None, listing: DataFrame | None = None) -> bool:
         """Insert or replace ``put``, remove the paths of ``gone``; in one version.
 
         A ``batch`` (stream, number) is applied once: its number goes into the version, and one that
-        is not above the last is passed over. Returns whether the changes were applied.
+        is not above the last is passed over. A ``listing`` (path, length, modified) becomes the
+        version's. Returns whether the changes were applied.
         """
         state = self.manifest()
         if batch:
             if state.batches.get(batch[0], -1) >= batch[1]:
                 return False
             state = replace(state, batches=state.batches | {batch[0]: batch[1]})
+        if listing is not None:
+            state = replace(state, files=f"files-{uuid.uuid4().hex}")
+            listing.select("path", "length", "modified").write.parquet(f"{self.folder}/{state.files}")
         rows = materialize(self._rows(put, state))
         left = None if gone is None else materialize(gone.select("path", _bucket(F.col("path"), state.n_buckets).alias("bucket")).where("path is not null").distinct().join(rows.select("path"), "path", "left_anti"))
         self._put(state, rows, left)
@@ -253,7 +261,7 @@ class NoteStore:
     def compact(self) -> None:
         """Write all buckets anew, with the columns that are frequent now."""
         state = self.manifest()
-        rows = materialize(self._read(state).select("id", "path", "created_at", "updated_at", "length", "modified", self._props(state).alias("props"), "bucket"))
+        rows = materialize(self._read(state).select("id", "path", "created_at", "updated_at", "modified", self._props(state).alias("props"), "bucket"))
         keys = self._frequent(rows)
         self._publish(replace(state, keys=keys, kinds={}), set(state.writes), self._shredded(rows, keys))
         discard(rows)
@@ -276,6 +284,15 @@ class NoteStore:
         bucket = [int(note_id[:7], 16) % state.n_buckets] if all(c in "0123456789abcdef" for c in note_id[:7].ljust(1, "x")) else []
         return self._stored(state, self._read(state, bucket).where(F.col("id") == note_id))
 
+    def listing(self) -> DataFrame:
+        """(path, length, modified) of the files that the store was last brought to."""
+        state, schema = self.manifest(), "path string, length long, modified timestamp"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{state.files}") if state.files else self.spark.createDataFrame([], schema)
+
+    def modified(self) -> DataFrame:
+        """(path, modified): when the file of each note was last changed, where that is known."""
+        return self._read(self.manifest()).select("path", "modified")
+
     def notes(self) -> DataFrame:
         """Stored notes in the note model."""
         state = self.manifest()

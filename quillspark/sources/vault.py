@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.frontmatter import BLOCK, front_matter_json
 from ..operators.links import with_links
+from ..operators.store import NoteStore
 from ..schema import PROPS, bag, string
+from ..shared import discard, materialize
 
 
 def notes_from_files(files: DataFrame, require_front_matter: bool = True) -> DataFrame:
@@ -40,28 +44,61 @@ def load_errors(files: DataFrame) -> DataFrame:
     return markdown.withColumn("matter", front_matter_json(F.col("raw"))).where("matter is null").select("path", why.alias("error"))
 
 
-def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, raw) of the files that Spark's sources pass over: those with a name, or below a
-    folder, that begins with a dot or an underscore.
+def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    return fs, root.rstrip("/")
+
+
+def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
+    """(path, length, modified) of every file below the folder, in any depth.
 
-    The driver lists the folder's names; tasks read the files.
+    Tasks list the folders level by level; what a level finds is written, and its folders are the next
+    one's work, so the driver holds no names however large the vault is. A missing folder is empty.
     """
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
-    root = root.rstrip("/")
-    names = [x.path[len(root) + 1 :] for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file]
-    hidden = [(x,) for x in names if any(part[:1] in (".", "_") for part in x.split("/"))]
+    fs, root = _file_system(folder)
+    schema = "path string, length long, modified timestamp, folder boolean"
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("folder", pa.bool_())])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
+                found = [x for x in fs.get_file_info(pafs.FileSelector(f"{root}/{path}".rstrip("/") or "/", allow_not_found=True)) if hidden or x.base_name[:1] not in (".", "_")]
+                rows = [(x.path[len(root) + 1 :], x.size if x.is_file else None, x.mtime, not x.is_file) for x in found]
+                for first in range(0, len(rows), 10_000):
+                    columns = zip(*rows[first : first + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        levels.append(materialize(folders.mapInArrow(look, schema), by="folder"))
+        folders = levels[-1].where("folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, [x.where("not folder").drop("folder") for x in levels])
+        folders = folders.repartition("path")
+
+
+def read_listed(files: DataFrame, folder: str) -> DataFrame:
+    """The listed files (column ``path``) with ``raw``, the text of those that are Markdown; tasks read them one at a time."""
+    fs, root = _file_system(folder)
+    names = files.columns
+    at = names.index("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, path in enumerate(b.column(at).to_pylist()):
                 raw = None
                 if path.lower().endswith(".md"):
                     with fs.open_input_stream(f"{root}/{path}") as f:
                         raw = f.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "raw": pa.array([raw], pa.string())})
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([raw], pa.string())], names=[*names, "raw"])
+
+    return files.repartition("path").mapInArrow(read, StructType([*files.schema.fields, StructField("raw", StringType())]))
+
 
-    listed = spark.createDataFrame(hidden, "path string").repartition(max(1, len(hidden) // 100))
-    return listed.mapInArrow(read, "path string, raw string")
+def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, raw) of the files that Spark's sources pass over: those with a name, or below a
+    folder, that begins with a dot or an underscore."""
+    return read_listed(list_files(spark, folder).where(F.col("path").rlike(r"(^|/)[._]")).select("path"), folder)
 
 
 def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
@@ -81,3 +118,26 @@ def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
 def read_vault(spark: SparkSession, folder: str, require_front_matter: bool = True) -> DataFrame:
     """All notes of a folder."""
     return notes_from_files(read_files(spark, folder), require_front_matter)
+
+
+def sync(store: NoteStore, folder: str, require_front_matter: bool = True) -> DataFrame:
+    """Bring a store up to a folder: (path, what) of the files that are ``new``, ``changed`` or ``gone``.
+
+    The listing that the store was brought to is kept with its version and compared with the folder's,
+    by length and time of modification. Only new and changed files are read and parsed; notes of files
+    that are gone, or that are notes no more, are removed. A renamed file is gone and new.
+    """
+    spark = store.spark
+    listed = materialize(list_files(spark, folder))
+    before = store.listing().select("path", F.struct("length", "modified").alias("was"))
+    same = F.struct("length", "modified").eqNullSafe(F.col("was"))
+    what = F.when(F.col("modified").isNull(), "gone").when(F.col("was").isNull(), "new").when(~same, "changed")
+    moved = materialize(listed.join(before, "path", "full").select("path", "modified", what.alias("what")).where("what is not null"))
+    if moved.isEmpty():
+        discard(listed)
+        return moved.select("path", "what")
+    texts = materialize(read_listed(moved.where("what <> 'gone'").select("path", "modified"), folder))
+    notes = materialize(notes_from_files(texts, require_front_matter).join(texts.select("path", "modified"), "path"))
+    store.apply(notes, moved.select("path").join(notes.select("path"), "path", "left_anti"), listing=listed)
+    discard(texts, notes, listed)
+    return moved.select("path", "what")
