@@ -29,6 +29,11 @@ def json_rows(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.concat(F.lit("{"), F.array_join(F.array_sort(fields), ","), F.lit("}")).alias("json"))
 
 
+def result_size(notes: DataFrame) -> DataFrame:
+    """One row: the number of results, counted without putting them together."""
+    return json_rows(notes).select("json").distinct().agg(F.count("*").alias("resultSize"))
+
+
 def json_result(notes: DataFrame) -> DataFrame:
     """One row: the number of results and all of them as a JSON text, for results that a client reads whole."""
     rows = json_rows(notes).select("json").distinct()

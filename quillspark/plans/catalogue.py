@@ -15,7 +15,7 @@ from ..schema import PROPS, as_list, bag, prop, string, strings
 from ..shared import materialize, shared_dir
 from ..sources.tables import NOTES_SQL, as_markdown, notes
 from ..sources.vault import notes_from_files
-from .pipeline import render_blocks, update
+from .pipeline import changes, render_blocks, update
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,6 +448,14 @@ def _refreshed(spark, sf_dir):
     return done.where(F.size(as_list("links")) > 0).select("path", F.array_join(as_list("links"), " ").alias("links"))
 
 
+@query("round_changes", f"""{_NAMES}, l AS (SELECT path, links[1] AS link, string_split(links[1], '/')[-1] AS base FROM notes WHERE links IS NOT NULL),
+r AS (SELECT l.path, link, a.path AS p1, coalesce(c.path, b.path) AS p2 FROM l LEFT JOIN dictionary a ON a.name = base LEFT JOIN dictionary b ON b.name = base LEFT JOIN dictionary c ON c.name = regexp_replace(base, '\\.md$', ''))
+SELECT path, array_to_string(list_filter([CASE WHEN p1 <> link THEN p1 END, CASE WHEN p2 <> link AND p2 IS DISTINCT FROM p1 THEN p2 END], lambda x: x IS NOT NULL), ' ') AS added, true AS rewritten FROM r WHERE p1 IS NOT NULL OR p2 IS NOT NULL""")
+def _changes(spark, sf_dir):
+    own = parsed(spark, sf_dir)
+    return changes(own, update(own)).select("path", F.array_join("added", " ").alias("added"), "rewritten")
+
+
 @query("event_property_json", None)
 def _events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -459,7 +467,7 @@ ORACLES["event_property_json"] = "SELECT CAST(json_extract_string(props, '$.k')
 
 @query("json_result_size", "SELECT count(*) AS result_size FROM notes WHERE list_contains(tags, 'PROMO')")
 def _json(spark, sf_dir):
-    return export.json_result(search(notes(spark, sf_dir), "tags=PROMO")).select(F.get_json_object("json", "$.resultSize").cast("long").alias("result_size"))
+    return export.result_size(search(notes(spark, sf_dir), "tags=PROMO")).select(F.col("resultSize").alias("result_size"))
 
 
 @query("json_result_text", """SELECT '{"resultSize":' || count(*) || ',"files":[' || string_agg(json, ',' ORDER BY json) || ']}' AS json FROM (SELECT '{' || array_to_string(list_sort(['"filePath":"' || path || '"', '"title":"' || title || '"', '"tags":["' || array_to_string(tags, '","') || '"]']), ',') || '}' AS json FROM notes WHERE list_contains(tags, 'region'))""")

@@ -159,6 +159,9 @@ def test_other_view_types(notes):
     assert views.render(notes, views.View("cards")).first()["text"] == "ERROR in type"
     with pytest.raises(ValueError, match="type"):
         views.from_base("views:\n  - name: x\n")
+    tests = {'a == "x"': 'hasPropertyValue(file, "a", "x")', '!a.containsAny("x")': 'not hasPropertyValue(file, "a", "x")', '!!a == "x"': '!a == "x"', 'a == ""': 'a == ""'}
+    for text, made in tests.items():
+        assert views._base_filter(text) == made
 
 
 def test_store(spark, tmp_path):
@@ -203,7 +206,7 @@ def test_json_and_export(spark, tmp_path):
     n = update(read_vault(spark, str(source)))
     assert sorted(r["path"] for r in n.collect()) == ["b.md", "sub/a.md", "sub/p.png"]
     json = export.json_result(n).first()
-    assert json["resultSize"] == 3 and '{"filePath":"b.md","n":1}' in json["json"] and '"q":"a\\"b"' in json["json"]
+    assert export.result_size(n).first()["resultSize"] == 3 == json["resultSize"] and '{"filePath":"b.md","n":1}' in json["json"] and '"q":"a\\"b"' in json["json"]
     plan = {r["path"]: r["done"] for r in export.export(n, str(source), str(out), "tags=t", dry_run=True).collect()}
     assert set(plan) == {"sub/a.md", "sub/p.png"} and not out.exists()
     done = {r["path"]: r["done"] for r in export.export(n, str(source), str(out), "tags=t").collect()}
