@@ -5,16 +5,17 @@ linear scan finds the contiguous region with the highest sum. The weights come f
 labelled pages: those that mark their content with one ``article`` or ``main`` element. A
 tag's weight is the log ratio of its rates inside and outside the content (at most
 ``-LEAST``), and a word's weight that of words (at least ``LEAST``). They are fitted on a
-bounded sample of labelled pages (``sample_pages``).
+bounded sample of labelled pages (``sample_pages``), of which all tags are kept; elements that
+are left out count as outside, so that they show what menus and footers are made of.
 
-Elements that are never content (scripts, menus, forms, footers, elements with a class, id or
+A contiguous region cannot leave out what stands inside it: elements that are never content (scripts, menus, forms, footers, elements with a class, id or
 role like sidebar, advert, notice or comments) score nothing, neither words nor tags, and are
 left out of the region's text. A region that meets an ``article`` element (without one, a
 ``main`` element) is extended to all of it, so that lists of short items do not cut it.
 
 Contract: null or empty html gives an empty text; a page without words gives an empty text;
 repeated rows are extracted each; of regions with equal scores the first stands; pages of any
-length are scanned whole; other columns are carried along, and one named like the result is
+length are scanned whole, in linear time, with open tags and quotes that nothing closes, too; other columns are carried along, and one named like the result is
 refused; an empty table gives no rows. Character references are decoded within each run of text,
 white space within a block becomes one space, and blocks are joined by an empty line.
 """
@@ -35,7 +36,12 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 from .sampling import bounded
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
+#: What a page begins with, but for tags: comments, elements whose content is raw, declarations (the page's end closes each).
+RAW = r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+#: A tag with values in quotes, which may hold ``>``. Its attributes are read once and never again (``*+``).
+TOKEN = re.compile(rf"{RAW}|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+)>|[^<]+|<", re.S | re.I)
+#: The same without quotes: a tag ends at the first ``>``, else with the page.
+LOOSE = re.compile(rf"{RAW}|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -55,6 +61,8 @@ CONTENT = frozenset("post article story entry content main body text".split())
 WEAK = frozenset("related share sharing social recommended trending promo promotion sponsored widget subscribe subscription newsletter notice notices alert banner reply replies discussion search side form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST = 0.05
+#: Added to a token's rates, so that a tag never met inside costs some words, not whole paragraphs.
+PRIOR = 0.01
 SPACE = re.compile(r"\s+")
 
 
@@ -108,22 +116,40 @@ def named(element: str, attributes: str) -> tuple[set[str], bool, bool]:
     return words, never, header
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page cut into comments, raw elements, declarations, tags and runs of text.
+
+    Where no ``>`` outside quotes ends a tag, a quote was never closed: from there on quotes
+    mean nothing. That happens once for a page at most, so its time is linear in its length.
+    """
+    pattern, at = TOKEN, 0
+    while at < len(page):
+        m = pattern.match(page, at)
+        if pattern is TOKEN and m[0] == "<" and re.match(r"/?[a-zA-Z]", page[at + 1 : at + 3]):
+            pattern = LOOSE
+            continue
+        yield m
+        at = m.end()
+
+
 def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """The page as (kind, value, left out, in marked content): kind is ``text``, ``tag`` or ``break``.
 
     A ``break`` is a block's border; a tag's value is its name with its class words.
     """
     stack: list[Node] = []
+    opened: Counter = Counter()  # open elements by name
     never = content = 0
 
     def pop() -> str:
         nonlocal never, content
         node = stack.pop()
+        opened[node.name] -= 1
         never -= node.never
         content -= node.content
         return node.name
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         token = m[0]
         if m[1]:
             yield "tag", m[1].lower(), True, content > 0
@@ -132,7 +158,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             block = name in BLOCKS
             if m[2]:
                 yield "tag", "/" + name, never > 0, content > 0
-                if any(n.name == name for n in stack):
+                if opened[name]:
                     while pop() != name:
                         pass
                 if block:
@@ -155,6 +181,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     yield "text", " ", never > 0, content > 0
                 continue
             stack.append(Node(name, out, marked))
+            opened[name] += 1
             never += out
             content += marked
         elif token == "<" or token[0] != "<":  # else a comment, a declaration, or a tag that the page's end cuts off
@@ -219,21 +246,36 @@ def region(page: str, weights: Weights) -> str:
 
 
 def count_tokens(page: str) -> Counter | None:
-    """(tag or ``word``, inside content) counts of what a labelled page's scan scores; None for an unlabelled one."""
+    """Counts by (tag, or nothing for words, inside content) of a labelled page; None for an unlabelled one.
+
+    Elements that are left out are outside wherever they stand: they show what menus and forms are made
+    of. A tag with class words also counts for its bare name, which scores those with words not met.
+    """
     counts: Counter = Counter()
     if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
         return None
     for kind, value, never, inside in events(page):
-        if never:
-            continue
+        inside = inside and not never
         if kind == "tag" and not value.lstrip("/").startswith(("article", "main")):
             counts[value, inside] += 1
+            if "." in value:
+                counts[value.partition(".")[0], inside] += 1
         elif kind == "text":
             counts["", inside] += len(value.split())
     return counts
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 2_000, max_tags: int = 2_000) -> Weights:
+def learned(found: dict[str, tuple[int, int]]) -> Weights:
+    """Weights of (inside, outside) counts: log ratios of a token's rates, words at least ``LEAST``, tags at most ``-LEAST``."""
+    inside, outside = (sum(v[k] for t, v in found.items() if "." not in t) for k in (0, 1))
+    if not inside or not outside:
+        return Weights()
+    ratio = {t: math.log((i / inside + PRIOR) / (o / outside + PRIOR)) for t, (i, o) in found.items()}
+    word = max(LEAST, ratio.pop("", LEAST))
+    return Weights(word, {t: min(-LEAST, r) for t, r in ratio.items()}, -1.0)
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 2_000) -> Weights:
     """Learn the weights from at most about ``sample_pages`` pages; defaults where none is labelled."""
     rows = bounded(pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html is not null"), sample_pages, "id")
 
@@ -245,13 +287,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], names=["token", "inside", "n"])
 
     counted = in_arrow(rows, count, "token string, inside boolean, n long").groupBy("token").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
-    found = {r["token"]: (r["i"], r["o"]) for r in counted.orderBy(F.desc(F.col("i") + F.col("o")), "token").limit(max_tags).collect()}
-    inside, outside = (sum(v[k] for v in found.values()) for k in (0, 1))
-    if not inside or not outside:
-        return Weights()
-    ratio = {t: math.log((i / inside + 1e-3) / (o / outside + 1e-3)) for t, (i, o) in found.items()}
-    word = max(LEAST, ratio.pop("", LEAST))
-    return Weights(word, {t: min(-LEAST, r) for t, r in ratio.items()}, -1.0)
+    return learned({r["token"]: (r["i"], r["o"]) for r in counted.collect()})
 
 
 def extract(pages: DataFrame, weights: Weights, html_col: str = "html", name: str = "text") -> DataFrame:
