@@ -13,21 +13,34 @@ values of other kinds fails: a filter that fails is false, a cell that fails is
 
 Forms: literals, parentheses, ``or and not``, ``< <= > >= == ~=``, ``..``, ``+ - * / % ^``,
 ``#``, ``hasProperty``, ``hasPropertyValue``, ``getPropertyValue``, ``file:get``, ``toFixed``,
-``string.format`` (``%d %i %s %f %%``), ``string.lower``, ``string.upper``, ``string.len``,
-``tostring``, ``tonumber``, ``math.floor``, ``math.ceil``, ``math.abs``, calls of the view's
-formulas, and ``listJoined(file, name, before, after, separator)``.
+``string.format`` (``%d %i %s %f %%``), ``string.lower upper len rep reverse sub find match gsub``
+(also as ``text:upper()``), ``tostring``, ``tonumber``, ``math.floor ceil abs sqrt max min fmod pow``,
+``math.pi``, ``math.huge``, ``table.concat``, ``list[i]``, ``list:toArray()``, ``list:size()``,
+``list:contains(x)``, tables of texts (``{"a", "b"}``), calls of the view's formulas,
+``(function() ... end)()`` and ``listJoined(file, name, before, after, separator)``.
+``find``, ``match`` and ``gsub`` give their first value only, and count characters; see ``patterns``.
+
+Bodies of formulas and functions: ``local x = e``, ``x = e``, ``if elseif else end``, ``return e``,
+``table.insert(t, e)``, ``t[#t + 1] = e``, and loops ``for i = 1, #list do`` and
+``for i, x in ipairs(list) do`` (lists of properties, too), which do not stand in one another and do not
+return. A local in a loop keeps its kind, text, number, boolean or table. Locals are put in place where
+they are used, a branch becomes a conditional column, and a loop a ``transform`` of the list, or an
+``aggregate`` if a turn needs what earlier ones left. What fails before a ``return`` fails the function.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import is_kind, number_text
+from .patterns import UnsupportedPattern, replacement, translated
 
 
 class UnsupportedExpression(ValueError):
@@ -35,20 +48,20 @@ class UnsupportedExpression(ValueError):
 
 
 STRING = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'"
-TOKEN = re.compile(rf"\s*(?:(?P<string>{STRING})|(?P<number>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)|(?P<sign>\.\.|==|~=|<=|>=|[-+*/%^#<>(),:]))", re.S)
+GAP = re.compile(r"(?:\s|--[^\n]*)*")
+TOKEN = re.compile(rf"(?:(?P<string>{STRING})|(?P<number>\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)|(?P<sign>\.\.|==|~=|<=|>=|[-+*/%^#<>(),:;={{}}\[\]]))", re.S)
 DIRECTIVE = re.compile(r"%(?:%|(\d*(?:\.\d+)?)([a-zA-Z]))")
 NUMERIC = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 # Escapes in quoted texts.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
-#: The idiom that joins a list's elements with a text before and after each.
-JOINED = re.compile(
-    rf"""table\.concat\(\s*\(\s*function\(\)\s*local\s+(?P<out>\w+)\s*=\s*\{{\s*\}};?\s*local\s+(?P<all>\w+)\s*=\s*\(\s*getPropertyValue\(\s*file\s*,\s*(?P<key>{STRING})\s*(?:,\s*(?:{STRING})\s*)?\)\s*or\s*\{{\s*\}}\s*\)\s*:\s*toArray\(\);?
-    \s*for\s+(?P<i>\w+)\s*=\s*1\s*,\s*\#(?P=all)\s+do\s+local\s+(?P<one>\w+)\s*=\s*(?P=all)\[(?P=i)\];?\s*table\.insert\(\s*(?P=out)\s*,\s*(?P<item>(?:{STRING}|[\w\s.])+?)\s*\);?\s*end;?\s*return\s+(?P=out);?\s*end\s*\)\(\)\s*,\s*(?P<between>{STRING})\s*\)""".replace("\n", ""),
-    re.S | re.X,
-)
-KEYWORDS = frozenset(("and", "or", "not", "true", "false", "nil"))
+# The language's key words.
+KEYWORDS = frozenset("and break do else elseif end false for function goto if in local nil not or repeat return then true until while".split())
 #: Levels, tokens, and parts of the compiled columns that an expression may have.
 MAX_DEPTH, MAX_STEPS, MAX_SIZE = 60, 600, 4000
+#: The longest text that ``string.rep`` makes.
+MAX_REPEATED = 10_000
+#: A function's result while it has not returned.
+RUNNING = "running"
 
 
 def nothing(kind: str) -> Column:
@@ -64,9 +77,10 @@ def unquoted(text: str) -> str:
 class Value:
     """A compiled value.
 
-    ``kind`` is nil, bool, number, string, list or any. But for any, ``column`` holds the value
+    ``kind`` is nil, bool, number, string, list, table (made by the text itself) or any. But for any, ``column`` holds the value
     and is null where computing it failed; of a ``sure`` boolean it is never null. Any has its
-    columns in ``fields``, of which ``kind`` is null for nil and ``failed`` where computing it did.
+    columns in ``fields``, of which ``kind`` is null for nil and ``failed`` where computing it did;
+    ``test`` is its truth where that is shorter than what follows from them.
     """
 
     kind: str
@@ -75,6 +89,7 @@ class Value:
     constant: object = None
     sure: bool = False
     size: int = 1
+    test: Column | None = None
 
 
 def grown(*values: Value, times: int = 1) -> int:
@@ -86,7 +101,8 @@ def grown(*values: Value, times: int = 1) -> int:
 
 
 FIELDS = {"kind": "string", "str": "string", "num": "double", "bool": "boolean", "list": "array<string>", "json": "string"}
-OF = {"bool": "bool", "number": "num", "string": "str", "list": "list"}
+OF = {"bool": "bool", "number": "num", "string": "str", "list": "list", "table": "list"}
+KINDS = {kind: FIELDS[name] for kind, name in OF.items()}
 NIL = Value("nil")
 
 
@@ -120,8 +136,31 @@ def is_nil(v: Value) -> Column:
     return F.lit(v.kind == "nil") if v.kind != "any" else v.fields["kind"].isNull()
 
 
+def failed(v: Value) -> Column | None:
+    """Whether computing the value failed; None where it cannot."""
+    if v.kind == "nil" or v.sure or v.constant is not None:
+        return None
+    return F.coalesce(v.fields["kind"] == "failed", F.lit(False)) if v.kind == "any" else v.column.isNull()
+
+
+def chosen(tests: list[Value], values: list[Value]) -> Value:
+    """The value beside the first test that holds, else the last; failed where a test before failed."""
+    if len({v.kind for v in values}) == 1 and values[0].kind not in ("any", "nil"):
+        column = values[-1].column
+        for t, v in zip(reversed(tests), reversed(values[:-1]), strict=True):
+            column = F.when(truth(t), v.column).otherwise(column) if t.sure else F.when(truth(t).isNull(), nothing(KINDS[v.kind])).when(truth(t), v.column).otherwise(column)
+        return Value(values[0].kind, column, size=grown(*tests, *values))
+    fields = fields_of(values[-1])
+    for t, v in zip(reversed(tests), reversed(values[:-1]), strict=True):
+        own = fields_of(v)
+        fields = {name: F.when(truth(t).isNull(), F.lit("failed") if name == "kind" else nothing(kind)).when(truth(t), own[name]).otherwise(fields[name]) for name, kind in FIELDS.items()}
+    return Value("any", fields=fields, size=grown(*tests, *values, times=2))
+
+
 def truth(v: Value) -> Column:
     """Whether the value counts as true; null where it failed."""
+    if v.test is not None:
+        return v.test
     if v.kind == "nil":
         return F.lit(False)
     if v.kind == "bool":
@@ -142,11 +181,12 @@ def chain(values: list[Value], stop: bool) -> Value:
         for t in reversed(tests):
             column = F.when(t.isNull(), nothing("boolean")).when(t == F.lit(stop), F.lit(stop)).otherwise(column)
         return Value("bool", column, size=grown(*values, times=2))
-    fields = fields_of(last)
+    fields, test = fields_of(last), truth(last)
     for v, t in zip(reversed(values[:-1]), reversed(tests), strict=True):
         own = fields_of(v)
+        test = F.when(t.isNull(), nothing("boolean")).when(t == F.lit(stop), F.lit(stop)).otherwise(test)
         fields = {name: F.when(t.isNull(), F.lit("failed") if name == "kind" else nothing(kind)).when(t == F.lit(stop), own[name]).otherwise(fields[name]) for name, kind in FIELDS.items()}
-    return Value("any", fields=fields, size=grown(*values, times=5))
+    return Value("any", fields=fields, size=grown(*values, times=5), test=test)
 
 
 def default(v: Value, other: Value) -> Value:
@@ -194,10 +234,12 @@ def text(v: Value) -> Column:
         return v.column.cast("string")
     if v.kind == "list":
         return listed(v.column)
+    if v.kind == "table":
+        return nothing("string")
     f = v.fields
     return (
         F.when(f["kind"].isNull(), "nil").when(f["kind"] == "string", f["str"]).when(f["kind"] == "number", shown(f["num"]))
-        .when(f["kind"] == "bool", f["bool"].cast("string")).when(f["kind"] == "list", listed(f["list"])).when(f["kind"] == "failed", nothing("string")).otherwise(f["json"])
+        .when(f["kind"] == "bool", f["bool"].cast("string")).when(f["kind"] == "list", listed(f["list"])).when(f["kind"].isin("failed", "table"), nothing("string")).otherwise(f["json"])
     )
 
 
@@ -255,6 +297,96 @@ ARITHMETIC = {
 }
 
 
+def items(v: Value, *kinds: str) -> Column:
+    """The elements of a list or table; null for other kinds."""
+    if v.kind == "any":
+        return F.when(v.fields["kind"].isin(*kinds), v.fields["list"])
+    return v.column if v.kind in kinds else nothing("array<string>")
+
+
+def element(v: Value, at: Value) -> Value:
+    """The element at a position from 1; nil beyond the ends."""
+    listed, position = items(v, "list", "table"), number(at)
+    found = F.get(listed, position.cast("int") - 1)
+    whole = F.coalesce(position == F.floor(position), F.lit(True))
+    fields = fields_of(NIL) | {"kind": F.when(listed.isNull() | position.isNull(), "failed").when(whole & found.isNotNull(), "string"), "str": F.when(whole, found)}
+    return Value("any", fields=fields, size=grown(v, at, times=2))
+
+
+def optional(kind: str, column: Column, broken: Column, size: int) -> Value:
+    """A value that is nil where the column is null, and failed where ``broken`` holds."""
+    fields = fields_of(NIL) | {"kind": F.when(broken, "failed").when(column.isNotNull(), kind), OF[kind]: column}
+    return Value("any", fields=fields, size=size, test=F.when(~broken, column.isNotNull()))
+
+
+@dataclass
+class Frame:
+    """Where a function's statements stand: its locals, what it has returned, and where it has failed.
+
+    ``result`` is None while no path has returned; later its kind is ``RUNNING`` on those paths that
+    have not. ``ended`` means that all paths have returned, ``broken`` holds where a statement failed
+    before its path returned. ``hidden`` are the outer locals that a block's own ones stand for.
+    """
+
+    values: dict[str, Value]
+    loop: tuple | None = None
+    used: set[str] = field(default_factory=set)
+    result: Value | None = None
+    ended: bool = False
+    broken: Column | None = None
+    size: int = 0
+    hidden: dict[str, Value] = field(default_factory=dict)
+    declared: set[str] = field(default_factory=set)
+
+    def following(self, v: Value) -> Value:
+        """The result if ``v`` is that of what comes next."""
+        if self.result is None:
+            return v
+        on, own, late = self.running(), fields_of(self.result), fields_of(v)
+        return Value("any", fields={name: F.when(on, late[name]).otherwise(own[name]) for name in FIELDS}, size=grown(self.result, v))
+
+    def running(self) -> Column:
+        return fields_of(self.result)["kind"].eqNullSafe(F.lit(RUNNING))
+
+    def fails(self, test: Column | None, size: int) -> None:
+        """The function fails where the test holds."""
+        if test is not None:
+            late = test if self.result is None else self.running() & test
+            self.broken = late if self.broken is None else self.broken | late
+            self.size = grown(Value("bool", size=self.size + size))
+
+    def value(self) -> Value:
+        """The function's value."""
+        v = self.result if self.ended else self.following(NIL)
+        if self.broken is None:
+            return v
+        size = grown(v, Value("bool", size=self.size))
+        if v.kind in ("any", "nil"):
+            own = fields_of(v)
+            return Value("any", fields=own | {"kind": F.when(self.broken, "failed").otherwise(own["kind"])}, size=size)
+        return Value(v.kind, F.when(~self.broken, v.column), size=size)
+
+
+def extreme(of: Callable[..., Column]) -> Callable[..., Column]:
+    """The greatest or least of numbers; null where one is none."""
+    return lambda *x: x[0] if len(x) == 1 else F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in x]), of(*x))
+
+
+#: Functions of numbers: the least and most arguments, and the column that they make.
+MATHS = {
+    "math.floor": (1, 1, F.floor),
+    "math.ceil": (1, 1, F.ceil),
+    "math.abs": (1, 1, F.abs),
+    "math.sqrt": (1, 1, F.sqrt),
+    "math.max": (1, 20, extreme(F.greatest)),
+    "math.min": (1, 20, extreme(F.least)),
+    "math.fmod": (2, 2, lambda a, b: F.when(b == 0, F.when(a.isNotNull(), float("nan"))).otherwise(F.try_mod(a, b))),
+    "math.pow": (2, 2, F.pow),
+}
+#: Functions of texts: the least and most arguments, the text among them.
+TEXT_FUNCTIONS = {"len": (1, 1), "lower": (1, 1), "upper": (1, 1), "reverse": (1, 1), "rep": (2, 3), "sub": (2, 3), "find": (2, 4), "match": (2, 2), "gsub": (3, 3)}
+
+
 class Compiler:
     """Recursive descent over the tokens of one text, by ascending strength of the operators."""
 
@@ -264,9 +396,6 @@ class Compiler:
     def compile(self, source: str, depth: int = 0) -> Value:
         if not isinstance(source, str):
             raise UnsupportedExpression(f"not a text: {source!r}")
-        source = source.strip()
-        if m := JOINED.fullmatch(source):
-            return self.joined_idiom(m)
         reader = Reader(self, source, depth)
         value = reader.either()
         if reader.kind:
@@ -276,22 +405,23 @@ class Compiler:
     def formula(self, name: str, depth: int) -> Value:
         if depth > MAX_DEPTH:
             raise UnsupportedExpression("formulas refer to themselves")
-        body = re.sub(r"^\s*return\b", "", str(self.formulas[name])).strip().removesuffix(";")
-        return self.compile(body, depth + 1)
+        reader = Reader(self, str(self.formulas[name]), depth + 1)
+        if reader.kind != "name" or reader.text not in STATEMENTS:  # a bare expression
+            value = reader.either()
+            reader.take(";")
+        else:
+            value = reader.function({})
+        if reader.kind:
+            raise UnsupportedExpression(f"{reader.text!r} in {reader.source!r}")
+        return value
 
     def joined(self, key: str, before: str, after: str, between: str) -> Value:
         items = F.col(self.props)[key]["list"]
         made = F.array_join(F.transform(items, lambda x: F.concat(F.lit(before), x, F.lit(after))), between)
         return Value("string", made)
 
-    def joined_idiom(self, m: re.Match) -> Value:
-        parts = re.findall(rf"{STRING}|\.\.|\w+|\S", m["item"], re.S)
-        parts, signs = parts[::2], parts[1::2]
-        if set(signs) - {".."} or len(parts) != len(signs) + 1 or parts.count(m["one"]) != 1 or any(p != m["one"] and not re.fullmatch(STRING, p, re.S) for p in parts):
-            raise UnsupportedExpression(m["item"])
-        at = parts.index(m["one"])
-        before, after = ("".join(map(unquoted, x)) for x in (parts[:at], parts[at + 1 :]))
-        return self.joined(unquoted(m["key"]), before, after, unquoted(m["between"]))
+
+STATEMENTS = frozenset(("local", "if", "for", "return"))
 
 
 class Reader:
@@ -300,10 +430,12 @@ class Reader:
     def __init__(self, compiler: Compiler, source: str, depth: int):
         self.compiler, self.source, self.at, self.depth = compiler, source, 0, depth
         self.kind = self.text = ""
+        self.frame = Frame({})
         self.next()
 
     def next(self) -> None:
-        if not self.source[self.at :].strip():
+        self.at = GAP.match(self.source, self.at).end()
+        if self.at == len(self.source):
             self.kind = self.text = ""
             return
         m = TOKEN.match(self.source, self.at)
@@ -358,7 +490,8 @@ class Reader:
         values = [self.sums()]
         while self.take(".."):
             values.append(self.sums())
-        return Value("string", F.concat(*map(joinable, values)), size=grown(*values, times=5)) if len(values) > 1 else values[0]
+        size = sum(grown(v, times=1 if v.kind == "string" else 5) for v in values)
+        return Value("string", F.concat(*map(joinable, values)), size=grown(Value("string", size=size))) if len(values) > 1 else values[0]
 
     def sums(self) -> Value:
         left = self.products()
@@ -391,8 +524,8 @@ class Reader:
         elif self.take("#"):
             v = self.unary()
             f = fields_of(v)
-            size = F.when(f["kind"] == "string", F.length(f["str"])).when(f["kind"] == "list", F.size(f["list"]))
-            out = Value("number", size.cast("double"), size=grown(v, times=4))
+            size = F.when(f["kind"] == "string", F.length(f["str"])).when(f["kind"].isin("list", "table"), F.size(f["list"]))
+            out = Value("number", size.cast("double"), size=grown(v, times=4 if v.kind == "any" else 2))
         else:
             out = self.power()
         self.depth -= 1
@@ -406,6 +539,41 @@ class Reader:
         return base
 
     def single(self) -> Value:
+        value = self.primary()
+        while self.kind == "sign" and self.text in ("[", ":"):
+            if self.take("["):
+                at = self.either()
+                self.want("]")
+                turn = self.frame.loop
+                value = turn[2] if turn and value is turn[0] and at is turn[1] else element(value, at)
+                continue
+            self.next()
+            value = self.method(value, self.word())
+        return value
+
+    def method(self, v: Value, name: str) -> Value:
+        self.want("(")
+        if name in TEXT_FUNCTIONS:
+            return self.text_function(name, [v, *self.arguments(0, 4)])
+        if name in ("toArray", "size"):
+            self.arguments(0, 0)
+            listed = items(v, "list")
+            return Value("table", listed, size=grown(v)) if name == "toArray" else Value("number", F.when(listed.isNotNull(), F.size(listed)).cast("double"), size=grown(v, times=3))
+        if name == "contains":
+            (x,) = self.arguments(1, 1)
+            listed, sought = items(v, "list"), fields_of(x)["str"]
+            return Value("bool", F.when(listed.isNotNull(), F.coalesce(F.array_contains(listed, sought), F.lit(False))), size=grown(v, x, times=3))
+        raise UnsupportedExpression(f":{name} in {self.source!r}")
+
+    def word(self) -> str:
+        """A name that the text may choose."""
+        if self.kind != "name" or self.text in KEYWORDS or "." in self.text or self.text == "file":
+            raise UnsupportedExpression(f"a name expected in {self.source!r}")
+        text = self.text
+        self.next()
+        return text
+
+    def primary(self) -> Value:
         kind, token = self.kind, self.text
         if not kind:
             raise UnsupportedExpression(f"{self.source!r} ends early")
@@ -415,9 +583,23 @@ class Reader:
         if kind == "number":
             return constant(float(token))
         if token == "(":
+            if self.take("function"):
+                self.want("(")
+                self.want(")")
+                value = self.function(self.frame.values)
+                for sign in ("end", ")", "(", ")"):
+                    self.want(sign)
+                return value
             value = self.either()
             self.want(")")
             return value
+        if token == "{":
+            return self.table()
+        if token in ("math.pi", "math.huge"):
+            return constant(math.pi if token == "math.pi" else math.inf)
+        if kind == "name" and token in self.frame.values:
+            self.frame.used.add(token)
+            return self.frame.values[token]
         if token in ("true", "false"):
             return constant(token == "true")
         if token == "nil":
@@ -432,6 +614,204 @@ class Reader:
             return self.call(token)
         raise UnsupportedExpression(f"{token!r} in {self.source!r}")
 
+    def table(self) -> Value:
+        made = []
+        while not self.take("}"):
+            made.append(self.either())
+            if not self.take(",") and not self.take(";") and self.text != "}":
+                raise UnsupportedExpression(f"}} expected in {self.source!r}")
+        parts = [joinable(v) for v in made]
+        column = F.array(*parts) if parts else F.array().cast("array<string>")
+        for x in parts:
+            column = F.when(x.isNotNull(), column)
+        return Value("table", column, size=grown(*made, times=2), sure=not made)
+
+    def function(self, values: dict[str, Value]) -> Value:
+        """The value of the statements up to an ``end`` or the text's."""
+        outer, self.frame = self.frame, Frame(dict(values))
+        self.block()
+        frame, self.frame = self.frame, outer
+        return frame.value()
+
+    def block(self) -> None:
+        self.depth += 1
+        if self.depth > MAX_DEPTH:
+            raise UnsupportedExpression("too many levels")
+        while self.kind and self.text not in ("end", "else", "elseif"):
+            if self.frame.ended:
+                raise UnsupportedExpression(f"statements behind a return in {self.source!r}")
+            if self.take(";"):
+                continue
+            if self.take("return"):
+                if self.frame.loop:
+                    raise UnsupportedExpression("a return in a loop")
+                bare = not self.kind or self.kind != "string" and self.text in (";", "end", "else", "elseif")
+                self.frame.result, self.frame.ended = self.frame.following(NIL if bare else self.either()), True
+                self.take(";")
+            elif self.take("local"):
+                name = self.word()
+                v = self.either() if self.take("=") else NIL
+                if name in self.frame.values and name not in self.frame.declared:
+                    self.frame.hidden[name] = self.frame.values[name]
+                self.frame.declared.add(name)
+                self.assign(name, v)
+            elif self.take("if"):
+                self.branches()
+            elif self.take("for"):
+                self.loop()
+            elif self.take("table.insert"):
+                self.want("(")
+                name = self.word()
+                self.want(",")
+                self.insert(name, self.either())
+                self.want(")")
+            else:
+                self.change()
+        self.depth -= 1
+
+    def change(self) -> None:
+        """``x = e`` or ``t[#t + 1] = e``."""
+        name = self.word()
+        if name not in self.frame.values:
+            raise UnsupportedExpression(f"{name!r} is no local in {self.source!r}")
+        if self.take("["):
+            for sign in ("#", name, "+"):
+                self.want(sign)
+            if self.text != "1":
+                raise UnsupportedExpression(f"only an element behind the last is set: {self.source!r}")
+            self.next()
+            self.want("]")
+            self.want("=")
+            self.insert(name, self.either())
+        else:
+            self.want("=")
+            self.assign(name, self.either())
+
+    def assign(self, name: str, v: Value) -> None:
+        self.frame.fails(failed(v), v.size)
+        self.frame.values[name] = v
+
+    def insert(self, name: str, v: Value) -> None:
+        old = self.frame.values.get(name)
+        if old is None or old.kind != "table":
+            raise UnsupportedExpression(f"{name!r} is no table in {self.source!r}")
+        item = joinable(v)
+        self.frame.fails(item.isNull(), v.size)
+        self.frame.values[name] = Value("table", F.concat(old.column, F.array(item)), size=grown(old, v))
+
+    def branches(self) -> None:
+        outer, tests, frames = self.frame, [], []
+
+        def branch() -> None:
+            self.frame = Frame(dict(outer.values), outer.loop, outer.used)
+            self.block()
+            self.frame.values.update(self.frame.hidden)
+            frames.append(self.frame)
+            self.frame = outer
+
+        while True:
+            tests.append(self.either())
+            self.want("then")
+            branch()
+            if not self.take("elseif"):
+                break
+        if self.take("else"):
+            branch()
+        else:
+            frames.append(Frame(dict(outer.values)))
+        self.want("end")
+        if any(f.broken is not None for f in frames) or not all(t.sure for t in tests):
+            broken = [F.lit(False) if f.broken is None else f.broken for f in frames]
+            test = broken[-1]
+            for t, b in zip(reversed(tests), reversed(broken[:-1]), strict=True):
+                test = F.when(truth(t).isNull(), True).when(truth(t), b).otherwise(test)
+            outer.fails(test, grown(*tests) + sum(f.size for f in frames))
+        if any(f.result is not None for f in frames):
+            running = Value("any", fields=fields_of(NIL) | {"kind": F.lit(RUNNING)})
+            outer.result = outer.following(chosen(tests, [running if f.result is None else f.result for f in frames]))
+        outer.ended = all(f.ended for f in frames)
+        for name, old in outer.values.items():
+            after = [old if f.ended else f.values[name] for f in frames]
+            if any(v is not old for v in after):
+                outer.values[name] = chosen(tests, after)
+
+    def loop(self) -> None:
+        """``for i = 1, #list do`` or ``for i, x in ipairs(list) do``."""
+        outer = self.frame
+        if outer.loop:
+            raise UnsupportedExpression("a loop in a loop")
+        at, value = self.word(), None
+        if self.take("="):
+            if self.text != "1":
+                raise UnsupportedExpression("a loop must start at 1")
+            self.next()
+            self.want(",")
+            self.want("#")
+            over = self.single()
+        else:
+            self.want(",")
+            value = self.word()
+            for sign in ("in", "ipairs", "("):
+                self.want(sign)
+            over = self.either()
+            self.want(")")
+        self.want("do")
+        pairs = F.transform(items(over, "list", "table"), lambda x, i: F.struct(x.alias("x"), (i + 1).cast("double").alias("i")))
+        start, names = (self.at, self.kind, self.text), {at, value}
+
+        def turn(state: dict[str, Value], x: Column, i: Column) -> Frame:
+            """The body with these locals, for one element."""
+            self.at, self.kind, self.text = start
+            element_, index = Value("string", x), Value("number", i, sure=True)
+            own = {at: index} | ({value: element_} if value else {})
+            inner = self.frame = Frame(outer.values | state | own, (over, index, element_), outer.used)
+            self.block()
+            inner.values.update(inner.hidden)
+            self.frame = outer
+            return inner
+
+        outer.used = set()
+        first = turn({}, nothing("string"), nothing("double"))  # to see which locals change, and as what
+        read = outer.used
+        changed = [n for n, v in outer.values.items() if n not in names and first.values[n] is not v]
+        for n in changed:
+            if outer.values[n].kind != first.values[n].kind or first.values[n].kind not in KINDS or first.values[n].kind == "list":
+                raise UnsupportedExpression(f"{n!r} changes its kind in a loop")
+        size = grown(over, Value("bool", size=first.size), *[first.values[n] for n in changed])
+        empty = F.array().cast("array<string>")
+
+        def fine(f: Frame) -> Column:
+            return F.lit(True) if f.broken is None else ~f.broken
+
+        def apart(n: str) -> Column:
+            """What each turn adds to a table, in order; null where a turn fails."""
+
+            def added(pair: Column) -> Column:
+                inner = turn({c: Value("table", empty, sure=True) for c in changed}, pair["x"], pair["i"])
+                return inner.values[n].column if inner.broken is None else F.when(fine(inner), inner.values[n].column)
+
+            return F.concat(outer.values[n].column, F.flatten(F.transform(pairs, added)))
+
+        def after(state: Column, pair: Column) -> Column:
+            inner = turn({n: Value(outer.values[n].kind, state[n]) for n in changed}, pair["x"], pair["i"])
+            return F.struct((state["fine"] & fine(inner)).alias("fine"), *[inner.values[n].column.alias(n) for n in changed])
+
+        if changed and all(outer.values[n].kind == "table" and n not in read for n in changed):
+            made = {n: apart(n) for n in changed}
+            broken = reduce(lambda a, b: a | b, [c.isNull() for c in made.values()])
+        elif changed:
+            begin = F.struct(F.lit(True).alias("fine"), *[outer.values[n].column.cast(KINDS[outer.values[n].kind]).alias(n) for n in changed])
+            end = F.aggregate(pairs, begin, after)
+            made = {n: end[n] for n in changed}
+            broken = ~F.coalesce(end["fine"], F.lit(False))
+        else:
+            made = {}
+            broken = ~F.coalesce(F.forall(pairs, lambda pair: fine(turn({}, pair["x"], pair["i"]))), F.lit(False))
+        self.want("end")
+        outer.fails(broken, size)
+        for n, column in made.items():
+            outer.values[n] = Value(outer.values[n].kind, column, size=size)
+
     def key(self) -> str:
         if self.kind != "string":
             raise UnsupportedExpression(f"a quoted name expected in {self.source!r}")
@@ -490,16 +870,57 @@ class Reader:
             x = number(v)
             fields = fields_of(NIL) | {"kind": F.when(x.isNotNull(), "number"), "num": x}
             return Value("any", fields=fields, size=grown(v, times=2))
-        elif name in ("math.floor", "math.ceil", "math.abs"):
-            (v,) = self.arguments(1, 1)
-            x = number(v)
-            return Value("number", {"math.floor": F.floor, "math.ceil": F.ceil, "math.abs": F.abs}[name](x).cast("double"), size=grown(v))
-        elif name in ("string.lower", "string.upper", "string.len"):
-            (v,) = self.arguments(1, 1)
-            x, size = joinable(v), grown(v, times=5)
-            return Value("number", F.length(x).cast("double"), size=size) if name == "string.len" else Value("string", F.lower(x) if name == "string.lower" else F.upper(x), size=size)
+        elif name in MATHS:
+            least, most, of = MATHS[name]
+            given = self.arguments(least, most)
+            return Value("number", of(*map(number, given)).cast("double"), size=grown(*given, times=2 + len(given)))
+        elif name == "table.concat":
+            given = self.arguments(1, 2)
+            listed, between = items(given[0], "table"), joinable(given[1]) if given[1:] else F.lit("")
+            return Value("string", F.call_function("array_join", listed, between), size=grown(*given, times=3))
+        elif name.startswith("string.") and name[7:] in TEXT_FUNCTIONS:
+            return self.text_function(name[7:], self.arguments(1, 5))
         raise UnsupportedExpression(f"{name} in {self.source!r}")
 
+    def text_function(self, name: str, given: list[Value]) -> Value:
+        least, most = TEXT_FUNCTIONS[name]
+        if not least <= len(given) <= most:
+            raise UnsupportedExpression(f"{len(given)} arguments of {name} in {self.source!r}")
+        s, rest, size = joinable(given[0]), given[1:], grown(*given, times=3)
+        if name == "len":
+            return Value("number", F.length(s).cast("double"), size=size)
+        if name in ("lower", "upper", "reverse"):
+            return Value("string", {"lower": F.lower, "upper": F.upper, "reverse": F.reverse}[name](s), size=size)
+        if name == "rep":
+            times = F.greatest(number(rest[0]).try_cast("int"), F.lit(0))
+            between = joinable(rest[1]) if rest[1:] else F.lit("")
+            made = F.call_function("array_join", F.array_repeat(s, times), between)
+            return Value("string", F.when(times * (F.length(s) + F.length(between)) <= MAX_REPEATED, F.when(s.isNotNull(), made)), size=size)
+        if name == "sub":
+            length, low, high = F.length(s), *[number(v).try_cast("int") for v in (rest + [constant(-1.0)])[:2]]
+            low = F.when(low < 0, F.greatest(length + low + 1, F.lit(1))).otherwise(F.greatest(low, F.lit(1)))
+            high = F.when(high < 0, length + high + 1).otherwise(F.least(high, length))
+            return Value("string", F.when(high >= low, F.substring(s, low, high - low + 1)).when(low.isNotNull() & high.isNotNull() & s.isNotNull(), ""), size=size)
+        if name == "find" and len(rest) == 3:
+            if rest[1].constant != 1.0 or rest[2].constant is not True:
+                raise UnsupportedExpression("a search must begin at 1")
+            sought = joinable(rest[0])
+            return optional("number", F.nullif(F.position(sought, s), F.lit(0)).cast("double"), s.isNull() | sought.isNull(), size)
+        if not isinstance(rest[0].constant, str) or len(rest) > 1 + (name == "gsub"):
+            raise UnsupportedExpression("a pattern must be a quoted text")
+        try:
+            if name == "find":
+                regex = rf"\A([\s\S]*?)(?:{translated(rest[0].constant, before=1)[0]})"  # what stands before the match
+                return optional("number", F.when(s.rlike(regex), F.length(F.regexp_extract(s, regex, 1)) + 1).cast("double"), s.isNull(), size)
+            regex, captures = translated(rest[0].constant)
+            if name == "match":
+                return optional("string", F.when(s.rlike(regex), F.regexp_extract(s, regex, min(captures, 1))), s.isNull(), size)
+            if not isinstance(rest[1].constant, str):
+                raise UnsupportedExpression("a replacement must be a quoted text")
+            return Value("string", F.regexp_replace(s, F.lit(regex), F.lit(replacement(rest[1].constant, captures))), size=size)
+        except UnsupportedPattern as e:
+            raise UnsupportedExpression(f"pattern {e}") from e
+
     def format(self, arguments: list[Value]) -> Value:
         """A pattern's directives in order; widths and precisions have no effect."""
         pattern, values = arguments[0].constant, arguments[1:]
@@ -536,4 +957,7 @@ def condition(source: str, formulas: dict[str, str] | None = None) -> Column:
 
 def cell(source: str, formulas: dict[str, str] | None = None) -> Column:
     """A cell as text; empty where it failed."""
-    return F.coalesce(text(Compiler(formulas).compile(source)), F.lit(""))
+    v = Compiler(formulas).compile(source)
+    if v.kind == "table":
+        raise UnsupportedExpression(f"a table is no text: {source!r}")
+    return F.coalesce(text(v), F.lit(""))

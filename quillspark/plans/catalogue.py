@@ -366,6 +366,42 @@ def _cells(spark, sf_dir):
     return views.cells(notes(spark, sf_dir), view).drop("pos")
 
 
+#: formula name -> (body, SQL of its text over the notes)
+FORMULAS = {
+    "class": ('local n = getPropertyValue(file, "size", 0) if n > 40 then return "large" elseif n > 10 then return "middle" end return "small " .. n', "CASE WHEN size > 40 THEN 'large' WHEN size > 10 THEN 'middle' ELSE 'small ' || CAST(size AS VARCHAR) END"),
+    "linked": ('return table.concat((function() local t = {}; local all = (getPropertyValue(file, "tags") or {}):toArray(); for i=1, #all do local v = all[i]; table.insert(t, "[" .. v .. "](/tags/" .. v .. ")") end; return t end)(), ", ")', "array_to_string(list_transform(tags, lambda x: '[' || x || '](/tags/' || x || ')'), ', ')"),
+    "chosen": ('local t = {} for i, x in ipairs(file:get("tags")) do if string.find(x, "^%u") and i > 1 then t[#t + 1] = x:lower() end end return #t .. ":" .. table.concat(t, "|")', "CAST(len(list_filter(tags[2:], lambda x: regexp_matches(x, '^[A-Z]'))) AS VARCHAR) || ':' || array_to_string(list_transform(list_filter(tags[2:], lambda x: regexp_matches(x, '^[A-Z]')), lambda x: lower(x)), '|')"),
+    "numbered": ('local s = "" local n = 0 for i, x in ipairs(file:get("tags")) do n = n + #x s = s .. i .. x:sub(1, 1) end return s .. n', "array_to_string(list_transform(range(1, len(tags) + 1), lambda i: CAST(i AS VARCHAR) || tags[i][1:1]), '') || CAST(list_sum(list_transform(tags, lambda x: length(x))) AS VARCHAR)"),
+    "failing": ('local a = 0 for i, x in ipairs(file:get("tags")) do if i == 3 and string.sub(x, -1) == "5" then a = a + x end end return "kept"', "CASE WHEN ends_with(tags[3], '5') THEN '' ELSE 'kept' END"),
+}
+
+
+@query("formula_bodies", f"SELECT path, row_number() OVER (ORDER BY path) AS pos, {', '.join(f'{sql} AS c{i}' for i, (_, sql) in enumerate(FORMULAS.values()))} FROM notes WHERE size IS NOT NULL")
+def _bodies(spark, sf_dir):
+    names = {f"f_{name}": body for name, (body, _) in FORMULAS.items()}
+    view = _view({"and": ['hasProperty(file, "size")']}, [(f"{name}(file)", "") for name in names], formulas=names)
+    return views.cells(notes(spark, sf_dir), view)
+
+
+#: (cell, its SQL over the notes)
+TEXTS = (
+    ('string.match(getPropertyValue(file, "title", ""), "^%a+")', "coalesce(nullif(regexp_extract(title, '^[A-Za-z]+'), ''), 'nil')"),
+    ('string.gsub(file:get("filePath"), "(%w+)/(%w+)%.md", "%2 of %1")', "regexp_replace(path, '([0-9A-Za-z]+)/([0-9A-Za-z]+)\\.md', '\\2 of \\1', 'g')"),
+    ('string.find(file:get("title"), " ", 1, true)', "coalesce(CAST(nullif(instr(title, ' '), 0) AS VARCHAR), 'nil')"),
+    ('string.find(file:get("title"), "[aeiou]%l")', "CASE WHEN regexp_matches(title, '[aeiou][a-z]') THEN CAST(length(regexp_extract(title, '^((?s:.*?))[aeiou][a-z]', 1)) + 1 AS VARCHAR) ELSE 'nil' END"),
+    ('string.sub(file:get("title"), -4, -2)', "CASE WHEN length(title) >= 4 THEN title[length(title) - 3:length(title) - 1] ELSE title[1:length(title) - 1] END"),
+    ('string.rep(string.sub(file:get("keytext"), 1, 1), 3, "-")', "concat_ws('-', keytext[1:1], keytext[1:1], keytext[1:1])"),
+    ('file:get("title"):upper():reverse()', "reverse(upper(title))"),
+    ('math.max(file:get("size"), 25) - math.min(file:get("size"), 25)', "CAST(abs(size - 25) AS VARCHAR)"),
+)
+
+
+@query("expression_text_functions", f"SELECT path, row_number() OVER (ORDER BY path) AS pos, {', '.join(f'{sql} AS c{i}' for i, (_, sql) in enumerate(TEXTS))} FROM notes WHERE size IS NOT NULL AND title IS NOT NULL")
+def _text_functions(spark, sf_dir):
+    view = _view({"and": ['hasProperty(file, "size")', 'hasProperty(file, "title")']}, [(t, "") for t, _ in TEXTS])
+    return views.cells(notes(spark, sf_dir), view)
+
+
 def store(spark: SparkSession, sf_dir: str) -> NoteStore:
     """A store of the parts and nations; a nation's title is changed after it was saved."""
     made = NoteStore(spark, shared_dir(spark))

@@ -10,7 +10,7 @@ def plain(rows):
     return sorted(repr(tuple(r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["search_tag_and_path", "search_absence_quirk_bool", "graph_neighbourhood", "wikilink_rewrite", "view_formula", "base_convert_and_run", "json_rows"])
+@pytest.mark.parametrize("name", ["search_tag_and_path", "search_absence_quirk_bool", "graph_neighbourhood", "wikilink_rewrite", "view_formula", "formula_bodies", "expression_text_functions", "base_convert_and_run", "json_rows"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "events"):
