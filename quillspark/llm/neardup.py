@@ -440,7 +440,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 def classes(signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row's class: its node's component, named by the smallest doc_id."""
     comp = nodes.join(labels.select(F.col("row").alias("node"), "comp"), "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked"))
-    by_key = signed.select("row", "doc_id", "k1", "k2").join(comp, ["k1", "k2"], "left").select("row", "doc_id", F.coalesce("comp", "row").alias("comp"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    # Rows without words have no key: each is its own class, and they do not meet in a join.
+    none = signed.where("k1 is null").select("row", "doc_id", F.col("row").alias("comp"), F.lit(False).alias("linked"))
+    by_key = signed.where("k1 is not null").select("row", "doc_id", "k1", "k2").join(comp, ["k1", "k2"]).select("row", "doc_id", "comp", "linked").union(none)
     by_key = materialize(by_key)
     # Written before the join, so that a giant class is split over tasks.
     names = materialize(by_key.groupBy("comp").agg(F.min("doc_id").alias("class_id")))
