@@ -13,7 +13,9 @@ lists must be read deep: the method then costs more than a plain product would.)
 
 Blocks of candidates are dealt over the tasks by a salt that each block of queries visits
 once; no row meets another outside such a pair of blocks, and a query's best k of each block
-are ranked at the end.
+are ranked at the end. Queries are dealt over groups of about ``query_bytes``, and a merge join
+holds one group at a time, so a task's memory does not grow with the number of queries; each
+block of candidates is sent once for each group.
 
 Contract: vectors that are null or hold null, NaN or infinite components, and rows without
 an id, take no part; vectors meet only vectors of as many components. A query never meets
@@ -140,7 +142,7 @@ def best(lists: Lists, own_row: int, q: np.ndarray, k: int, sure: float = -np.in
 REMEMBERED = 100_000
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, query_rows: int = 256, query_bytes: int = 64 << 20) -> DataFrame:
     """The ``k`` highest inner products of each query row: ``query_id, rank, vec_id, score``.
 
     ``is_query`` selects the queries by the column ``vec_id``; all rows are candidates.
@@ -148,10 +150,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     spark = vectors.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = quantised(vectors, id_col, vector_col, scale)
-    candidates = blocks(rows, block_rows, salts)
-    asked = blocks(rows.where(is_query).coalesce(max(1, salts // 8)), query_rows, salts)
-    asked = asked.select("dim", F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    pairs = candidates.join(asked.hint("shuffle_hash"), ["dim", "salt"])
+    queries = rows.where(is_query)
+    size = queries.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, -(-size // query_bytes))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = blocks(rows, block_rows, salts).withColumn("group", upto(groups))
+    asked = blocks(queries.coalesce(max(1, salts // 8)), query_rows, salts).select("dim", F.col("row").alias("q_row"), F.col("id").alias("q_id"), F.col("matrix").alias("q_matrix"))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("q_row"), F.lit(groups)).cast("int")).withColumn("salt", upto(salts))
+    pairs = candidates.join(asked.hint("merge"), ["dim", "salt", "group"])  # a task holds one group at a time
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, lists = None, None

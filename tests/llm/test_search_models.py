@@ -139,6 +139,8 @@ def test_top_k_against_brute_force(spark, blocks):
             scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(used) if m != n and len(v) == len(q))
             want += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+    grouped = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=blocks[0], query_rows=1, query_bytes=100).collect()
+    assert sorted(map(tuple, grouped)) == sorted(map(tuple, got))  # several groups of queries
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
