@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..operators.store import NoteStore
 from ..schema import PROPS, as_list, bag, prop, string, strings
 from ..shared import materialize, shared_dir
 from ..sources.tables import NOTES_SQL, as_markdown, notes
-from ..sources.vault import notes_from_files
+from ..sources.vault import notes_from_files, read_vault
 from .pipeline import changes, render_blocks, update
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +159,35 @@ def _links(spark, sf_dir):
     return graph.edges(parsed(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
 
 
+def exported(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder that the parts are exported to as Markdown and the nations as plain text, and the report."""
+    folder = urlparse(shared_dir(spark)).path  # a path that all tasks can reach
+    chosen = parsed(spark, sf_dir).where(F.col("path").rlike("^(part|nation)/")).withColumn("rendered", F.col("raw"))
+    named = chosen.withColumn("path", F.when(F.col("path").startswith("nation/"), F.regexp_replace("path", r"\.md$", ".txt")).otherwise(F.col("path")))
+    return folder, export.export(named, f"{folder}/none", f"{folder}/out")
+
+
+_EXPORTED = ", e AS (SELECT CASE WHEN starts_with(path, 'nation/') THEN regexp_replace(path, '\\.md$', '.txt') ELSE path END AS path, title, tags, size FROM notes WHERE starts_with(path, 'part/') OR starts_with(path, 'nation/'))"
+
+
+@query("export_and_copy", f"{_EXPORTED} SELECT unnest(['write', 'copy', 'copy again']) AS step, path, unnest(['written', 'copied', 'kept']) AS done FROM e")
+def _export_and_copy(spark, sf_dir):
+    """Exported as Markdown, the folder read and its files copied to another one, and once more: what was done with each."""
+    folder, report = exported(spark, sf_dir)
+    read = materialize(read_vault(spark, f"{folder}/out"))
+    copy = lambda: export.export(read, f"{folder}/out", f"{folder}/copies", kind="copy")
+    steps = [report.select(F.lit("write").alias("step"), "path", "done")]
+    steps += [copy().select(F.lit(step).alias("step"), "path", "done") for step in ("copy", "copy again")]
+    return reduce(DataFrame.union, steps)
+
+
+@query("folder_read", f"{_EXPORTED} SELECT path, string_split(path, '.')[-1] AS ext, CASE WHEN starts_with(path, 'part/') THEN title END AS title, CASE WHEN starts_with(path, 'part/') THEN array_to_string(tags, '|') END AS tags, CASE WHEN starts_with(path, 'part/') THEN CAST(size AS VARCHAR) END AS size FROM e")
+def _folder_read(spark, sf_dir):
+    """A folder of Markdown and other files listed, dispatched by extension and parsed."""
+    folder, _ = exported(spark, sf_dir)
+    return read_vault(spark, f"{folder}/out").select("path", "ext", prop("title")["str"].alias("title"), F.array_join(prop("tags")["list"], "|").alias("tags"), prop("size")["int"].cast("string").alias("size"))
+
+
 _NAMES = """, names AS (SELECT DISTINCT name, path FROM (SELECT string_split(path, '/')[-1] AS name, path FROM notes UNION ALL SELECT title, path FROM notes WHERE title IS NOT NULL)),
 dictionary AS (SELECT name, min(path) AS path, count(*) AS candidates FROM names GROUP BY name)"""
 
