@@ -2,7 +2,8 @@
 
 Each component of the candidate vectors of a block is a list sorted by value. A query reads
 every list from the end that its own component's sign favours, entry after entry, to a depth
-that doubles from round to round; nothing but the entries read is touched. They give each
+that doubles from round to round, and a block's queries read the lists together; nothing but the
+entries read is touched. They give each
 candidate a lower bound of its score (unread components at their list's worst value) and an upper
 bound (unread components at the value where its list stands); candidates that no list has shown
 share the bounds of none read. A query stops when few candidates remain whose upper bound
@@ -92,50 +93,67 @@ class Lists:
         self.order = np.ascontiguousarray(np.argsort(self.m, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.take_along_axis(self.m.T, self.order, axis=1)
 
-    def read(self, dims: np.ndarray, up: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(candidates, values) of the entries from depth ``start`` to ``end`` of some lists, a row for each list."""
-        n, at = len(self.row), np.arange(start, end)
-        place = np.where(up[:, None], n - 1 - at[None, :], at[None, :])
-        return self.order[dims[:, None], place], self.sorted[dims[:, None], place]
+    def read(self, top: bool, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(candidates, values) of each list's entries from depth ``start`` to ``end``, from its top or its bottom."""
+        n = len(self.row)
+        part = slice(n - end, n - start) if top else slice(start, end)
+        return self.order[:, part], self.sorted[:, part]
 
 
-def best(lists: Lists, own_row: int, q: np.ndarray, k: int, sure: float = -np.inf, first_depth: int = 64) -> tuple[list[tuple[int, int]], int]:
-    """(candidate position, score) of a query's k best in the block, and the number of entries read.
+#: A query whose remaining candidates are at most this share of the block has them resolved.
+FEW = 1 / 16
+
+
+def best_of(lists: Lists, own_rows: np.ndarray, q: np.ndarray, k: int, sure: np.ndarray, first_depth: int = 64) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each query (a row of ``q``): (candidate position, score) of its k best in the block, and the number of entries it read.
 
-    Candidates that cannot reach ``sure``, a k-th best score found elsewhere, may be left out.
+    All queries read the lists together, those with a positive component from the top, the others from
+    the bottom, and each stops for itself. Candidates that cannot reach a query's ``sure``, a k-th best
+    score found elsewhere, may be left out.
     """
-    n, dims = len(lists.row), np.flatnonzero(q)
-    weight, up = q[dims], q[dims] > 0
-    alone = int((lists.row == own_row).sum())
-    worst = weight * np.where(up, lists.sorted[dims, 0], lists.sorted[dims, -1])
-    seen_sum, seen_worst = np.zeros(n), np.zeros(n)
-    entries: list[np.ndarray] = []
-    depth = 0
-    while len(dims) and depth < n:
+    n, done = len(lists.row), {}
+    weights, ends = (np.maximum(q, 0), np.minimum(q, 0)), (lists.sorted[:, :1], lists.sorted[:, -1:])
+    known = [np.repeat(end, n, axis=1) for end in ends]  # by list and candidate: the value read, or the list's worst
+    unread = [np.ones(known[0].shape), np.ones(known[0].shape)]
+    base = (np.arange(len(lists.order)) * n)[:, None]
+    still, depth, lower = np.arange(len(q)), 0, None
+
+    def keep(i: int, score: np.ndarray, left: np.ndarray) -> None:
+        order = np.lexsort((lists.ids[left], -score))[:k]
+        done[i] = [(int(left[o]), int(score[o])) for o in order], int(np.count_nonzero(q[i])) * depth
+
+    while len(still) and depth < n:
         start, depth = depth, min(n, max(first_depth, 2 * depth))
-        which, values = lists.read(dims, up, start, depth)
-        entries.append(which)
-        seen_sum += np.bincount(which.ravel(), weights=(values * weight[:, None]).ravel(), minlength=n)
-        seen_worst += np.bincount(which.ravel(), weights=np.repeat(worst, depth - start), minlength=n)
+        upto = []
+        for side, top in enumerate((True, False)):
+            which, values = lists.read(top, start, depth)
+            at = base + which
+            np.put(known[side], at, values)
+            np.put(unread[side], at, 0.0)
+            stands = values[:, :1] if top else values[:, -1:]  # what an unread component has at best
+            upto.append(known[side] + unread[side] * (stands - ends[side]))
+        lower = sum(w[still] @ x for w, x in zip(weights, known, strict=True))
         if depth == n:
             break
-        stands = weight * values[:, -1]  # what an unread component adds at most
-        seen_stands = np.zeros(n)
-        for x in entries:
-            seen_stands += np.bincount(x.ravel(), weights=np.repeat(stands, x.shape[1]), minlength=n)
-        lower, upper = seen_sum - seen_worst + worst.sum(), seen_sum - seen_stands + stands.sum()
-        if alone:
-            lower[lists.row == own_row] = -np.inf
-            upper[lists.row == own_row] = -np.inf
-        kth = max(sure, np.partition(lower, n - k)[n - k] if n > k else -np.inf)
-        left = np.flatnonzero(upper >= kth)
-        if len(left) <= 8 * k or kth == sure and not len(left):
-            score = lists.m[left] @ q  # the few that are left
-            order = np.lexsort((lists.ids[left], -score))[:k]
-            return [(int(left[i]), int(score[i])) for i in order], len(dims) * depth
-    left = np.flatnonzero(lists.row != own_row)
-    order = np.lexsort((lists.ids[left], -seen_sum[left]))[:k]
-    return [(int(left[i]), int(seen_sum[left[i]])) for i in order], len(dims) * depth
+        upper = sum(w[still] @ x for w, x in zip(weights, upto, strict=True))
+        for j, i in enumerate(still.tolist()):
+            own = lists.row == own_rows[i]
+            lower[j, own] = upper[j, own] = -np.inf
+            kth = max(sure[i], np.partition(lower[j], n - k)[n - k] if n > k else -np.inf)
+            left = np.flatnonzero(upper[j] >= kth)
+            if len(left) <= max(8 * k, n * FEW):
+                left = left[lists.row[left] != own_rows[i]]
+                keep(i, lists.m[left] @ q[i], left)  # the few that are left
+        still = np.array([i for i in still.tolist() if i not in done], dtype=np.int64)
+    for j, i in enumerate(still.tolist()):  # read to the end
+        left = np.flatnonzero(lists.row != own_rows[i])
+        keep(i, lower[j, left], left)
+    return [done[i] for i in range(len(q))]
+
+
+def best(lists: Lists, own_row: int, q: np.ndarray, k: int, sure: float = -np.inf, first_depth: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """``best_of`` for one query."""
+    return best_of(lists, np.array([own_row]), q[None, :].astype(np.float64), k, np.array([sure]), first_depth)[0]
 
 
 #: Queries whose k-th best score a task remembers from block to block; what is forgotten costs time only.
@@ -169,13 +187,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
                 q_row, q_id = np.frombuffer(x["q_row"], dtype=np.int64), np.frombuffer(x["q_id"], dtype=np.int64)
                 q = np.frombuffer(x["q_matrix"], dtype=np.float64).reshape(len(q_row), x["dim"])
                 found = []
-                for i, row in enumerate(q_row.tolist()):
-                    scores = known.get(row, [])
-                    hits, _ = best(lists, row, q[i], k, scores[-1] if len(scores) == k else -np.inf)
+                scores = [known.get(row, []) for row in q_row.tolist()]
+                sure = np.array([x[-1] if len(x) == k else -np.inf for x in scores])
+                for i, (hits, _) in enumerate(best_of(lists, q_row, q, k, sure)):
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[row] = sorted([*scores, *(s for _, s in hits)], reverse=True)[:k]
-                    found += [(row, int(q_id[i]), int(lists.ids[c]), s) for c, s in hits]
+                    known[int(q_row[i])] = sorted([*scores[i], *(s for _, s in hits)], reverse=True)[:k]
+                    found += [(int(q_row[i]), int(q_id[i]), int(lists.ids[c]), s) for c, s in hits]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
