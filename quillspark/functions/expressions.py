@@ -58,6 +58,8 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v"
 KEYWORDS = frozenset("and break do else elseif end false for function goto if in local nil not or repeat return then true until while".split())
 #: Levels, tokens, and parts of the compiled columns that an expression may have.
 MAX_DEPTH, MAX_STEPS, MAX_SIZE = 60, 600, 4000
+#: Values of a greater size are computed once where a text or number is made of them.
+PLAIN = 4
 #: The longest text that ``string.rep`` makes.
 MAX_REPEATED = 10_000
 #: A function's result while it has not returned.
@@ -198,6 +200,8 @@ def default(v: Value, other: Value) -> Value:
 def number(v: Value) -> Column:
     """The value as an operand of arithmetic; null where it is none."""
     parsed = lambda s: F.when(s.rlike(NUMERIC), F.trim(s).try_cast("double"))
+    if v.kind == "any" and v.size > PLAIN:
+        return held(v, number)
     if v.kind == "number":
         return v.column
     if v.kind == "string":
@@ -207,8 +211,22 @@ def number(v: Value) -> Column:
     return nothing("double")
 
 
-def shown(c: Column) -> Column:
+def once(c: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(c)``, in which ``c`` is computed once however often it occurs."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
+def held(v: Value, made: Callable[[Value], Column]) -> Column:
+    """``made(v)``, its fields computed once if they are more than a property's."""
+    if v.kind != "any" or v.size <= PLAIN:
+        return made(v)
+    return once(F.struct(*[v.fields[name].cast(kind).alias(name) for name, kind in FIELDS.items()]), lambda s: made(Value("any", fields={name: s[name] for name in FIELDS})))
+
+
+def shown(c: Column, size: int = 1) -> Column:
     """A number as text."""
+    if size > PLAIN:
+        return once(c, lambda x: shown(x))
     return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(number_text(c))
 
 
@@ -217,9 +235,9 @@ def joinable(v: Value) -> Column:
     if v.kind == "string":
         return v.column
     if v.kind == "number":
-        return shown(v.column)
+        return shown(v.column, v.size)
     if v.kind == "any":
-        return F.when(v.fields["kind"] == "string", v.fields["str"]).when(v.fields["kind"] == "number", shown(v.fields["num"]))
+        return held(v, lambda v: F.when(v.fields["kind"] == "string", v.fields["str"]).when(v.fields["kind"] == "number", shown(v.fields["num"])))
     return nothing("string")
 
 
@@ -236,6 +254,8 @@ def text(v: Value) -> Column:
         return listed(v.column)
     if v.kind == "table":
         return nothing("string")
+    if v.size > PLAIN:
+        return held(v, text)
     f = v.fields
     return (
         F.when(f["kind"].isNull(), "nil").when(f["kind"] == "string", f["str"]).when(f["kind"] == "number", shown(f["num"]))

@@ -411,7 +411,7 @@ FORMULAS = {
 def _bodies(spark, sf_dir):
     names = {f"f_{name}": body for name, (body, _) in FORMULAS.items()}
     view = _view({"and": ['hasProperty(file, "size")']}, [(f"{name}(file)", "") for name in names], formulas=names)
-    return views.cells(notes(spark, sf_dir), view)
+    return views.cells(notes(spark, sf_dir, dealt=True), view)
 
 
 #: (cell, its SQL over the notes)
@@ -430,7 +430,7 @@ TEXTS = (
 @query("expression_text_functions", f"SELECT path, row_number() OVER (ORDER BY path) AS pos, {', '.join(f'{sql} AS c{i}' for i, (_, sql) in enumerate(TEXTS))} FROM notes WHERE size IS NOT NULL AND title IS NOT NULL")
 def _text_functions(spark, sf_dir):
     view = _view({"and": ['hasProperty(file, "size")', 'hasProperty(file, "title")']}, [(t, "") for t, _ in TEXTS])
-    return views.cells(notes(spark, sf_dir), view)
+    return views.cells(notes(spark, sf_dir, dealt=True), view)
 
 
 def store(spark: SparkSession, sf_dir: str) -> NoteStore:

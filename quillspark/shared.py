@@ -44,6 +44,12 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     return written
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over ``spark.sql.shuffle.partitions`` tasks; tests and columns that are not
+    needed are still left out before it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the files of tables that ``materialize`` gave and that no later plan reads."""
     for df in tables:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import as_list, bag_sql, prop
+from ..shared import spread
 
 
 ROWS = """
@@ -27,14 +28,19 @@ def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ROWS, **tables)
 
 
-def notes(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """The notes with their property maps (no text), of the named keys or of all."""
+def notes(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = None, dealt: bool = False) -> DataFrame:
+    """The notes with their property maps (no text), of the named keys or of all.
+
+    ``dealt`` deals the rows that pass the query's tests over tasks, for work that is dear beside the
+    reading: a table's file is small for the rows that it holds, and one task would get all of them.
+    """
     columns = dict(
         filePath=("string", "path"), title=("string", "title"), tags=("list", "tags"), size=("int", "size"), price=("double", "price"), acctbal=("double", "acctbal"),
         total=("double", "total"), keytext=("string", "keytext"), inStock=("bool", "instock"), links=("list", "links"),
     )
     props = bag_sql(**{k: v for k, v in columns.items() if keys is None or k in keys})
-    return note_rows(spark, sf_dir).selectExpr("path", "'md' AS ext", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS rendered", f"{props} AS props")
+    rows = note_rows(spark, sf_dir)
+    return (spread(rows) if dealt else rows).selectExpr("path", "'md' AS ext", "CAST(NULL AS STRING) AS raw", "CAST(NULL AS STRING) AS rendered", f"{props} AS props")
 
 
 def as_markdown(structured: DataFrame) -> DataFrame:
