@@ -59,10 +59,20 @@ def carry_out(rows: list[tuple], vault: str, out: str) -> list[str]:
     A file is written under a name of its own and then renamed to its place, so that it is whole or
     absent at any time, and doing the work again, or twice at once, ends and reports alike.
     """
-    done = []
+    done, top, folders = [], os.path.realpath(out) + os.sep, {}
+
+    def inside(target: str) -> bool:
+        """Whether the place is below the folder, links followed; a folder is looked at once."""
+        folder, name = os.path.split(target)
+        if name in ("", ".", "..") or os.path.islink(target):
+            return os.path.realpath(target).startswith(top)
+        if folder not in folders:
+            folders[folder] = os.path.realpath(folder)
+        return os.path.join(folders[folder], name).startswith(top)
+
     for path, action, to, text, kept in rows:
         target, source = os.path.join(out, to), os.path.join(vault, path)
-        if not os.path.realpath(target).startswith(os.path.realpath(out) + os.sep):
+        if not inside(target):
             done.append("outside")
         elif action != "write" and not os.path.exists(source):
             done.append("missing")

@@ -95,6 +95,8 @@ def _project_graph(spark, sf_dir):
 
 
 GRAPH = ("filePath", "tags", "links")
+#: The properties that a note's Markdown is made of.
+TEXT_KEYS = ("title", "tags", "size", "inStock", "links")
 
 
 def stored(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] | None = GRAPH) -> DataFrame:
@@ -139,9 +141,10 @@ def _within(spark, sf_dir):
     return graph.within(stored(spark, sf_dir), "filePath=order/1*", 3)
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes written as Markdown and read again by the parsers."""
-    return materialize(notes_from_files(as_markdown(notes(spark, sf_dir))))
+def parsed(spark: SparkSession, sf_dir: str, which: str | None = None) -> DataFrame:
+    """The notes (those whose paths match ``which``) written as Markdown and read again by the parsers."""
+    own = notes(spark, sf_dir, TEXT_KEYS, dealt=True)
+    return materialize(notes_from_files(as_markdown(own.where(F.col("path").rlike(which)) if which else own)))
 
 
 @query("frontmatter_types", "SELECT 'title' AS key, 'string' AS kind, count(*) AS n FROM notes WHERE title IS NOT NULL UNION ALL SELECT 'aliases', 'list', count(*) FROM notes WHERE title IS NOT NULL UNION ALL SELECT 'tags', 'list', count(*) FROM notes UNION ALL SELECT 'size', 'int', count(*) FROM notes WHERE size IS NOT NULL UNION ALL SELECT 'inStock', 'bool', count(*) FROM notes WHERE instock IS NOT NULL UNION ALL SELECT 'links', 'list', count(*) FROM notes WHERE links IS NOT NULL UNION ALL SELECT 'filePath', 'string', count(*) FROM notes")
@@ -162,7 +165,7 @@ def _links(spark, sf_dir):
 def exported(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A folder that the parts are exported to as Markdown and the nations as plain text, and the report."""
     folder = urlparse(shared_dir(spark)).path  # a path that all tasks can reach
-    chosen = parsed(spark, sf_dir).where(F.col("path").rlike("^(part|nation)/")).withColumn("rendered", F.col("raw"))
+    chosen = parsed(spark, sf_dir, "^(part|nation)/").withColumn("rendered", F.col("raw"))
     named = chosen.withColumn("path", F.when(F.col("path").startswith("nation/"), F.regexp_replace("path", r"\.md$", ".txt")).otherwise(F.col("path")))
     return folder, export.export(named, f"{folder}/none", f"{folder}/out")
 

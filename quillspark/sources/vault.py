@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -24,6 +25,10 @@ from ..schema import PROPS, bag, string
 from ..shared import discard, materialize
 
 
+#: Files that a task reads, and characters of text in a batch of them.
+FILES, AT_ONCE = 20_000, 1 << 22
+
+
 def notes_from_files(files: DataFrame, require_front_matter: bool = True) -> DataFrame:
     """Notes of (path, raw) rows, the path being relative to the vault."""
     markdown = F.lower("path").endswith(".md")
@@ -49,6 +54,16 @@ def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return fs, root.rstrip("/")
 
 
+def _entries(folder: str) -> Iterator[tuple[str, None]]:
+    """The paths in a local folder, one after another, however many there are; none if it is missing."""
+    try:
+        with os.scandir(folder) as found:
+            for x in found:
+                yield os.path.join(folder, x.name), None
+    except (FileNotFoundError, NotADirectoryError):
+        return
+
+
 def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
     """(path, length, modified) of every file below the folder, in any depth.
 
@@ -56,16 +71,20 @@ def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
     one's work, so the driver holds no names however large the vault is. A missing folder is empty.
     """
     fs, root = _file_system(folder)
+    local = isinstance(fs, pafs.LocalFileSystem)
     schema = "path string, length long, modified timestamp, folder boolean"
     kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("folder", pa.bool_())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                found = [x for x in fs.get_file_info(pafs.FileSelector(f"{root}/{path}".rstrip("/") or "/", allow_not_found=True)) if hidden or x.base_name[:1] not in (".", "_")]
-                rows = [(x.path[len(root) + 1 :], x.size if x.is_file else None, x.mtime, not x.is_file) for x in found]
-                for first in range(0, len(rows), 10_000):
-                    columns = zip(*rows[first : first + 10_000], strict=True)
+                place = f"{root}/{path}".rstrip("/") or "/"
+                entries = _entries(place) if local else ((x.path, x) for x in fs.get_file_info(pafs.FileSelector(place, allow_not_found=True)))
+                kept = (x for x in entries if hidden or os.path.basename(x[0])[:1] not in (".", "_"))
+                while part := list(islice(kept, 10_000)):
+                    infos = zip(fs.get_file_info([x[0] for x in part]) if local else [x[1] for x in part], part, strict=True)
+                    rows = [(name[len(root) + 1 :], x.size if x.is_file else None, x.mtime, not x.is_file) for x, (name, _) in infos if x.type != pafs.FileType.NotFound]
+                    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     folders, levels = spark.createDataFrame([("",)], "path string"), []
@@ -85,14 +104,21 @@ def read_listed(files: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, path in enumerate(b.column(at).to_pylist()):
+            texts, size = [], 0
+            for i, path in enumerate(b.column(at).to_pylist(), 1):
                 raw = None
                 if path.lower().endswith(".md"):
                     with fs.open_input_stream(f"{root}/{path}") as f:
                         raw = f.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([raw], pa.string())], names=[*names, "raw"])
+                texts.append(raw)
+                size += len(raw or "")
+                if i == b.num_rows or size > AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([*b.slice(i - len(texts), len(texts)).columns, pa.array(texts, pa.string())], names=[*names, "raw"])
+                    texts, size = [], 0
 
-    return files.repartition("path").mapInArrow(read, StructType([*files.schema.fields, StructField("raw", StringType())]))
+    # A number of tasks by the number of files: their names are small, and few tasks would get all.
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // FILES))
+    return files.repartition(tasks, "path").mapInArrow(read, StructType([*files.schema.fields, StructField("raw", StringType())]))
 
 
 def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,17 +128,16 @@ def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
-    """(path, raw) of every file below the folder, in any depth.
+    """(path, raw) of every file below the folder, in any depth; without ``hidden``, none with a name,
+    or below a folder, that begins with a dot or an underscore.
 
-    Spark's reader passes over names that begin with a dot or an underscore; unless ``hidden``
-    is off, ``hidden_files`` adds them.
+    Listed and read by tasks: Spark's file sources list on the driver, count each small file as megabytes
+    and give a task to a few of them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.regexp_replace(F.lit(folder.rstrip("/")), r"^[a-z]+:/*", "/")
-    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    markdown = F.lower("path").endswith(".md")
-    seen = files.select(F.substring(plain, F.length(root) + 2, F.length(plain)).alias("path"), F.when(markdown, F.decode("content", "UTF-8")).alias("raw"))
-    return seen.unionByName(hidden_files(spark, folder)) if hidden else seen
+    fs, root = _file_system(folder)
+    if fs.get_file_info(root or "/").type == pafs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    return read_listed(list_files(spark, folder, hidden).select("path"), folder)
 
 
 def read_vault(spark: SparkSession, folder: str, require_front_matter: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import views
+from quillspark.sources.vault import read_files
 
 
 def test_rows_are_computed_once_before_they_are_numbered(spark, tmp_path):
@@ -18,3 +19,14 @@ def test_rows_are_computed_once_before_they_are_numbered(spark, tmp_path):
     made = views.numbered(rows, [F.asc("path")]).select("path", "pos").collect()
     assert {(r["path"], r["pos"]) for r in made} == {(f"{i:03d}", i + 1) for i in range(200)}
     assert len(open(log).readlines()) == 200
+
+
+def test_files_are_read_once_by_tasks_that_do_not_follow_their_number(spark, tmp_path):
+    names = {f"n{i}.md" for i in range(400)} | {"_x=1.md", "_y.md", "d=1/a.md"}
+    (tmp_path / "d=1").mkdir()
+    for n in names:
+        (tmp_path / n).write_text(f"text of {n}")
+    (tmp_path / "broken.md").symlink_to(tmp_path / "nowhere")
+    read = read_files(spark, str(tmp_path))
+    assert sorted((r["path"], r["raw"]) for r in read.collect()) == sorted((n, f"text of {n}") for n in names)
+    assert read.rdd.getNumPartitions() == 4
