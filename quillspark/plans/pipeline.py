@@ -68,7 +68,10 @@ def render_blocks(notes: DataFrame, everything: DataFrame | None = None) -> Data
     tokens = with_blocks.select("path", F.posexplode(found).alias("pos", "block"))
     placed = tokens.join(views, "block", "left").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("view", F.lit("")).alias("view")))).alias("items"), F.max(F.col("view").isNotNull()).alias("hit"))
     pieces = F.zip_with(F.split("raw", BLOCK, -1), F.concat(F.col("items")["view"], F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return notes.drop("rendered").join(placed, "path", "left").withColumn("rendered", F.when(F.coalesce("hit", F.lit(False)), F.array_join(pieces, ""))).drop("items", "hit")
+    shown = with_blocks.drop("rendered").join(placed, "path", "left").withColumn("rendered", F.when(F.coalesce("hit", F.lit(False)), F.array_join(pieces, ""))).drop("items", "hit")
+    # Notes without a view block stay out of the join.
+    others = notes.drop("rendered").where(~F.coalesce(F.col("raw").contains("```base"), F.lit(False)))
+    return shown.unionByName(others.withColumn("rendered", F.lit(None).cast("string")))
 
 
 def update(notes: DataFrame, rounds: int = 1) -> DataFrame:
@@ -79,7 +82,7 @@ def update(notes: DataFrame, rounds: int = 1) -> DataFrame:
     to gain; its text is not read again. Views see the properties as the round before left them.
     """
     if rounds <= 1:
-        return _round(notes, name_dictionary(notes))
+        return materialize(_round(notes, name_dictionary(notes)))  # a test of the links would look for them again
     names = materialize(name_dictionary(notes))
     first = materialize(_round(notes, names).withColumn("__new", F.col("rendered").isNotNull()), by="__new")
     work, layers = worklist(first), []
@@ -100,11 +103,15 @@ def worklist(done: DataFrame) -> DataFrame:
 
 
 def latest(first: DataFrame, layers: list[DataFrame]) -> DataFrame:
-    """The notes with the text and properties of the last round that rewrote them."""
+    """The notes with the text and properties of the last round that rewrote them.
+
+    Only notes that the first round rewrote can be in later ones; the others stay out of the join.
+    """
     if not layers:
         return first
     last = reduce(DataFrame.union, layers).groupBy("path").agg(F.max_by(F.struct("rendered", "props"), "__round").alias("__last"))
-    return first.join(last, "path", "left").withColumns({"rendered": F.coalesce("__last.rendered", "rendered"), "props": F.coalesce("__last.props", "props")}).drop("__last")
+    again = first.where("__new").join(last, "path", "left").withColumns({"rendered": F.coalesce("__last.rendered", "rendered"), "props": F.coalesce("__last.props", "props")}).drop("__last")
+    return again.unionByName(first.where("not __new"))
 
 
 def _round(notes: DataFrame, names: DataFrame, everything: DataFrame | None = None) -> DataFrame:
