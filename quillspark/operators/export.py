@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 from ..sources.vault import list_files
-from .links import image_links
+from .links import IMAGE, linked_images
 from .search import search
 
 
@@ -48,9 +48,13 @@ def export_plan(notes: DataFrame, query: str = "", kind: str = "markdown") -> Da
     if kind not in ("markdown", "copy"):
         raise ValueError("kind must be markdown or copy")
     found = search(notes, query)
-    images = image_links(found).select(F.col("image").alias("path"), F.lit("copy").alias("action"), F.col("image").alias("destination")).distinct()
     write = F.when(F.col("rendered").isNotNull() & F.lit(kind == "markdown"), "write").otherwise("copy")
-    return found.select("path", write.alias("action"), F.col("path").alias("destination")).unionByName(images.join(found.select("path"), "path", "left_anti"))
+    # Written once: images, notes and what is among both are all made of it.
+    rows = materialize(found.select("path", write.alias("action"), linked_images().alias("images")))
+    images = rows.select(F.explode("images").alias("path")).distinct()
+    # The notes that are images themselves, so that the images meet no others.
+    among = rows.select("path").where(F.col("path").rlike(IMAGE))
+    return rows.select("path", "action", F.col("path").alias("destination")).unionByName(images.join(among, "path", "left_anti").select("path", F.lit("copy").alias("action"), F.col("path").alias("destination")))
 
 
 def carry_out(rows: list[tuple], vault: str, out: str) -> list[str]:

@@ -514,7 +514,8 @@ r AS (SELECT l.path, link, a.path AS p1, coalesce(c.path, b.path) AS p2 FROM l L
 SELECT path, array_to_string(list_filter([link, CASE WHEN p1 <> link THEN p1 END, CASE WHEN p2 <> link AND p2 IS DISTINCT FROM p1 THEN p2 END], lambda x: x IS NOT NULL), ' ') AS links FROM r""")
 def _refreshed(spark, sf_dir):
     own = parsed(spark, sf_dir)
-    done = links.refresh_links(links.rewrite_wikilinks(own, links.name_dictionary(own)))
+    # Written, as a test of the links would look for them again.
+    done = materialize(links.refresh_links(links.rewrite_wikilinks(own, links.name_dictionary(own))))
     return done.where(F.size(as_list("links")) > 0).select("path", F.array_join(as_list("links"), " ").alias("links"))
 
 
@@ -554,5 +555,6 @@ def _json_rows(spark, sf_dir):
 def _export(spark, sf_dir):
     own = notes(spark, sf_dir, ("filePath", "tags"))
     rewritten = F.when(F.array_contains(as_list("tags"), "BUILDING"), F.lit("text"))
-    pictured = F.map_concat("props", bag(links=strings(F.array(F.lit("img/logo.png|80"), F.col("path")))).cast(PROPS))
+    # A plain map constructor again, so that a test of a tag is one of the tables' own columns.
+    pictured = bag(filePath=string(F.col("path")), tags=strings(as_list("tags")), links=strings(F.array(F.lit("img/logo.png|80"), F.col("path"))))
     return export.export_plan(own.withColumn("rendered", rewritten).withColumn("props", pictured), "tags=customer")

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import views
+from quillspark.operators import export, links, views
+from quillspark.plans.pipeline import render_blocks
+from quillspark.schema import PROPS, bag, string, strings
 from quillspark.sources.vault import read_files
 
 
@@ -30,3 +32,42 @@ def test_files_are_read_once_by_tasks_that_do_not_follow_their_number(spark, tmp
     read = read_files(spark, str(tmp_path))
     assert sorted((r["path"], r["raw"]) for r in read.collect()) == sorted((n, f"text of {n}") for n in names)
     assert read.rdd.getNumPartitions() == 4
+
+
+def test_notes_are_computed_once_for_an_export_plan(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    @F.udf("string")
+    def seen(x):
+        with open(log, "a") as f:
+            f.write(f"{x}\n")
+        return x
+
+    own = spark.createDataFrame([("a.md", None, "text"), ("i/b.png", None, None)], "path string, ext string, rendered string").withColumn("path", seen("path"))
+    own = own.withColumn("props", bag(links=strings(F.array(F.lit("i/b.png|80"), F.lit("i/c.jpg"), F.lit("i/c.jpg|9"), F.lit("d.md")))).cast(PROPS))
+    plan = export.export_plan(own)
+    assert sorted(tuple(r) for r in plan.collect()) == [("a.md", "write", "a.md"), ("i/b.png", "copy", "i/b.png"), ("i/c.jpg", "copy", "i/c.jpg")]
+    assert sorted(open(log).read().split()) == ["a.md", "i/b.png"]
+
+
+def test_one_join_finds_what_a_wikilink_means_and_notes_without_one_stay_out(spark):
+    texts = {"d/a.md": "[[b]] and [[b.md|x]], ~[[b]] [[none]] [[/c|y|z]]", "b.md": "plain", "b": "[[none]]", "e/c.md": None, "f/c.md": "[[a]]"}
+    own = spark.createDataFrame(list(texts.items()), "path string, raw string").withColumn("props", F.create_map().cast(PROPS))
+    names = links.name_dictionary(own)
+    resolved = links.resolve(links.wikilinks(own), names)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(resolved) == 1
+    found = {(r["src"], r["pos"]): (r["path"], r["ambiguous"]) for r in resolved.collect()}
+    assert found == {("d/a.md", 0): ("b", False), ("d/a.md", 1): ("b.md", False), ("d/a.md", 2): (None, False), ("d/a.md", 3): ("e/c.md", True), ("b", 0): (None, False), ("f/c.md", 0): ("d/a.md", False)}
+    done = links.rewrite_wikilinks(own, names)
+    assert joins(done) == 2
+    assert {r["path"]: r["rendered"] for r in done.collect()} == dict.fromkeys(texts) | {"d/a.md": "[b](b) and [x](b.md), ~[[b]] [[none]] [y|z](e/c.md)", "f/c.md": "[a](d/a.md)"}
+
+
+def test_only_notes_with_a_view_meet_the_views(spark):
+    text = '# x\n```base\nviews:\n  - type: list\n    order:\n      - file.path\n```\nend'
+    own = spark.createDataFrame([("a.md", text), ("b.md", "plain"), ("c.md", None)], "path string, raw string").withColumn("props", bag(path=string(F.col("path"))).cast(PROPS))
+    done = render_blocks(own)
+    assert {r["path"]: r["rendered"] for r in done.collect()} == {"a.md": "# x\n - a.md\n - b.md\n - c.md\n\nend", "b.md": None, "c.md": None}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union") and plan.count("Union") == 1
