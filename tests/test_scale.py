@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import frontmatter
 from quillspark.operators import export, links, views
 from quillspark.plans.pipeline import render_blocks
 from quillspark.schema import PROPS, bag, string, strings
@@ -71,3 +72,16 @@ def test_only_notes_with_a_view_meet_the_views(spark):
     assert {r["path"]: r["rendered"] for r in done.collect()} == {"a.md": "# x\n - a.md\n - b.md\n - c.md\n\nend", "b.md": None, "c.md": None}
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union") and plan.count("Union") == 1
+
+
+def test_blocks_that_differ_in_quoted_texts_are_read_as_yaml_once(monkeypatch):
+    read, known = [], frontmatter.yaml_to_json
+    monkeypatch.setattr(frontmatter, "yaml_to_json", lambda b: read.append(b) or known(b))
+    monkeypatch.setattr(frontmatter, "_forms", {})
+    form = '\ntitle: "{}"\ntags:\n- "{}"\n- "x"\naliases: ["{}", ""]\nsize: 5\ntitle: "{}"\n'
+    blocks = [form.format(*texts) for texts in (("a", "b", "c", "d"), ("@1@", "k: v", " #z", "- é"), ("null", "1", "[", "|"))]
+    assert [frontmatter.block_to_json(b) for b in blocks] == [known(b) for b in blocks]
+    assert len(read) == 1
+    # Other blocks are read whole.
+    odd = [None, "", "\n", 'a: "\\n"', 'a: |\n  b: "c"\n', 'a: "b\n- "c"\n', "a: 'x'\n", 'a: "x" # y\n', 'a: 1\n- "b"\n', '- "a"\n', 'a: "\x85"\n', 'a: "b": c\n', 'yes: no\na:\n- "1"\n']
+    assert [frontmatter.block_to_json(b) for b in odd] == [known(b) for b in odd]
