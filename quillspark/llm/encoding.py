@@ -17,9 +17,9 @@ import pyarrow as pa
 
 from .common import per_worker
 
-#: Distinct chunks in each of two generations that a worker keeps: of the older, what is met again moves
-#: to the newer; a chunk that is forgotten costs time only.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks that a worker keeps for good, the first that it meets, as frequent ones come early, and of
+#: those met after them, until they are forgotten together; a chunk that is forgotten costs time only.
+CACHE_CHUNKS, RECENT_CHUNKS = 450_000, 150_000
 
 _SAFE_CUT = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -39,7 +39,7 @@ class ChunkEncoder:
         self.begins = np.zeros(max(words.values(), default=0) + 1, dtype=bool)  # ids that begin with a space
         self.begins[[i for w, i in words.items() if len(space) == 1 and w.startswith(space[0])]] = True
         self.inner: dict[str, bytes] = {}  # chunks that a space goes before
-        self.older: dict[str, bytes] = {}  # of the inner chunks, the generation before
+        self.recent: dict[str, bytes] = {}  # of these, what was met when ``inner`` was full
         self.first: dict[str, bytes] = {}  # chunks at the start of a text
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -57,26 +57,28 @@ class ChunkEncoder:
         return [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def _learn_first(self, chunks: set[str]) -> None:
-        if len(self.first) > CACHE_CHUNKS and not chunks <= self.first.keys():
+        if len(self.first) > 2 * RECENT_CHUNKS and not chunks <= self.first.keys():
             self.first.clear()
         new = [x for x in chunks if x not in self.first]
         self.first.update(zip(new, self._library(new), strict=True))
 
     def _learn_inner(self, chunks: set[str]) -> dict[str, bytes]:
-        """A word with punctuation after it is the word's ids and the punctuation's."""
-        if len(self.inner) > CACHE_CHUNKS:
-            self.older, self.inner = self.inner, {}
-        cache, older, plain, ended = self.inner, self.older, set(), []
+        """Learn chunks that ``inner`` lacks; the dictionary that holds them all.
+
+        A word with punctuation after it is the word's ids and the punctuation's.
+        """
+        inner, cache, plain, ended = self.inner, self.inner, set(), []
+        if len(inner) > CACHE_CHUNKS:
+            if len(self.recent) > RECENT_CHUNKS:
+                self.recent = {}
+            cache = self.recent
         for x in chunks:
-            if x in older:
-                cache[x] = older[x]
+            if x in cache:
                 continue
             word = x.rstrip(".,;:!?")
             if len(word) < len(x) and word.isalpha():
                 ended.append((x, word, x[len(word) :]))
-                if word in older:
-                    cache[word] = older[word]
-                elif word not in cache:
+                if word not in inner and word not in cache:
                     plain.add(word)
             else:
                 plain.add(x)
@@ -85,7 +87,7 @@ class ChunkEncoder:
             part = new[at : at + 20_000]
             cache.update(zip(part, self._spaced(part), strict=True))
         self._learn_first({x[2] for x in ended})
-        cache.update((x, cache[word] + self.first[end]) for x, word, end in ended)
+        cache.update([(x, (inner.get(word) or cache[word]) + self.first[end]) for x, word, end in ended])
         return cache
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

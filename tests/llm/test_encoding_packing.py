@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 
-from quillspark.llm import packing, tokenstore
+from quillspark.llm import encoding, packing, tokenstore
 from quillspark.llm.encoding import ChunkEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,16 @@ def test_crc_of_ids(spark, docs):
 
     r = packing.pack(docs, PATH).select("ids", F.crc32("ids").alias("c")).first()
     assert r["c"] == zlib.crc32(r["ids"])
+
+
+def test_chunks_met_first_are_not_learned_again(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_CHUNKS", 20)
+    monkeypatch.setattr(encoding, "RECENT_CHUNKS", 10, raising=False)
+    own, words = ChunkEncoder(PATH), lambda a, b: "x " + " ".join(f"w{i}v{i}, w{i}z" for i in range(a, b))
+    texts = [words(0, 30), words(30, 60), words(60, 90), words(90, 120), words(0, 30)]
+    learned, library = [], own._library
+    monkeypatch.setattr(own, "_library", lambda x: learned.extend(x) or library(x))
+    for text in texts:
+        before = len(learned)
+        assert own.encode([text]) == library([text])
+    assert len(learned) == before
