@@ -366,7 +366,8 @@ def _rounds(rounds: int) -> Query:
         region = F.element_at(as_list("tags"), 2)
         kind = F.element_at(as_list("tags"), 1)
         inner = F.when(kind == "region", block([region, "nation"], "inner")).when(kind == "nation", block([region, "region"], "title"))
-        nested = own.withColumn("props", F.when(inner.isNotNull(), F.map_concat("props", bag(inner=string(inner)).cast(PROPS))).otherwise(F.col("props")))
+        # A plain map, so that a lookup of a key becomes the tables' own column.
+        nested = own.withColumn("props", bag(filePath=prop("filePath"), title=prop("title"), tags=prop("tags"), inner=string(inner)))
         return update(nested, rounds).where(F.col("path").startswith("hub/")).select("path", F.col("rendered").alias("text"))
 
     return run

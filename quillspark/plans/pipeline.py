@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import UnsupportedExpression
-from ..operators.links import name_dictionary, refresh_links, rewrite_wikilinks
+from ..operators.links import name_dictionary, refresh_links, rewrite_wikilinks, sought, wikilinks
 from ..operators.views import View, filter_condition, from_base, head, line, rendered
 from ..schema import as_list
 from ..shared import materialize
@@ -80,21 +80,23 @@ def update(notes: DataFrame, rounds: int = 1) -> DataFrame:
     Each further round works on the notes that the one before rewrote, and ends early when there are
     none. A note that was not rewritten has the same text, and names do not change, so it has nothing
     to gain; its text is not read again. Views see the properties as the round before left them.
+    A note without text has nothing to render, rewrite or find links in: it stays as it is, and is not written.
     """
     if rounds <= 1:
         return materialize(_round(notes, name_dictionary(notes)))  # a test of the links would look for them again
-    names = materialize(name_dictionary(notes))
-    first = materialize(_round(notes, names).withColumn("__new", F.col("rendered").isNotNull()), by="__new")
+    texts, silent = notes.where("raw is not null"), notes.where("raw is null").withColumn("rendered", F.lit(None).cast("string"))
+    seen = silent.select("path", "props")
+    first = materialize(_round_of_few(texts, notes, notes.select("path", "props")).withColumn("__new", F.col("rendered").isNotNull()), by="__new")
     work, layers = worklist(first), []
     for n in range(1, rounds):
         if work.isEmpty():
             break
-        again = _round(work, names, latest(first, layers).select("path", "props"))
+        again = _round_of_few(work, notes, latest(first, layers).select("path", "props").unionByName(seen))
         changed = F.col("rendered").isNotNull() & (F.col("rendered") != F.col("raw"))
         layer = materialize(again.withColumns({"__new": changed, "__round": F.lit(n)}), by="__new")
         layers.append(layer.where("__new").select("path", "rendered", "props", "__round"))
         work = worklist(layer)
-    return latest(first, layers).select(*notes.columns)
+    return latest(first, layers).select(*notes.columns).unionByName(silent.select(*notes.columns))
 
 
 def worklist(done: DataFrame) -> DataFrame:
@@ -114,11 +116,27 @@ def latest(first: DataFrame, layers: list[DataFrame]) -> DataFrame:
     return again.unionByName(first.where("not __new"))
 
 
-def _round(notes: DataFrame, names: DataFrame, everything: DataFrame | None = None) -> DataFrame:
-    viewed = render_blocks(notes.drop("rendered"), everything).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
+def _round(notes: DataFrame, names: DataFrame) -> DataFrame:
+    return _linked(_viewed(notes), names).select(*notes.columns)
+
+
+def _round_of_few(work: DataFrame, notes: DataFrame, everything: DataFrame) -> DataFrame:
+    """A round over some of the notes, whose views show everything.
+
+    Only the names that their wikilinks ask for are looked up among all notes, which may be many more.
+    """
+    viewed = materialize(_viewed(work, everything))  # so that views are joined once and not for each use of the texts
+    asked = materialize(wikilinks(viewed, "__text").select(sought(F.col("target")).alias("name")).distinct())
+    return _linked(viewed, name_dictionary(notes, asked)).select(*work.columns)
+
+
+def _viewed(notes: DataFrame, everything: DataFrame | None = None) -> DataFrame:
+    return render_blocks(notes.drop("rendered"), everything).withColumnRenamed("rendered", "__viewed").withColumn("__text", F.coalesce("__viewed", "raw"))
+
+
+def _linked(viewed: DataFrame, names: DataFrame) -> DataFrame:
     linked = rewrite_wikilinks(viewed, names, "__text")
-    done = linked.withColumn("rendered", F.coalesce("rendered", "__viewed")).drop("__viewed", "__text")
-    return refresh_links(done).select(*notes.columns)
+    return refresh_links(linked.withColumn("rendered", F.coalesce("rendered", "__viewed")).drop("__viewed", "__text"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import frontmatter
 from quillspark.operators import export, links, views
+from quillspark.plans import pipeline
 from quillspark.plans.pipeline import render_blocks
 from quillspark.schema import PROPS, bag, string, strings
 from quillspark.sources.vault import read_files
@@ -105,3 +106,24 @@ def test_views_that_ask_for_a_value_are_looked_up_by_it(spark, monkeypatch):
     ran.clear()
     assert shown({i: many[i] for i in range(2)}) == {0: [], 1: wanted[1]} and shown({i: many[i] for i in range(40)}) == {i: wanted[i] for i in range(40)}
     assert [plan.count("array_contains") for plan in ran] == [ran[0].count("array_contains")] * 2
+
+
+def test_rounds_write_and_look_up_what_texts_need(spark, monkeypatch):
+    written, known = [], pipeline.materialize
+    monkeypatch.setattr(pipeline, "materialize", lambda df, by=None: written.append(made := known(df, by)) or made)
+    block = "```base\nviews:\n  - type: list\n    filters:\n      and:\n        - file.tags.containsAny(\"{}\")\n    order: [{}]\n```".format
+    texts = {"top.md": f"{block('mid', 'inner')}\n[[n7]] [[other]] [[none]]", "plain.md": "[x](y.md)"}
+    silent = [(f"d/n{i}.md", None, ["leaf"] if i < 2 else ["mid"] if i == 2 else [], block("leaf", "inner") if i == 2 else f"[[n{i}.md]]", ["other"] if i > 3 else None) for i in range(50)]
+    rows = spark.createDataFrame([(p, t, [], None, None) for p, t in texts.items()] + silent, "path string, raw string, tags array<string>, inner string, aliases array<string>")
+    props = bag(tags=strings(F.col("tags")), inner=string(F.col("inner")), aliases=strings(F.col("aliases"))).cast(PROPS)
+    own = rows.select("path", F.lit("md").alias("ext"), "raw", F.lit("old").alias("rendered"), props.alias("props"))
+    done = {r["path"]: r for r in pipeline.update(own, rounds=3).collect()}
+    assert pipeline.update(own, rounds=3).columns == own.columns
+    shown = " -  - [n0.md](d/n0.md)\n - [n1.md](d/n1.md)\n\n\n[n7](d/n7.md) [other](d/n10.md) [[none]]"
+    assert {p: r["rendered"] for p, r in done.items()} == dict.fromkeys(done) | {"top.md": shown} and len(done) == 52
+    assert done["top.md"]["props"]["links"]["list"] == ["d/n0.md", "d/n1.md", "d/n7.md", "d/n10.md"]
+    assert done["plain.md"]["props"]["links"]["list"] == ["y.md"] and done["d/n9.md"]["raw"] is None
+    before = {r["path"]: r["props"] for r in own.collect()}
+    assert all(done[p]["props"] == before[p] for p in before if p.startswith("d/"))
+    # Neither the notes without text nor their names are written.
+    assert max(df.count() for df in written) <= 5
