@@ -1,32 +1,34 @@
 """Elias-Fano sequences: monotone integers in about 2 + log2(universe / n) bits each.
 
 The low bits of each value are packed; the high bits are a bit vector with a one for each
-value after as many zeros as its high part says. A directory of ones before each 64-bit
-word answers selects. All queries take arrays, and all parts may be memory-mapped.
+value after as many zeros as its high part says. Directories of ones and of zeros before each
+64-bit word answer selects. All queries take arrays, and all parts may be memory-mapped.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+SLICE = 1 << 16  # values that are encoded at once; a multiple of 8, so that a slice's low bits end with a byte
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 _SELECT = np.array([[([j for j in range(8) if i >> j & 1] + [0] * 8)[r] for r in range(8)] for i in range(256)], dtype=np.int64)
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """Arrays of a sequence of ascending values below ``universe``."""
+    """Arrays of a sequence of ascending values, fewer than 2**32 of them, below ``universe``."""
     n = len(values)
     low = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
-    values = values.astype(np.uint64)
-    high = (values >> np.uint64(low)).astype(np.int64)
     bits = np.zeros(-(-((universe >> low) + n + 2) // 64) * 64, dtype=np.uint8)
-    bits[high + np.arange(n)] = 1
+    packed = np.zeros((-(-n * low // 64) + 2) * 8, dtype=np.uint8)
+    for at in range(0, n, SLICE):
+        part = values[at : at + SLICE].astype("<u8")
+        bits[(part >> np.uint64(low)).astype(np.int64) + np.arange(at, at + len(part))] = 1
+        lows = np.packbits(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, count=low, bitorder="little").ravel(), bitorder="little")
+        packed[at * low // 8 :][: len(lows)] = lows
     words = np.packbits(bits, bitorder="little").view("<u8")
     ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, 64).sum(axis=1, dtype=np.int64))])
-    rest = values & np.uint64((1 << low) - 1)
-    packed = (rest[:, None] >> np.arange(low, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.uint8).ravel()
-    packed = np.concatenate([packed, np.zeros(128 + -len(packed) % 64, dtype=np.uint8)])
-    return {"high": words, "ones": ones.astype("<u4"), "low": np.packbits(packed, bitorder="little").view("<u8"), "shape": np.array([n, low], dtype="<i8")}
+    zeros = 64 * np.arange(len(ones)) - ones
+    return {"high": words, "ones": ones.astype("<u4"), "zeros": zeros.astype("<u4"), "low": packed.view("<u8"), "shape": np.array([n, low], dtype="<i8")}
 
 
 class EliasFano:
@@ -35,12 +37,11 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.high, self.low = arrays["high"], arrays["low"]
         self.n, self.width = map(int, arrays["shape"])
-        self.ones = arrays["ones"].astype(np.int64)
-        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        self.ones, self.zeros = arrays["ones"], arrays["zeros"]
 
     def _select(self, before: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
         """Bit position of the one (or zero) with each rank."""
-        word = np.searchsorted(before, rank, side="right") - 1
+        word = np.searchsorted(before, rank.astype(before.dtype), side="right") - 1  # of one type, or all of ``before`` is copied
         left = rank - before[word]
         bits = self.high[word]
         if flip:

@@ -44,6 +44,7 @@ from .shingles import NOT_SPACE, chunks, mix, word_hashes
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 FLUSH = 1_500_000  # keys that a task holds before it sends them
 CHUNK = 500_000  # bytes of text that are worked on at once
+SLICE = 250_000  # nodes that are worked on at once when a part is written
 BUCKET_CHARS = 6_000_000  # characters of the texts whose keys are added up in one group
 STEP, STEP_BACK = 0.04, 0.025  # of the quantised log10 values
 WORD_BITS = np.uint64(32)
@@ -131,15 +132,17 @@ def write_arrays(uri: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     fs, root = pafs.FileSystem.from_uri(uri)
     head, at, body = {}, 0, []
     for key, a in arrays.items():
-        a = np.ascontiguousarray(a)
         head[key] = (at, len(a), a.dtype.str)
-        body.append(a.tobytes() + b"\0" * (-a.nbytes % 8))
-        at += len(body[-1])
+        body.append(np.ascontiguousarray(a))
+        at += a.nbytes + -a.nbytes % 8
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
     own = f"{root}/{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
     with fs.open_output_stream(own) as out:
-        out.write(len(text).to_bytes(8, "little") + text + b"".join(body))
+        out.write(len(text).to_bytes(8, "little") + text)
+        for a in body:
+            out.write(pa.py_buffer(a))
+            out.write(b"\0" * (-a.nbytes % 8))
     fs.move(own, f"{root}/{name}")
 
 
@@ -199,7 +202,7 @@ class Trie:
     def sequence(self, level: int, part: int, prefix: str = "word") -> EliasFano:
         if (level, part, prefix) not in self.sequences:
             a = self.file("level", level, part)
-            self.sequences[level, part, prefix] = EliasFano({k: a[f"{prefix}_{k}"] for k in ("high", "ones", "low", "shape")})
+            self.sequences[level, part, prefix] = EliasFano({k: a[f"{prefix}_{k}"] for k in ("high", "ones", "zeros", "low", "shape")})
         return self.sequences[level, part, prefix]
 
     def _by_part(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -314,10 +317,10 @@ def write_parts(rows: DataFrame, parts: int, write: Callable[[int, np.ndarray, n
     """Deal (key, n) rows by key range, write a part file each, and list the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [[b.column(0).to_numpy(), b.column(1).to_numpy()] for b in batches if b.num_rows]
         if got:
             part = TaskContext.get().partitionId()
-            keys, counts = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+            counts, keys = (np.concatenate([g.pop() for g in got]) for _ in range(2))  # batches go as they are put together
             write(part, keys, counts)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "first": pa.array([int(keys[0])], pa.int64()), "n": pa.array([len(keys)], pa.int64())})
 
@@ -351,11 +354,12 @@ def add_level(model: Model, kept: DataFrame, part_nodes: int, discount: float) -
 
     def write_back(group: pa.Table) -> pa.Table:
         p = group["part"][0].as_py()
-        nodes = group["context"].to_numpy()
         size = (below.bases[p + 1] if p + 1 < len(below.bases) else below.nodes) - below.bases[p]
-        c = opened(held).field(level - 1, nodes, "count", "level")
         back = np.zeros(size, dtype=np.uint8)
-        back[nodes - below.bases[p]] = np.clip(np.rint(-log_back(group["s"].to_numpy(), group["k"].to_numpy(), c) / STEP_BACK), 0, 255)
+        for at in range(0, len(group), SLICE):
+            nodes, s, k = (group[x].slice(at, SLICE).to_numpy() for x in ("context", "s", "k"))
+            c = opened(held).field(level - 1, nodes, "count", "level")
+            back[nodes - below.bases[p]] = np.clip(np.rint(-log_back(s, k, c) / STEP_BACK), 0, 255)
         write_arrays(path, f"back{level - 1}-{p:06d}", {"back": back})
         return pa.table({"part": pa.array([p], pa.int64())})
 
@@ -368,20 +372,29 @@ def add_level(model: Model, kept: DataFrame, part_nodes: int, discount: float) -
     def write(part: int, keys: np.ndarray, counts: np.ndarray) -> None:
         trie = opened(base_model)
         keys = keys.view(np.uint64)
-        ctx, word = (keys >> WORD_BITS).astype(np.int64), (keys & WORD_MASK).astype(np.int64)
-        real = ctx < below.nodes
-        c = np.full(len(ctx), base_model.texts, dtype=np.int64)
-        c[real] = trie.field(level - 1, ctx[real], "count", "level")
-        if level == 2:
-            lower = trie.unigram(trie.field(1, word, "count", "level"))
-        else:  # the shorter n-gram was kept, as it is as frequent
-            lower = -STEP * trie.field(2, trie.find(2, trie.last_words(2, ctx), word), "p", "level")
-        p = (counts - discount) / c + 10 ** (trie.backs(level - 1, ctx) + lower)
-        low, size = int(ctx[0]), int(ctx[-1] - ctx[0] + 1)
-        words = encode(((ctx - low) * base_model.words + word).astype(np.uint64), size * base_model.words)
-        pointers = encode(np.searchsorted(ctx, low + np.arange(size + 1)).astype(np.uint64), len(ctx) + 1)
+        low = int(keys[0] >> WORD_BITS)
+        size = int(keys[-1] >> WORD_BITS) - low + 1
+        quantised, values = np.empty(len(keys), dtype=np.uint8), np.empty(len(keys), dtype=np.uint64)
+        for at in range(0, len(keys), SLICE):
+            here = slice(at, at + SLICE)
+            ctx, word = (keys[here] >> WORD_BITS).astype(np.int64), (keys[here] & WORD_MASK).astype(np.int64)
+            real = ctx < below.nodes
+            c = np.full(len(ctx), base_model.texts, dtype=np.int64)
+            c[real] = trie.field(level - 1, ctx[real], "count", "level")
+            if level == 2:
+                lower = trie.unigram(trie.field(1, word, "count", "level"))
+            else:  # the shorter n-gram was kept, as it is as frequent
+                lower = -STEP * trie.field(2, trie.find(2, trie.last_words(2, ctx), word), "p", "level")
+            p = (counts[here] - discount) / c + 10 ** (trie.backs(level - 1, ctx) + lower)
+            quantised[here] = np.clip(np.rint(-np.log10(np.minimum(p, 1)) / STEP), 0, 255)
+            values[here] = (ctx - low) * base_model.words + word
+        starts = np.empty(size + 1, dtype=np.uint32)  # of each context's successors
+        for at in range(0, size + 1, SLICE):
+            heads = np.arange(low + at, low + min(at + SLICE, size + 1), dtype=np.uint64) << WORD_BITS
+            starts[at : at + SLICE] = np.searchsorted(keys, heads)
+        words, pointers = encode(values, size * base_model.words), encode(starts, len(keys) + 1)
         write_arrays(path, f"level{level}-{part:06d}", {
-            "contexts": np.array([low, size], dtype="<i8"), "p": np.clip(np.rint(-np.log10(np.minimum(p, 1)) / STEP), 0, 255).astype(np.uint8), "count": counts.astype("<u4"),
+            "contexts": np.array([low, size], dtype="<i8"), "p": quantised, "count": counts.astype("<u4"),
             **{f"word_{k}": v for k, v in words.items()}, **{f"pointer_{k}": v for k, v in pointers.items()}})
 
     made = write_parts(kept, max(1, -(-n // part_nodes)), write)

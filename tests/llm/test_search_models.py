@@ -1,7 +1,9 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -21,6 +23,31 @@ def test_elias_fano():
         assert (place == np.searchsorted(v, x)).all() and (same == np.isin(x, v)).all()
 
 
+def test_elias_fano_takes_little_memory_beside_its_values():
+    v = np.cumsum(np.random.default_rng(1).integers(0, 1 << 30, 200_001))
+    tracemalloc.start()
+    made = encode(v, int(v[-1]) + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000  # all bits of all values at once: more than 80 MB
+    e = EliasFano(made)
+    assert e.width % 8 and (e.get(np.arange(len(v))) == v).all()
+    place, same = e.successor(v[1::7] - 1)
+    assert (place == np.searchsorted(v, v[1::7] - 1)).all() and (same == np.isin(v[1::7] - 1, v)).all()
+
+
+def test_parts_written_in_slices_are_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(" ".join(rng.choice("abcdefghijklmnop") for _ in range(30)),) for _ in range(60)], "text string")
+    files = []
+    for size in (lm.SLICE, 7):
+        monkeypatch.setattr(lm, "SLICE", size)
+        model = lm.train(docs, part_nodes=100)
+        names = sorted(p.name for p in Path(model.path.removeprefix("file://")).iterdir() if p.name.startswith(("level", "back")))
+        files.append({n: {k: a.tolist() for k, a in lm.map_arrays(model.path, n).items()} for n in names})
+    assert files[0] == files[1] and len(files[0]) > 10
+
+
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["<e>"]
 
