@@ -30,6 +30,25 @@ def test_chunks_encode_like_whole_texts():
     assert coder.encode([None]) == [b""]
 
 
+def test_known_words_before_any_punctuation_skip_the_library(monkeypatch):
+    coder = ChunkEncoder(PATH)
+    coder.encode(["a word Übung", "### ,*** -- $"])
+    want = coder._library(["a word### Übung,*** word-- word$"])
+
+    def spaced(chunks):
+        raise AssertionError(chunks)
+
+    monkeypatch.setattr(coder, "_spaced", spaced)
+    assert coder.encode(["a word### Übung,*** word-- word$"]) == want
+
+
+def test_batches_of_all_kinds_of_texts():
+    texts = ["the cat", None, "", " ", "two  spaces ", "the cat", "<|endoftext|> the cat", "cat the\ncat", "the", " cat\n the"] * 3
+    coder = ChunkEncoder(PATH)
+    for some in (texts, texts[1:3], texts[4:5], texts[6:7], []):
+        assert coder.encode(some) == coder._library([t or "" for t in some])
+
+
 def test_packing_covers_every_id_without_gaps(docs):
     rows = packing.pack(docs, PATH, capacity=64).collect()
     want = sorted(((i, whole(t) + b"\0\0\0\0") for i, t in DOCS), key=repr)
