@@ -7,8 +7,10 @@ properties. Markdown without usable front matter is left out unless
 
 from __future__ import annotations
 
+import errno
 import os
 from collections.abc import Iterator
+from datetime import datetime
 from functools import reduce
 from itertools import islice
 
@@ -54,18 +56,40 @@ def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return fs, root.rstrip("/")
 
 
-def _entries(folder: str) -> Iterator[tuple[str, None]]:
-    """The paths in a local folder, one after another, however many there are; none if it is missing."""
+def _is_folder(entry: os.DirEntry) -> bool | None:
+    """Whether the entry is a folder, links followed; null if it is no file either or leads nowhere."""
     try:
-        with os.scandir(folder) as found:
-            for x in found:
-                yield os.path.join(folder, x.name), None
+        return True if entry.is_dir() else False if entry.is_file() else None
+    except OSError as e:
+        if e.errno not in (errno.ELOOP, errno.ENOTDIR):
+            raise
+        return None
+
+
+def _entries(folder: str, hidden: bool) -> Iterator[tuple[str, None, None, bool]]:
+    """What is in a local folder, one after another, however many there are; nothing if it is missing.
+
+    The folder tells which of them are folders, so none but links are looked at.
+    """
+    try:
+        found = os.scandir(folder)
     except (FileNotFoundError, NotADirectoryError):
         return
+    with found:
+        for x in found:
+            if (hidden or x.name[:1] not in (".", "_")) and (kind := _is_folder(x)) is not None:
+                yield os.path.join(folder, x.name), None, None, kind
 
 
-def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
-    """(path, length, modified) of every file below the folder, in any depth.
+def _selected(fs: pafs.FileSystem, folder: str, hidden: bool) -> Iterator[tuple[str, int | None, datetime | None, bool]]:
+    """The same of a folder elsewhere, with the length and time that its listing gives."""
+    for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if (hidden or x.base_name[:1] not in (".", "_")) and x.type != pafs.FileType.NotFound:
+            yield x.path, x.size if x.is_file else None, x.mtime, not x.is_file
+
+
+def list_names(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
+    """(path, length, modified) of every file below the folder, in any depth; the latter two are null in a local folder.
 
     Tasks list the folders level by level; what a level finds is written, and its folders are the next
     one's work, so the driver holds no names however large the vault is. A missing folder is empty.
@@ -79,12 +103,10 @@ def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
         for b in batches:
             for path in b.column(0).to_pylist():
                 place = f"{root}/{path}".rstrip("/") or "/"
-                entries = _entries(place) if local else ((x.path, x) for x in fs.get_file_info(pafs.FileSelector(place, allow_not_found=True)))
-                kept = (x for x in entries if hidden or os.path.basename(x[0])[:1] not in (".", "_"))
-                while part := list(islice(kept, 10_000)):
-                    infos = zip(fs.get_file_info([x[0] for x in part]) if local else [x[1] for x in part], part, strict=True)
-                    rows = [(name[len(root) + 1 :], x.size if x.is_file else None, x.mtime, not x.is_file) for x, (name, _) in infos if x.type != pafs.FileType.NotFound]
-                    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                found = _entries(place, hidden) if local else _selected(fs, place, hidden)
+                while part := list(islice(found, 10_000)):
+                    paths, *others = zip(*part, strict=True)
+                    columns = [[x[len(root) + 1 :] for x in paths], *others]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     folders, levels = spark.createDataFrame([("",)], "path string"), []
@@ -96,6 +118,33 @@ def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
         folders = folders.repartition("path")
 
 
+def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
+    """(path, length, modified) of every file below the folder, in any depth; a missing folder is empty.
+
+    One task lists a folder, however many files are in it; they are dealt over tasks to be looked at.
+    """
+    fs, root = _file_system(folder)
+    names = list_names(spark, folder, hidden)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return names
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            rows = [(p, x.size, x.mtime) for p, x in zip(paths, fs.get_file_info([f"{root}/{p}" for p in paths]), strict=True) if x.is_file]
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "length", "modified"])
+
+    return materialize(_dealt(names.select("path")).mapInArrow(look, names.schema))
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files dealt over a number of tasks by their number: their names are small, and few tasks would get all."""
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // FILES))
+    return files.repartition(tasks, "path")
+
+
 def read_listed(files: DataFrame, folder: str) -> DataFrame:
     """The listed files (column ``path``) with ``raw``, the text of those that are Markdown; tasks read them one at a time."""
     fs, root = _file_system(folder)
@@ -116,15 +165,13 @@ def read_listed(files: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*b.slice(i - len(texts), len(texts)).columns, pa.array(texts, pa.string())], names=[*names, "raw"])
                     texts, size = [], 0
 
-    # A number of tasks by the number of files: their names are small, and few tasks would get all.
-    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // FILES))
-    return files.repartition(tasks, "path").mapInArrow(read, StructType([*files.schema.fields, StructField("raw", StringType())]))
+    return _dealt(files).mapInArrow(read, StructType([*files.schema.fields, StructField("raw", StringType())]))
 
 
 def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, raw) of the files that Spark's sources pass over: those with a name, or below a
     folder, that begins with a dot or an underscore."""
-    return read_listed(list_files(spark, folder).where(F.col("path").rlike(r"(^|/)[._]")).select("path"), folder)
+    return read_listed(list_names(spark, folder).where(F.col("path").rlike(r"(^|/)[._]")).select("path"), folder)
 
 
 def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
@@ -137,7 +184,7 @@ def read_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
     fs, root = _file_system(folder)
     if fs.get_file_info(root or "/").type == pafs.FileType.NotFound:
         raise FileNotFoundError(folder)
-    return read_listed(list_files(spark, folder, hidden).select("path"), folder)
+    return read_listed(list_names(spark, folder, hidden).select("path"), folder)
 
 
 def read_vault(spark: SparkSession, folder: str, require_front_matter: bool = True) -> DataFrame:

@@ -1,3 +1,4 @@
+import errno
 import os
 
 from pyspark.sql import functions as F
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import export
 from quillspark.operators.store import NoteStore
 from quillspark.schema import prop
-from quillspark.sources.vault import hidden_files, list_files, read_vault, sync
+from quillspark.sources.vault import _entries, hidden_files, list_files, read_vault, sync
 from quillspark.streaming.ingest import file_stream, merge_files, upsert_notes
 
 
@@ -102,3 +103,62 @@ def test_an_export_keeps_what_was_there(spark, tmp_path):
     want = {"a.md": "copied", "b.md": "kept", "x.md": "copied"}
     assert {r["path"]: r["done"] for r in done.collect()} == want == {r["path"]: r["done"] for r in done.collect()}
     assert (out / "b.md").read_text() == "mine" and (out / "a.md").read_text() == note("A")
+
+
+def test_a_folder_is_not_looked_at_for_each_file_put_there(tmp_path, monkeypatch):
+    vault, out = tmp_path / "v", tmp_path / "o"
+    put(vault, {f"d/{i}.png": f"image {i}" for i in range(20)})
+    rows = [(f"d/{i}.md", "write", f"d/{i}.md", f"text {i}", False) for i in range(20)] + [(f"d/{i}.png", "copy", f"d/{i}.png", None, False) for i in range(20)]
+    looked, made = [], []
+    for name, calls in (("lstat", looked), ("replace", looked), ("rename", looked), ("mkdir", made)):
+        known = getattr(os, name)
+        monkeypatch.setattr(os, name, lambda path, *a, known=known, calls=calls, **k: calls.append(os.fspath(path)) or known(path, *a, **k))
+    assert export.carry_out(rows, str(vault), str(out)) == ["written"] * 20 + ["copied"] * 20
+    assert not [p for p in looked if p.startswith(f"{out}/d/")] and len(made) <= 4
+    monkeypatch.undo()
+    assert {str(f.relative_to(out)): f.read_text() for f in out.rglob("*") if f.is_file()} == {r[0]: r[3] or (vault / r[0]).read_text() for r in rows}
+    assert sorted(x.name for x in out.iterdir()) == ["d"]
+
+
+def test_places_that_are_taken_or_know_no_links(tmp_path, monkeypatch):
+    vault, out, far = tmp_path / "v", tmp_path / "o", tmp_path / "far"
+    put(vault, {"p.png": "image"})
+    put(out, {"old.md": "old", "in.md": "inner"})
+    put(far, {"x.md": "far"})
+    for name, to in (("to_in.md", out / "in.md"), ("to_far.md", far / "x.md"), ("to_none.png", far / "none.png"), ("dir", far)):
+        (out / name).symlink_to(to)
+    rows = [(n, "write", n, f"new {n}", False) for n in ("old.md", "to_in.md", "to_far.md", "dir/y.md", "free.md")]
+    rows += [("p.png", "copy", "to_none.png", None, False), ("p.png", "copy", "to_far.md", None, True), ("none.png", "copy", "to_far.md", None, False), ("p.png", "copy", "free.png", None, False)]
+    want = ["written", "written", "outside", "outside", "written", "outside", "outside", "outside", "copied"]
+
+    def check():
+        assert export.carry_out(rows, str(vault), str(out)) == want
+        assert [(out / n).read_text() for n in ("old.md", "to_in.md", "in.md", "free.md", "free.png")] == ["new old.md", "new to_in.md", "inner", "new free.md", "image"]
+        assert [f.name for f in far.iterdir()] == ["x.md"] and (far / "x.md").read_text() == "far" and not list(out.rglob("*.part"))
+
+    check()
+
+    def no_link(*_):
+        raise OSError(errno.EPERM, "no links here")
+
+    def one_folder(source, target, known=os.replace):
+        if os.path.dirname(source) != os.path.dirname(target):
+            raise OSError(errno.EXDEV, "another file system")
+        known(source, target)
+
+    monkeypatch.setattr(os, "link", no_link)
+    check()
+    monkeypatch.setattr(os, "replace", one_folder)
+    check()
+
+
+def test_what_is_no_file_is_left_out_of_a_listing(spark, tmp_path):
+    put(tmp_path, {"a.md": "text", ".h/b.md": "x", "d/c.txt": "long text"}, at=1_000_000)
+    os.mkfifo(tmp_path / "pipe")
+    for name, to in (("l.md", "a.md"), ("ld", "d"), ("none.md", "nowhere"), ("loop", "loop"), ("through", "a.md/x")):
+        (tmp_path / name).symlink_to(to)
+    found = lambda hidden: sorted((os.path.basename(p), folder) for p, _, _, folder in _entries(str(tmp_path), hidden))
+    assert found(False) == [("a.md", False), ("d", True), ("l.md", False), ("ld", True)] and found(True) == [(".h", True), *found(False)]
+    assert list(_entries(f"{tmp_path}/none", True)) == list(_entries(f"{tmp_path}/a.md", True)) == []
+    listed = {r["path"]: (r["length"], r["at"]) for r in list_files(spark, str(tmp_path)).withColumn("at", F.unix_timestamp("modified")).collect()}
+    assert listed == {"a.md": (4, 1_000_000), "l.md": (4, 1_000_000), ".h/b.md": (1, 1_000_000), "d/c.txt": (9, 1_000_000), "ld/c.txt": (9, 1_000_000)}

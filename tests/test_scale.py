@@ -52,6 +52,22 @@ def test_notes_are_computed_once_for_an_export_plan(spark, tmp_path):
     assert sorted(open(log).read().split()) == ["a.md", "i/b.png"]
 
 
+def test_notes_are_computed_once_for_an_export(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    @F.udf("string")
+    def seen(x):
+        with open(log, "a") as f:
+            f.write(f"{x}\n")
+        return x
+
+    own = spark.createDataFrame([("a.md", "md", "text"), ("d/b.md", "md", "more")], "path string, ext string, rendered string").withColumn("rendered", seen("rendered"))
+    done = export.export(own.withColumn("props", F.create_map().cast(PROPS)), str(tmp_path / "v"), str(tmp_path / "o"))
+    assert {r["path"]: r["done"] for r in done.collect()} == {"a.md": "written", "d/b.md": "written"}
+    assert [(tmp_path / "o" / n).read_text() for n in ("a.md", "d/b.md")] == ["text", "more"]
+    assert sorted(open(log).read().split()) == ["more", "text"]
+
+
 def test_one_join_finds_what_a_wikilink_means_and_notes_without_one_stay_out(spark):
     texts = {"d/a.md": "[[b]] and [[b.md|x]], ~[[b]] [[none]] [[/c|y|z]]", "b.md": "plain", "b": "[[none]]", "e/c.md": None, "f/c.md": "[[a]]"}
     own = spark.createDataFrame(list(texts.items()), "path string, raw string").withColumn("props", F.create_map().cast(PROPS))
