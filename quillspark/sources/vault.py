@@ -119,14 +119,14 @@ def list_names(spark: SparkSession, folder: str, hidden: bool = True) -> DataFra
 
 
 def list_files(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
-    """(path, length, modified) of every file below the folder, in any depth; a missing folder is empty.
+    """(path, length, modified) of every file below the folder, in any depth, as a written table; a missing folder is empty.
 
     One task lists a folder, however many files are in it; they are dealt over tasks to be looked at.
     """
     fs, root = _file_system(folder)
     names = list_names(spark, folder, hidden)
     if not isinstance(fs, pafs.LocalFileSystem):
-        return names
+        return materialize(names)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +200,7 @@ def sync(store: NoteStore, folder: str, require_front_matter: bool = True) -> Da
     that are gone, or that are notes no more, are removed. A renamed file is gone and new.
     """
     spark = store.spark
-    listed = materialize(list_files(spark, folder))
+    listed = list_files(spark, folder)
     before = store.listing().select("path", F.struct("length", "modified").alias("was"))
     same = F.struct("length", "modified").eqNullSafe(F.col("was"))
     what = F.when(F.col("modified").isNull(), "gone").when(F.col("was").isNull(), "new").when(~same, "changed")
